@@ -1,0 +1,8 @@
+"""All queries of the graph operators with their SQL twins."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
