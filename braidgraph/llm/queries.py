@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import exact, minhash, mixing, pieces
 
-QUERIES = {"op1_minhash_near_dedup": minhash.op1_minhash}
-ORACLES = {"op1_minhash_near_dedup": minhash.ORACLE}
+QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash,
+    "op2_exact_dedup": exact.op2_exact,
+    "op5_sentencepiece": pieces.op5_pieces,
+    "op9_mixing": mixing.op9_mixing,
+}
+ORACLES = {"op1_minhash_near_dedup": minhash.ORACLE, "op2_exact_dedup": exact.ORACLE}
