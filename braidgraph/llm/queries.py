@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, pieces
+from . import exact, minhash, mixing, pieces, quality, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash,
     "op2_exact_dedup": exact.op2_exact,
+    "op3_quality": quality.op3_quality,
     "op5_sentencepiece": pieces.op5_pieces,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {"op1_minhash_near_dedup": minhash.ORACLE, "op2_exact_dedup": exact.ORACLE}
