@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, pieces, quality, toxicity
+from . import exact, media, minhash, mixing, pieces, quality, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op5_sentencepiece": pieces.op5_pieces,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_media": media.op8_media,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {"op1_minhash_near_dedup": minhash.ORACLE, "op2_exact_dedup": exact.ORACLE}
