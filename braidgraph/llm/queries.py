@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact, media, minhash, mixing, pieces, quality, toxicity
+from . import exact, media, minhash, mixing, pages, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash,
     "op2_exact_dedup": exact.op2_exact,
     "op3_quality": quality.op3_quality,
+    "op4_page_text": pages.op4_pages,
     "op5_sentencepiece": pieces.op5_pieces,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_media": media.op8_media,
     "op9_mixing": mixing.op9_mixing,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {"op1_minhash_near_dedup": minhash.ORACLE, "op2_exact_dedup": exact.ORACLE}
