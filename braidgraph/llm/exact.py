@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, table, written
@@ -60,10 +60,14 @@ def _summaries(k: int):
     return run
 
 
+def normal_digest() -> Column:
+    """SHA-256 of a text with every run of white space as one space."""
+    return F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", " "), 256)
+
+
 def digested(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256 of every row, as a written table."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", " ")
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256")), "digest")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_digest().alias("text_sha256")), "digest")
 
 
 def exact_duplicates(docs: DataFrame, k: int = COUNTERS, least: int | None = None) -> DataFrame:
@@ -90,13 +94,14 @@ def exact_duplicates(docs: DataFrame, k: int = COUNTERS, least: int | None = Non
 
 
 def survivors(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept, one of each set of repeated rows."""
-    dropped = verdicts.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    again = verdicts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    left = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    once = left.join(again, left["doc_id"].eqNullSafe(F.col("_again")), "left_anti")
-    twice = left.join(again, left["doc_id"].eqNullSafe(F.col("_again")), "left_semi")
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that are kept, one of each set of repeated rows."""
+    own = docs.withColumn("__digest", normal_digest())
+    key = [F.col("__id").eqNullSafe(F.col("doc_id").cast("long")), F.col("__digest") == F.col("__sha")]
+    named = verdicts.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    left = own.join(named.where("not kept").drop("kept").distinct(), key, "left_anti")
+    again = named.groupBy("__id", "__sha").count().where("count > 1").drop("count")
+    once, twice = left.join(again, key, "left_anti"), left.join(again, key, "left_semi")
+    return once.unionByName(twice.dropDuplicates(["doc_id", "__digest"])).drop("__digest")
 
 
 def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return whole.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def survivors(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document stands for its group; rows without a doc_id stay."""
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: 4-word shingles over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)

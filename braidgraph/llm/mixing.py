@@ -25,7 +25,7 @@ import heapq
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SEED, WORD, table, written
@@ -124,7 +124,7 @@ def placed(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, se
     at = at.withColumn("from", F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), whole))
     low, high, lap = F.col("from") * block, (F.col("from") + F.col("run")) * block, F.col("blocks") * block
 
-    def cut(x: F.Column, base: F.Column) -> F.Column:
+    def cut(x: Column, base: Column) -> Column:
         return F.greatest(F.lit(0), F.least(x - base, F.col("size")))
 
     at = at.withColumn("a0", cut(low, F.col("begin"))).withColumn("a1", cut(F.least(high, lap), F.col("begin")))

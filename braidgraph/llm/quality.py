@@ -228,19 +228,19 @@ def score(text: str | None, weights: np.ndarray) -> float:
 
 
 def quality(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
-    """doc_id, quality, keep for each row; with ``carry``, all columns of ``docs`` and ``_quality``."""
+    """doc_id, quality, keep for each row; with ``carry``, all columns of ``docs`` and ``__quality``."""
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     def run(batches):
         for b in batches:
             q = pa.array([score(t, shared.value) for t in b.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.columns if carry else [b.column("doc_id")]), q], names=[*(b.schema.names if carry else ["doc_id"]), "_quality"])
+            yield pa.RecordBatch.from_arrays([*(b.columns if carry else [b.column("doc_id")]), q], names=[*(b.schema.names if carry else ["doc_id"]), "__quality"])
 
     if carry:
         kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-        return docs.mapInArrow(run, f"{kinds}, _quality double")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, _quality double")
-    return out.select("doc_id", F.col("_quality").alias("quality"), (F.col("_quality") >= 0.5).alias("keep"))
+        return docs.mapInArrow(run, f"{kinds}, __quality double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, __quality double")
+    return out.select("doc_id", F.col("__quality").alias("quality"), (F.col("__quality") >= 0.5).alias("keep"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
