@@ -58,6 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (Spark tells no case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Every text as UTF-8 bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, written
+from .common import SPACE, table, unused, written
 
 #: Counters of a Misra-Gries summary, and so the most rows that are broadcast.
 COUNTERS = 1024
@@ -95,13 +95,14 @@ def exact_duplicates(docs: DataFrame, k: int = COUNTERS, least: int | None = Non
 
 def survivors(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, one of each set of repeated rows."""
-    own = docs.withColumn("__digest", normal_digest())
-    key = [F.col("__id").eqNullSafe(F.col("doc_id").cast("long")), F.col("__digest") == F.col("__sha")]
-    named = verdicts.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
-    left = own.join(named.where("not kept").drop("kept").distinct(), key, "left_anti")
-    again = named.groupBy("__id", "__sha").count().where("count > 1").drop("count")
+    digest, of, sha = (unused(docs, x) for x in ("__digest", "__id", "__sha"))
+    own = docs.withColumn(digest, normal_digest())
+    key = [F.col(of).eqNullSafe(F.col("doc_id").cast("long")), F.col(digest) == F.col(sha)]
+    named = verdicts.select(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha), F.col("kept").alias("stays"))
+    left = own.join(named.where("not stays").select(of, sha).distinct(), key, "left_anti")
+    again = named.groupBy(of, sha).count().where("count > 1").select(of, sha)
     once, twice = left.join(again, key, "left_anti"), left.join(again, key, "left_semi")
-    return once.unionByName(twice.dropDuplicates(["doc_id", "__digest"])).drop("__digest")
+    return once.unionByName(twice.dropDuplicates(["doc_id", digest])).drop(digest)
 
 
 def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, connected, discard, mixed, pieces, table, text_bytes, written
+from .common import SEED, connected, discard, mixed, pieces, table, text_bytes, unused, written
 from .shingles import shingle_sets
 
 BANDS, ROWS, BLOCK = 48, 6, 512
@@ -212,8 +212,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 def survivors(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group; rows without a doc_id stay."""
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    of = unused(docs, "__id")
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(of), "left_anti")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

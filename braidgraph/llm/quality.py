@@ -227,20 +227,29 @@ def score(text: str | None, weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(np.clip(weights[idx] @ val + weights[-1], -30, 30))))
 
 
-def quality(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
-    """doc_id, quality, keep for each row; with ``carry``, all columns of ``docs`` and ``__quality``."""
+def quality(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, quality, keep for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     def run(batches):
         for b in batches:
             q = pa.array([score(t, shared.value) for t in b.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.columns if carry else [b.column("doc_id")]), q], names=[*(b.schema.names if carry else ["doc_id"]), "__quality"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), q], names=["doc_id", "quality"])
 
-    if carry:
-        kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-        return docs.mapInArrow(run, f"{kinds}, __quality double")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, __quality double")
-    return out.select("doc_id", F.col("__quality").alias("quality"), (F.col("__quality") >= 0.5).alias("keep"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double")
+    return out.withColumn("keep", F.col("quality") >= 0.5)
+
+
+def clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([score(t, shared.value) >= 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ the shared folder as Parquet and reads it again, so a lost executor costs one st
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from braidgraph.llm import exact, minhash, mixing, pieces, quality
 from braidgraph.llm.common import table, written
@@ -15,8 +14,7 @@ from braidgraph.llm.common import table, written
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer takes for clean."""
-    scored = quality.quality(docs, quality.trained(docs), carry=True)
-    return scored.where(F.col("__quality") >= 0.5).drop("__quality")
+    return quality.clean(docs, quality.trained(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
