@@ -73,8 +73,8 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
-    """Cut a batch into slices of about ``limit`` bytes of text, a row at least."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+    """Cut a batch into slices of about ``limit`` bytes of text, a row at least: what a worker holds at once, many times over."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

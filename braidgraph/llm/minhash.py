@@ -123,7 +123,7 @@ def _possible(ids, comp, side, size, short, percent, cross):
         _, token = np.unique(token, return_inverse=True)
         order = np.argsort(token, kind="stable")
         of, token = of[order], token[order]
-        width = max(1, (16 << 20) // max(n, 1))
+        width = max(1, (4 << 20) // max(n, 1))
         for at in range(0, int(token[-1]) + 1, width):
             lo, hi = np.searchsorted(token, [at, at + width])
             m = np.zeros((n, min(width, int(token[-1]) + 1 - at)), dtype=np.float32)

@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces as slices
 from .common import table
 
 MARK = "▁"
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 250_000, 64, 1_500_000
 
 
 def load(model: str) -> dict:
@@ -64,7 +65,7 @@ class Pieces:
         self.when = [-1 if len(p) == 1 else i for i, p in enumerate(self.pieces)]
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         automaton = ahocorasick.Automaton()
         for p in self.known:
             automaton.add_word(p, (self.ids[p], 1))
@@ -83,7 +84,6 @@ class Pieces:
         automaton.make_automaton()
         self.automaton = automaton
         self.cache: dict[str, bytes] = {}
-        self.inner: dict[str, list[int]] = {}
 
     def _made(self, i: int) -> bool:
         return len(self.pieces[i]) == 1 or i in self.parts
@@ -110,12 +110,12 @@ class Pieces:
             if at:
                 if not size[at]:
                     continue
-                pair = (last[at], t)
+                pair = last[at] << 20 | t
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > CACHED_PAIRS:
                         fits.clear()
-                    ok = fits[pair] = self._compatible(*pair)
+                    ok = fits[pair] = self._compatible(last[at], t)
                 if not ok:
                     continue
             last[end + 1], size[end + 1] = t, n
@@ -158,15 +158,8 @@ class Pieces:
                 out += [self.byte_ids[b] for b in part.encode()]
             elif MARK + MARK in part or part == MARK:
                 out += self._merges(part)
-            elif len(part) > CACHED_LENGTH:
-                out += self._prefixes(part)
             else:
-                ids = self.inner.get(part)
-                if ids is None:
-                    if len(self.inner) >= CACHED_WORDS:
-                        self.inner.clear()
-                    ids = self.inner[part] = self._prefixes(part)
-                out += ids
+                out += self._prefixes(part)
         return out
 
     def packed(self, text: str) -> bytes:
@@ -249,7 +242,7 @@ def tokenized(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches):
         pieces = _worker(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text in batch.column("text").to_pylist():
                 ids = pieces.encode(text)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, table, written
+from .common import SEED, pieces, table, written
 
 SAMPLE, BITS = 20_000, 12
 _TAIL = re.compile(r"[#$%&*@^~=_+<>\\|{}\[\]]{2,}$")
@@ -53,7 +53,7 @@ def _word(word: str) -> tuple:
         s = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:200])
         s = re.sub(r"a+", "a", re.sub(r"(.)\1{2,}", r"\1\1", s))[:12]
         found = (s, word.strip(".,;:!?\"'()"), bool(_TAIL.search(word)), word.endswith("!!"), word in "|•·–—>»", not any(map(str.isalnum, word)))
-        if len(_words) > 200_000:
+        if len(_words) > 50_000:
             _words.clear()
         if len(word) <= 40:
             _words[word] = found
@@ -197,7 +197,7 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds:
 
 
 def _voting(batches):
-    for b in batches:
+    for b in (part for batch in batches for part in pieces(batch)):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([votes(t) for t in b.column("text").to_pylist()])], names=["doc_id", "pattern"])
 
 
@@ -232,7 +232,7 @@ def quality(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch)):
             q = pa.array([score(t, shared.value) for t in b.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), q], names=["doc_id", "quality"])
 
@@ -243,11 +243,12 @@ def quality(docs: DataFrame, model: dict) -> DataFrame:
 def clean(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
-    at = [c.lower() for c in docs.columns].index("text")
+    docs_text = next(c for c in docs.columns if c.lower() == "text")
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array([score(t, shared.value) >= 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+        for batch in batches:
+            for b in pieces(batch, docs_text):
+                yield b.filter(pa.array([score(t, shared.value) >= 0.5 for t in b.column(docs_text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
