@@ -6,13 +6,15 @@
    the article itself.
 2. *Article.*  Where a page marks its article (``article``, else ``main`` or its role), exactly the lines in there stay.
    Marked articles are not differenced: copies of one article under two URLs would delete each other.
-3. *Differencing.*  All other pages are paired with the page of the same host whose URL path is nearest: the neighbour in
-   (path, id) order with the longer common prefix.  The lines of both are aligned by their longest common
-   subsequence, and shared lines are deleted.  A neighbour that shares over ``COPY`` of the page's lines is a copy
-   of it and says nothing about furniture; then the neighbour on the other side is taken, or none.
+3. *Differencing.*  All other pages are ordered among themselves by (host, path, id), and a run of equal line lists stands
+   for one page: copies say nothing about furniture.  A page is paired with the last page before its run or the first one
+   after it on the same host, that with the longer common prefix of the URL path first; where this one shares nothing, the
+   other.  The lines of both are aligned by their longest common subsequence, and shared lines are deleted.  A neighbour
+   that shares over ``COPY`` of the page's lines may be a near copy: then lines stay that the other neighbour, if it shares
+   any, does not have.
 
 The order comes from a range partitioning of (host, path, id) with line hashes, so a host with a third of all pages is
-spread over many tasks.  Only first and last rows of partitions (two a partition) meet in one small window.
+spread over many tasks.  Only the first and last runs of partitions, one row each, meet in one small task.
 
 Cases: null or empty html gives an empty text.  A null or odd URL has the empty host.  Repeated rows repeat their result.
 A page alone on its host keeps its lines.  Unclosed and stray tags are tolerated.  Other columns are ignored.
@@ -26,7 +28,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, table, written
@@ -204,7 +206,7 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def shared_lines(own: list[int], path: str, others: list[tuple[str, list[int]]], copy: float = COPY) -> list[int]:
-    """Indices of the lines that a page shares with the nearest of its neighbours that is no copy."""
+    """Indices of the lines that a page shares with the nearest of its neighbours that shares any."""
 
     def near(other: str) -> int:
         n = 0
@@ -214,11 +216,14 @@ def shared_lines(own: list[int], path: str, others: list[tuple[str, list[int]]],
             n += 1
         return n
 
-    for _, lines in sorted(others, key=lambda o: -near(o[0])):
-        found = common_lines(own, lines)
-        if len(found) <= copy * len(own):
-            return found
-    return []
+    ordered = sorted((o for o in others if o[1] != own), key=lambda o: -near(o[0]))
+    found = [x for x in (common_lines(own, lines) for _, lines in ordered) if x]
+    if not found:
+        return []
+    if len(found[0]) > copy * len(own) and len(found) > 1:
+        both = set(found[1])
+        return [i for i in found[0] if i in both]
+    return found[0]
 
 
 def _place(url: str | None) -> tuple[str, str]:
@@ -246,41 +251,73 @@ def _parsed(batches):
             )
 
 
-_NEAR = "key long, page_id long, host string, path string, marked boolean, hashes array<long>, edge int, before struct<path: string, hashes: array<long>>, after struct<path: string, hashes: array<long>>"
+_SIDE = "struct<path: string, hashes: array<long>>"
+_NEAR = f"key long, host string, path string, last string, hashes array<long>, part int, edge int, whole boolean, before {_SIDE}, after {_SIDE}"
+_ENDS = f"part int, edge int, p {_SIDE}, n {_SIDE}"
+_SIDE_ARROW = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
+
+
+def _side(host: str, other_host: str, path: str, hashes: list[int]) -> dict | None:
+    return {"path": path, "hashes": hashes} if host == other_host else None
 
 
 def _neighbours(batches):
-    """Rows in order -> rows that need their neighbours with them, and the rows at both ends."""
-    kind = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
-    side = lambda x, y: {"path": x["path"], "hashes": x["hashes"]} if x and y and x["host"] == y["host"] else None
+    """Rows in order -> rows with the nearest others on both sides that are no copies.  The first run of equal pages of a
+    partition lacks the side before it (edge 1), the last the side after it (edge 2); both have a row for the ``whole`` run."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    types = {"key": pa.int64(), "host": pa.string(), "path": pa.string(), "last": pa.string(), "hashes": pa.list_(pa.int64()), "part": pa.int32(), "edge": pa.int32(), "whole": pa.bool_(), "before": _SIDE_ARROW, "after": _SIDE_ARROW}
+
+    def members():
+        run, before, first = None, None, True
+
+        def closed(after, edge):
+            host, hashes, rows = run
+            for key, path in rows:
+                yield (key, host, path, None, hashes, part, edge, False, before, after)
+            if edge:
+                yield (None, host, rows[0][1], rows[-1][1], hashes, part, edge, True, before, after)
 
-    def rows():
         for batch in batches:
-            yield from batch.to_pylist()
+            for key, host, path, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "path", "hashes")), strict=True):
+                if run is not None and run[0] == host and run[1] == hashes:
+                    run[2].append((key, path))
+                    continue
+                if run is not None:
+                    yield from closed(_side(host, run[0], path, hashes), int(first))
+                    before, first = _side(run[0], host, run[2][-1][1], run[1]), False
+                run = (host, hashes, [(key, path)])
+        if run is not None:
+            yield from closed(None, 2 + first)
 
     def built(out):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([o[0][n] for o in out], t) for n, t in (("key", pa.int64()), ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("marked", pa.bool_()), ("hashes", pa.list_(pa.int64())))]
-            + [pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], kind), pa.array([o[3] for o in out], kind)],
-            names=["key", "page_id", "host", "path", "marked", "hashes", "edge", "before", "after"],
-        )
-
-    before, now, out, first = None, None, [], True
-    for row in rows():
-        if now is not None:
-            if first or not now["marked"]:
-                out.append((now, 1 if first else 0, side(before, now), side(row, now)))
-            first, before = False, now
-            if len(out) >= 2000:
-                yield built(out)
-                out = []
-        now = row
-    if now is not None:
-        out.append((now, 3 if first else 2, side(before, now), None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], names=list(types))
+
+    out = []
+    for row in members():
+        out.append(row)
+        if len(out) >= 2000:
+            yield built(out)
+            out = []
     if out:
         yield built(out)
 
 
+def _joined_ends(batches):
+    """The end runs of all partitions in order, two a partition at most -> what lies before and after each."""
+    runs = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["part"], r["edge"]))
+    for order, bit, mine, seen in ((runs, 1, "before", "last"), (runs[::-1], 2, "after", "path")):
+        other = None
+        for r in order:
+            if r["edge"] & bit and other and other["host"] == r["host"]:
+                r[mine] = other[mine] if other["hashes"] == r["hashes"] else {"path": other[seen], "hashes": other["hashes"]}
+            other = r
+    if runs:
+        columns = [pa.array([r[n] for r in runs], t) for n, t in (("part", pa.int32()), ("edge", pa.int32()), ("before", _SIDE_ARROW), ("after", _SIDE_ARROW))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "edge", "p", "n"])
+
+
 def _deleted(batches):
     for b in batches:
         drops = []
@@ -296,14 +333,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     schema = "key long, page_id long, url string, host string, path string, marked boolean, hashes array<long>, lines array<string>"
     parsed = written(pages.withColumn("key", F.xxhash64("page_id", "url", "html")).mapInArrow(_parsed, schema), "pages")
     order = ["host", "path", "page_id", "key"]
-    light = parsed.select("key", "page_id", "host", "path", "marked", "hashes")
+    light = parsed.where("not marked and size(hashes) > 0").select("key", "page_id", "host", "path", "hashes")
     near = written(light.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near")
-    # rows at the ends of partitions, two a partition: their neighbours are the ends of the partitions beside them
-    w = Window.orderBy(*order)
-    other = lambda f: F.when(f("host", 1).over(w) == F.col("host"), F.struct(f("path", 1).over(w).alias("path"), f("hashes", 1).over(w).alias("hashes")))
-    ends = near.where("edge > 0").withColumn("p", other(F.lag)).withColumn("n", other(F.lead))
-    ends = ends.withColumn("before", F.when(F.col("edge").isin(1, 3), F.col("p")).otherwise(F.col("before"))).withColumn("after", F.when(F.col("edge").isin(2, 3), F.col("n")).otherwise(F.col("after")))
-    todo = near.where("edge = 0").unionByName(ends.drop("p", "n")).where("not marked").select("key", "path", "hashes", "before", "after")
+    ends = near.where("whole").repartition(1).mapInArrow(_joined_ends, _ENDS)
+    cut = near.where("not whole and edge > 0").drop("before", "after").join(ends, ["part", "edge"]).select("key", "path", "hashes", F.col("p").alias("before"), F.col("n").alias("after"))
+    todo = near.where("edge = 0").select("key", "path", "hashes", "before", "after").unionByName(cut)
     drops = todo.mapInArrow(_deleted, "key long, drops array<int>").dropDuplicates(["key"])
     kept = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("drops", F.array().cast("array<int>")), i))
     free = parsed.where("not marked").join(drops, "key", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
