@@ -1,13 +1,16 @@
 """Operator 7: personal data replaced by surrogates.
 
 *Detection* on whole texts: e-mail addresses, payment cards, phone numbers, IPv4 and IPv6 addresses, US social security
-numbers, IBANs, and person names (after a title, or a known given name before a capitalised surname).
+numbers, IBANs, and person names (after a title, or a known given name before a capitalised surname; in Chinese one of the
+100 or so commonest surnames before a known given name).  A run of digits with single blanks or hyphens is split into cards
+of whole groups: as many digits as possible in cards whose check digit fits, then in cards at all.  After the run's first
+group, groups of a card have three digits or more, but for its last.
 
 *Surrogates* are keyed and type-consistent.  An entity is normalised (case, separators, country prefix) and its
 characters are permuted within their classes: digits stay digits, consonants and vowels of a script stay such, everything
 else keeps its place, so format and script are those of the original.  Check digits (Luhn, IBAN) and classes
 (private or public address, valid number) carry over; known given names go to given names of the same gender and
-script.
+script, Chinese surnames to such.
 
 *Distinctness and coreference.*  For each format the replacement is a bijection without fixed points: a keyed Feistel
 network, one step along the cycle, and back.  So an entity has the same surrogate in all documents, two entities
@@ -52,6 +55,10 @@ GIVEN = {
     ("m", "han"): "建国 志强 建华 国强 文明 永强".split(),
 }
 _GIVEN = {n.lower(): (k, i) for k, names in GIVEN.items() for i, n in enumerate(names)}
+_HAN_SURNAMES = ["王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤", ["欧阳", "司马", "上官", "诸葛"]]
+_HAN_GIVEN = [n for (_, script), names in GIVEN.items() if script == "han" for n in names]
+#: 文明 is a word too, and many surnames end one before it: such a name begins its phrase.
+_HAN = rf"(?:{'|'.join(_HAN_SURNAMES[1])}|[{_HAN_SURNAMES[0]}])(?:{'|'.join(n for n in _HAN_GIVEN if n != '文明')})|(?<![\u4e00-\u9fff])(?:{'|'.join(_HAN_SURNAMES[1])}|[{_HAN_SURNAMES[0]}])文明"
 _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа".split()
 _SURNAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -61,17 +68,51 @@ PATTERNS = {
     "ip": re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
     "ipv6": re.compile(r"(?<![:\w])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![:\w])"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "card": re.compile(r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?!\d)"),
+    "card": re.compile(r"\d+(?:[ -]\d+)*"),
     "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\d)"),
-    "name": re.compile(rf"(?<!\w)(?:(?:{'|'.join(_TITLES)})\.? (?:{_SURNAME} )?{_SURNAME}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_SURNAME})(?!\w)"),
+    "name": re.compile(rf"(?<!\w)(?:(?:{'|'.join(_TITLES)})\.? (?:{_SURNAME} )?{_SURNAME}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_SURNAME})(?!\w)|{_HAN}"),
 }
+_NAMED = re.compile("|".join([*_TITLES, *(n for ns in GIVEN.values() for n in ns)]))
+
+
+def _cards(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the payment cards of a text."""
+    out = []
+    for m in PATTERNS["card"].finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        groups = [(g.start(), g.end()) for g in re.compile(r"\d+").finditer(text, *m.span())]
+        best: list[tuple] = [(0, 0, 0, 0)] * (len(groups) + 1)  # (digits of fitting cards, of all cards, -cards, group after the card)
+        for i in range(len(groups) - 1, -1, -1):
+            best[i] = (*best[i + 1][:3], 0)
+            d = ""
+            for j in range(i, len(groups)):
+                a, b = groups[j]
+                if len(d) + b - a > 19:
+                    break
+                d += text[a:b]
+                if len(d) >= 13:
+                    after = best[j + 1]
+                    best[i] = max(best[i], (after[0] + len(d) * (_luhn(d[:-1]) == int(d[-1])), after[1] + len(d), after[2] - 1, j + 1))
+                if i and b - a < 3:
+                    break
+        i = 0
+        while i < len(groups):
+            if best[i][3]:
+                out.append((groups[i][0], groups[best[i][3] - 1][1]))
+            i = best[i][3] or i + 1
+    return out
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, without overlaps."""
     text, out = text or "", []
     digits = re.search(r"\d", text) is not None
+    cards = _cards(text) if digits else []
+    out += [(*c, "card") for c in cards]
     for kind, pattern in PATTERNS.items():
+        if kind == "card":
+            continue
         if kind == "email":
             if "@" not in text:
                 continue
@@ -79,11 +120,13 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             if text.count(":") < 2:
                 continue
         elif kind == "name":
-            if not any(t in text for t in _TITLES) and not any(w.lower() in _GIVEN for w in text.split() if w[:1].isupper()):
+            if not _NAMED.search(text):
                 continue
         elif not digits:
             continue
         for m in pattern.finditer(text):
+            if kind == "phone" and (cut := next((a for a, b in cards if m.start() < a < m.end() < b), None)) and not (m := pattern.match(text, m.start(), cut)):
+                continue  # ran into a card
             n = sum(map(str.isdigit, m[0]))
             if kind == "phone" and not (7 <= n <= 15 and (n >= 10 or m[0][0] in "+(")):
                 continue
@@ -235,6 +278,9 @@ def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
         body = _recased(d[4:], permuted(key, "iban" + d[:2], d[4:].lower()))
         check = 98 - int("".join(str(int(c, 36)) for c in body + d[:2] + "00")) % 97
         return _refill(s, f"{d[:2]}{check:02d}{body}")
+    if s[-2:] in _HAN_GIVEN:
+        surnames = _HAN_SURNAMES[len(s) > 3]
+        return surnames[Cycle(key, f"surname|han{len(s)}", 1, len(surnames))(surnames.index(s[:-2]))] + _given(key, s[-2:])
     words = s.split(" ")
     out = [w if w.rstrip(".") in _TITLES else _given(key, w) if w.lower() in _GIVEN else _surname(key, w) for w in words]
     return " ".join(out)

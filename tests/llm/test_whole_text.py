@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from braidgraph.llm import pages
+from braidgraph.llm import pages, pii
 
 
 def test_pages_short_articles_copies_and_marked_neighbours(spark):
@@ -30,3 +30,28 @@ def test_pages_runs_over_partitions():
 
 def test_pages_near_copies_keep_their_article():
     assert pages.shared_lines(list(range(12)), "/a", [("/a", [*range(11), 99]), ("/b", [0, 50, 51])]) == [0]
+
+
+def _found(text, kind):
+    return [text[a:b] for a, b, k in pii.find(text) if k == kind]
+
+
+def test_cards_after_other_numbers():
+    a, b = "7536784127813050", "4845168114407329"
+    for text in (f"{a} {b}", f"no 12 {a}, 7 {b}", f"{a}-{b} 123"):
+        assert _found(text, "card")[-1:] == [b] or _found(text, "card")[-1:] == [b + " 123"], text
+        assert b not in pii.replaced(text)[0] and a not in pii.replaced(text)[0]
+    card = "4111 1111 1111 1111"
+    assert _found(f"{card} {card}", "card") == [card, card] and _found(f"12 {card}", "card") == _found(f"+49 {card}", "card") == [card]
+    assert _found("+4917012345678", "phone") == ["+4917012345678"] and _found("1234 56 78", "card") == []
+
+
+def test_names_after_signs_and_han_names():
+    for text in ("(Anna Schmidt)", '"Anna Schmidt"', "x-Anna Schmidt", "«Anna Schmidt»"):
+        assert _found(text, "name") == ["Anna Schmidt"] and "Anna" not in pii.replaced(text)[0], text
+    for text, name in (("我叫王建国。", "王建国"), ("欧阳秀英", "欧阳秀英"), ("(李文明)", "李文明")):
+        new = pii.replaced(text)[0]
+        assert _found(text, "name") == [name] and len(new) == len(text) and not set(name[-2:]) <= set(new) and _found(new, "name"), text
+    assert _found("西方文明", "name") == []
+    names = [s + g for s in pii._HAN_SURNAMES[0] for g in pii._HAN_GIVEN]
+    assert len({pii.surrogate("name", n) for n in names}) == len(set(names)) == len(names) and all(pii.surrogate("name", n) != n for n in names)
