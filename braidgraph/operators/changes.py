@@ -82,11 +82,19 @@ def delta(before: RepoGraph, after: RepoGraph) -> DataFrame:
     return a.join(b, "id", "full_outer").select("id", kind.alias("change")).where("change is not null")
 
 
-def co_changes(changes: DataFrame, most_files: int = 50) -> DataFrame:
-    """a, b, n: files that change in the same commits (commit, path).  Commits of more than ``most_files`` files are bulk edits
-    and say nothing; leaving them out is the definition of the measure."""
+def co_changes(changes: DataFrame, most_files: int | None = None, block: int = 1000) -> DataFrame:
+    """a, b, n: files that change in the same commits (commit, path); ``most_files`` leaves out larger commits.
+
+    The files of a commit fall into blocks of about ``block``, and each pair of blocks is joined on its own, so the pairs of
+    a large commit are spread over tasks.  They are counted there before they are shuffled.
+    """
     rows = changes.select("commit", "path").distinct()
-    few = rows.groupBy("commit").agg(F.count("*").alias("files")).where(F.col("files") <= most_files).select("commit")
-    rows = rows.join(few, "commit", "left_semi")
-    pairs = rows.withColumnRenamed("path", "a").join(rows.withColumnRenamed("path", "b"), "commit").where("a < b")
+    sizes = rows.groupBy("commit").agg(F.count("*").alias("files"))
+    if most_files is not None:
+        sizes = sizes.where(F.col("files") <= most_files)
+    rows = rows.join(sizes.select("commit", F.ceil(F.col("files") / block).alias("blocks")), "commit")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.select("commit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "path", "own")
+    pairs = rows.withColumnRenamed("path", "a").withColumnRenamed("own", "x").join(rows.withColumnRenamed("path", "b").withColumnRenamed("own", "y"), ["commit", "low", "high"])
+    pairs = pairs.where("a < b and least(x, y) = low and greatest(x, y) = high")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))

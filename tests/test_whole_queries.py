@@ -1,6 +1,10 @@
 """Registered queries do the whole job: no row, level or commit is left out."""
 
+import itertools
+from collections import Counter
+
 from braidgraph import catalog
+from braidgraph.operators import changes as X
 
 
 def test_deprecated_scan_has_all_documents(spark, tmp_path):
@@ -8,3 +12,14 @@ def test_deprecated_scan_has_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["deprecated"] for r in catalog.QUERIES["deprecated_scan"](spark, str(tmp_path)).collect()}
     assert found == {i: i != 4 for i in (1, 2, 3, 4, 6, None)}
+
+
+def test_co_changes_of_large_commits(spark, tmp_path):
+    commits = {1: range(60), 2: range(50, 55), 3: [7], 4: range(40, 110)}
+    rows = [(c, f"p{i}") for c, files in commits.items() for i in files]
+    wanted = Counter(pair for files in commits.values() for pair in itertools.combinations(sorted(f"p{i}" for i in files), 2))
+    changes = spark.createDataFrame([*rows, *rows[:9]], "commit long, path string")
+    for block in (1000, 7, 1):
+        assert {(r["a"], r["b"]): r["n"] for r in X.co_changes(changes, block=block).collect()} == wanted
+    changes.selectExpr("commit as l_orderkey", "cast(substr(path, 2) as long) as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r["a"], r["b"]): r["n"] for r in catalog.QUERIES["co_changes"](spark, str(tmp_path)).collect()} == wanted
