@@ -34,7 +34,7 @@ QUERIES = {
     "impact_with_tests": lambda s, d: _flat(_found(s, d, include_tests=True)),
     "impact_depth2": lambda s, d: _flat(_found(s, d, max_depth=2)),
     "impact_via": via_rows,
-    "impact_distributed": lambda s, d: _flat(_found(s, d, max_depth=3, local_edges=0)),
+    "impact_distributed": lambda s, d: _flat(_found(s, d, local_edges=0)),
     "impact_multi_target": lambda s, d: I.merged(_found(s, d, 3)).withColumn("via", F.array_join("via", ",")),
     "impact_summary": lambda s, d: I.summary(I.merged(_found(s, d, 3))),
     "impact_topk": lambda s, d: _flat(I.nearest(I.merged(_found(s, d, 3)))),

@@ -54,7 +54,7 @@ def nearest(found: DataFrame, k: int = MAX_FILES) -> DataFrame:
     return found.orderBy("distance", "path").limit(k)
 
 
-def blast_radii(graph: RepoGraph, max_depth: int = 3, include_tests: bool = False) -> DataFrame:
+def blast_radii(graph: RepoGraph, max_depth: int = MAX_DEPTH, include_tests: bool = False) -> DataFrame:
     """path, total, blast_radius for every file of the graph."""
     files = graph.of_type(FILE).select(F.col("id").alias("target"), "path")
     counts = dependents(graph, files.select("target"), max_depth, include_tests).groupBy("target").agg(F.count("*").alias("n"))

@@ -4,6 +4,8 @@ import itertools
 from collections import Counter
 
 from braidgraph import catalog
+from braidgraph.catalog import impact as catalog_impact
+from braidgraph.model import graph_of
 from braidgraph.operators import changes as X
 
 
@@ -23,3 +25,25 @@ def test_co_changes_of_large_commits(spark, tmp_path):
         assert {(r["a"], r["b"]): r["n"] for r in X.co_changes(changes, block=block).collect()} == wanted
     changes.selectExpr("commit as l_orderkey", "cast(substr(path, 2) as long) as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r["a"], r["b"]): r["n"] for r in catalog.QUERIES["co_changes"](spark, str(tmp_path)).collect()} == wanted
+
+
+def test_impact_queries_walk_to_full_depth(spark, monkeypatch):
+    paths = [f"src/f{i:02}.ts" for i in range(14)]
+    edges = [{"from": f"FILE:{b}", "to": f"FILE:{a}", "type": "IMPORTS", "metadata": None, "edge_seq": i} for i, (a, b) in enumerate(itertools.pairwise(paths))]
+    edges += [edges[0] | {"from": f"FILE:{paths[13]}", "edge_seq": 20}]
+    graph = graph_of(spark, [{"type": "FILE", "path": p} for p in paths], edges)
+    monkeypatch.setattr(catalog_impact, "flagship_graph", lambda s, d: graph)
+
+    def walk(target):
+        level, seen, depth = {target}, {}, 0
+        while level and depth < 10:
+            depth += 1
+            level = {e["from"][5:] for e in edges if e["to"][5:] in level} - seen.keys()
+            seen |= dict.fromkeys(level, depth)
+        return seen
+
+    got = {r["path"]: (r["total"], r["blast_radius"]) for r in catalog.QUERIES["blast_radius_all_files"](spark, "").collect()}
+    band = lambda n: "unknown" if n == 0 else "low" if n <= 3 else "medium" if n <= 10 else "high"
+    assert got == {p: (len(walk(p)), band(len(walk(p)))) for p in paths} and got[paths[0]][0] == 11
+    far = {r["path"]: r["distance"] for r in catalog.QUERIES["impact_distributed"](spark, "").collect()}
+    assert far == walk(paths[0]) and max(far.values()) == 10
