@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import RepoGraph
+from ..model import FILE, RepoGraph
 from ..operators import layers as L
 from .files import flagship_graph
 from .sql import MATRIX
@@ -28,19 +28,25 @@ def _violations(s, d):
     return L.violations(*_layers(s, d))
 
 
+def graph_confidence(graph: RepoGraph) -> DataFrame:
+    """The confidence of the layering under src, with the score of that folder and the group cycles of the graph."""
+    src = L.root_scores(graph.of_type(FILE).select("path")).where("folder = 'src'").first()
+    return L.confidence(L.net_scores(graph), root_score=src["score"] if src else 0, cycles=L.cycles(L.import_matrix(graph)).count())
+
+
 QUERIES = {
     "group_assignment": _on_graph(L.groups),
     "group_import_matrix": _on_graph(L.import_matrix),
     "group_net_scores": _on_graph(L.net_scores),
     "layer_assignment": lambda s, d: assignment_with_roles(flagship_graph(s, d)),
     "ambiguous_pairs": lambda s, d: L.ambiguous_pairs(L.net_scores(flagship_graph(s, d))),
-    "layer_confidence": lambda s, d: L.confidence(L.net_scores(flagship_graph(s, d)), root_score=35, cycles=1),
+    "layer_confidence": lambda s, d: graph_confidence(flagship_graph(s, d)),
     "layer_roles": lambda s, d: L.layer_roles(_layers(s, d)[1], [*L.NAMING_RULES, ("^med", "Medium Layer", 3), ("^(medium)$", "Exact Medium Layer", 3)]),
     "layer_violations": _violations,
     "violation_file_pairs": lambda s, d: L.violation_pairs(*_layers(s, d)),
     "layer_health": lambda s, d: L.health(_violations(s, d)),
     "mutual_imports": lambda s, d: L.mutual_imports(L.import_matrix(flagship_graph(s, d)), _layers(s, d)[1]),
-    "dependency_score": _on_graph(L.dependency_scores, with_cycles=False),
+    "dependency_score": _on_graph(L.dependency_scores),
     "group_scc": lambda s, d: L.group_sccs(L.import_matrix(flagship_graph(s, d))),
     "group_cycles": lambda s, d: L.cycles(L.import_matrix(flagship_graph(s, d))),
 }

@@ -5,8 +5,10 @@ from collections import Counter
 
 from braidgraph import catalog
 from braidgraph.catalog import impact as catalog_impact
+from braidgraph.catalog import layers as catalog_layers
 from braidgraph.model import graph_of
 from braidgraph.operators import changes as X
+from braidgraph.operators import layers as L
 
 
 def test_deprecated_scan_has_all_documents(spark, tmp_path):
@@ -47,3 +49,24 @@ def test_impact_queries_walk_to_full_depth(spark, monkeypatch):
     assert got == {p: (len(walk(p)), band(len(walk(p)))) for p in paths} and got[paths[0]][0] == 11
     far = {r["path"]: r["distance"] for r in catalog.QUERIES["impact_distributed"](spark, "").collect()}
     assert far == walk(paths[0]) and max(far.values()) == 10
+
+
+def test_layer_queries_count_group_cycles(spark, monkeypatch):
+    groups = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "d"), ("e", "a")]
+    names = sorted({g for pair in groups for g in pair})
+    edges = [{"from": f"FILE:src/{x}/{x}.ts", "to": f"FILE:src/{y}/{y}.ts", "type": "IMPORTS", "metadata": None, "edge_seq": i} for i, (x, y) in enumerate(groups)]
+    extra = [{"type": "FILE", "path": p} for p in ("src/package.json", "src/tsconfig.json")]
+    graph = graph_of(spark, [{"type": "FILE", "path": f"src/{g}/{g}.ts"} for g in names] + extra, edges)
+    monkeypatch.setattr(catalog_layers, "flagship_graph", lambda s, d: graph)
+    simple = [c for n in range(2, 6) for c in itertools.permutations(names, n) if c[0] == min(c) and all(p in groups for p in zip(c, c[1:] + c[:1], strict=True))]
+    assert len(simple) == 2
+    wanted = {g: sum(-(-len(c) // 2) for c in simple if g in c) for g in names}
+    rows = {r["group"]: r for r in catalog.QUERIES["dependency_score"](spark, "").collect()}
+    assert {g: rows[g]["cycle_penalty"] for g in names} == wanted
+    for g in names:
+        into, out = sum(y == g for _, y in groups), sum(x == g for x, _ in groups)
+        assert rows[g]["net_score"] == into - out - wanted[g]
+    scores = [r["net_score"] for r in L.net_scores(graph).collect()]
+    spread = sum((x - sum(scores) / len(scores)) ** 2 for x in scores)
+    sure = L.confidence_of(33, spread, len(simple), L.ambiguous_pairs(L.net_scores(graph)).first()["n"])
+    assert catalog.QUERIES["layer_confidence"](spark, "").first()["confidence"] == sure
