@@ -6,7 +6,7 @@
    pattern; there are at most ``3 ** len(LABELLERS)`` patterns and far fewer in practice, each a row for
    the driver whatever the corpus.  EM over them estimates the share of junk and each labeller's
    accuracy when it votes (and how often it votes), and gives every pattern a posterior.
-3. *Hashed linear scorer.*  A logistic regression on hashed word shapes and their neighbourhoods is
+3. *Hashed linear scorer.*  A logistic regression on hashed word shapes, the ends of words and echoes is
    trained on the posteriors of at most ``SAMPLE`` documents, those with the smallest hash of the doc_id
    (a documented bound), and scores every document.
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import SEED, pieces, table, written
 
-SAMPLE, BITS = 20_000, 12
+SAMPLE, BITS, PIECE = 20_000, 12, 12
+_REPEATS, _LETTERS = re.compile(r"(.)\1{2,}", re.S), re.compile(r"a+")
 _TAIL = re.compile(r"[#$%&*@^~=_+<>\\|{}\[\]]{2,}$")
 _END = re.compile(r"[.!?…:;][\"')\]]*\s*$")
 _UPPER, _LETTER, _DIGIT = (np.array([ord(c) for c in cs]) for cs in (string.ascii_uppercase, string.ascii_letters, string.digits))
@@ -39,20 +40,31 @@ _SYMBOL = np.array([ord(c) for c in "#$%&*@^~=_+<>\\|{}[]"])
 _words: dict[str, tuple] = {}
 
 
+def _shapes(word: str) -> tuple[str, ...]:
+    """The shape of the whole word in pieces of up to ``PIECE`` characters: runs of one class shrink to one or two."""
+    s = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    s = _LETTERS.sub("a", _REPEATS.sub(r"\1\1", s))
+    return tuple(s[i : i + PIECE] for i in range(0, len(s), PIECE))
+
+
+def _tails(word: str) -> set[str]:
+    """The last one and two signs of the whole word, as shapes, unless letters and digits alone."""
+    s = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[-2:])
+    return {t for t in (s[-1:], s[-2:]) if not t.isalpha()}
+
+
 def _word(word: str) -> tuple:
-    """(shape, word without punctuation, ends in symbols, shouted, a bar, no letter or digit)"""
+    """(shapes, ends, word without punctuation, ends in symbols, shouted, a bar, no letter or digit)"""
     if word.isalpha():
         if word.islower():
-            return ("a", word, False, False, False, False)
+            return (("a",), (), word, False, False, False, False)
         if word[1:].islower():
-            return ("Aa", word, False, False, False, False)
+            return (("Aa",), (), word, False, False, False, False)
     elif word[-1] in ".," and word[:-1].isalpha() and word.islower():
-        return ("a" + word[-1], word[:-1], False, False, False, False)
+        return (("a" + word[-1],), (word[-1], "a" + word[-1]), word[:-1], False, False, False, False)
     found = _words.get(word)
     if found is None:
-        s = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:200])
-        s = re.sub(r"a+", "a", re.sub(r"(.)\1{2,}", r"\1\1", s))[:12]
-        found = (s, word.strip(".,;:!?\"'()"), bool(_TAIL.search(word)), word.endswith("!!"), word in "|•·–—>»", not any(map(str.isalnum, word)))
+        found = (_shapes(word), tuple(sorted(_tails(word))), word.strip(".,;:!?\"'()"), bool(_TAIL.search(word[-2:])), word.endswith("!!"), word in "|•·–—>»", not any(map(str.isalnum, word)))
         if len(_words) > 50_000:
             _words.clear()
         if len(word) <= 40:
@@ -65,7 +77,7 @@ def _tokens(text: str):
     words = text.split()
     counts = Counter(words)
     infos = {w: _word(w) for w in counts}
-    return words, [(infos[w], c) for w, c in counts.items()], [infos[w][1] for w in words]
+    return words, [(infos[w], c) for w, c in counts.items()], [infos[w][2] for w in words]
 
 
 def measures(text: str | None) -> dict[str, float]:
@@ -80,12 +92,12 @@ def measures(text: str | None) -> dict[str, float]:
     whole = letters + int(raw[:128].sum()) - ascii_letters
     return {
         "words": len(words),
-        "tails": sum(c for i, c in infos if i[2]) / n,
+        "tails": sum(c for i, c in infos if i[3]) / n,
         "symbols": int(raw[_SYMBOL].sum()) / max(1, whole),
-        "bangs": sum(c for i, c in infos if i[3]) / n,
+        "bangs": sum(c for i, c in infos if i[4]) / n,
         "upper": int(raw[_UPPER].sum()) / max(1, ascii_letters),
-        "bars": sum(c for i, c in infos if i[4]) / n,
-        "alone": sum(c for i, c in infos if i[5]) / n,
+        "bars": sum(c for i, c in infos if i[5]) / n,
+        "alone": sum(c for i, c in infos if i[6]) / n,
         "again": sum(map(operator.eq, low, low[1:])) / pairs,
         "pairs": len(set(zip(low, low[1:], strict=False))) / pairs,
         "variety": len(set(low)) / n,
@@ -159,13 +171,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text: square roots of the shares of word shapes, their ends, and echoes."""
     words, infos, low = _tokens(text or "")
     n = max(1, len(words))
-    counts: dict[str, int] = {}
+    counts: dict[str, float] = {}
     for info, c in infos:
-        counts[info[0]] = counts.get(info[0], 0) + c
-    for s in list(counts):
-        for tail in {s[-1:], s[-2:]}:
-            if not tail.isalpha():
-                counts[f"..{tail}"] = counts.get(f"..{tail}", 0) + counts[s]
+        shapes = info[0]
+        for shape in shapes:
+            counts[shape] = counts.get(shape, 0) + c / len(shapes)
+        for tail in info[1]:
+            counts[f"..{tail}"] = counts.get(f"..{tail}", 0) + c
     counts["=echo"] = sum(map(operator.eq, low, low[1:]))
     counts["=pairs"] = len(low) - 1 - len(set(zip(low, low[1:], strict=False))) if len(low) > 1 else 0
     found: dict[int, float] = {}

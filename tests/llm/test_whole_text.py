@@ -1,8 +1,10 @@
 """Text operators do the whole job: cases that earlier rules gave up on."""
 
+import zlib
+
 import pyarrow as pa
 
-from braidgraph.llm import pages, pii
+from braidgraph.llm import pages, pii, quality
 
 
 def test_pages_short_articles_copies_and_marked_neighbours(spark):
@@ -55,3 +57,14 @@ def test_names_after_signs_and_han_names():
     assert _found("西方文明", "name") == []
     names = [s + g for s in pii._HAN_SURNAMES[0] for g in pii._HAN_GIVEN]
     assert len({pii.surrogate("name", n) for n in names}) == len(set(names)) == len(names) and all(pii.surrogate("name", n) != n for n in names)
+
+
+def test_quality_reads_whole_words():
+    def slots(text):
+        return dict(zip(*(x.tolist() for x in quality.features(text)), strict=True))
+
+    tail = zlib.crc32(b"..##") >> (32 - quality.BITS)
+    assert tail in slots('"24be64439e3e49cfa0b1c2d3e4f507ff"###') and tail not in slots('"24be64439e3e49cfa0b1c2d3e4f507ff"')
+    long = "漢字、" * 100
+    assert slots(long + "#$%&" * 200) != slots(long) and "".join(quality._shapes(long)) == "a、" * 100
+    assert quality._tails("x" * 500 + "1)") == {")", "d)"} and quality._word("A" * 300 + "##")[1] == ("#", "##")
