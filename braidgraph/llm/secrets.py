@@ -169,7 +169,7 @@ class CharNet:
             a, b = a - 0.05 * ((p - y) * raw).mean(), b - 0.05 * (p - y).mean()
         self.slope, self.shift = float(max(a, 1e-3)), float(b)
         p = np.sort(self.probability([x for x, t in zip(items, y, strict=True) if t]))
-        self.threshold = float(max(p[int(np.floor((1 - recall) * len(p)))] - 1e-9, 0.5))
+        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))] - 1e-9)
         return self
 
 

@@ -2,9 +2,10 @@
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 
-from braidgraph.llm import pages, pii, quality
+from braidgraph.llm import pages, pii, quality, secrets
 
 
 def test_pages_short_articles_copies_and_marked_neighbours(spark):
@@ -68,3 +69,13 @@ def test_quality_reads_whole_words():
     long = "漢字、" * 100
     assert slots(long + "#$%&" * 200) != slots(long) and "".join(quality._shapes(long)) == "a、" * 100
     assert quality._tails("x" * 500 + "1)") == {")", "d)"} and quality._word("A" * 300 + "##")[1] == ("#", "##")
+
+
+def test_threshold_keeps_its_recall_below_one_half():
+    class Fixed(secrets.CharNet):
+        def raw(self, items):
+            return np.array(items, float)
+
+    items, y = list(np.linspace(-6, 2, 100)) + [-6.0] * 900, np.array([1] * 100 + [0] * 900)
+    net = Fixed().calibrate(items, y)
+    assert net.threshold < 0.5 and (net.probability(items[:100]) >= net.threshold).mean() >= secrets.RECALL
