@@ -1,20 +1,25 @@
 """Operator 4: main text of web pages by nearest-URL page differencing.
 
 1. *Lines.*  A tolerant tokenizer cuts a page into blocks of text (one line each, white space collapsed, character
-   references decoded).  Scripts, styles, forms, menus, asides, hidden parts and elements that their tag, role,
-   class or id names as furniture (adverts, notices, comments, share bars ...) are left out, unless they hold
-   the article itself.
-2. *Article.*  Where a page marks its article (``article``, else ``main`` or its role), exactly the lines in there stay.
-   Marked articles are not differenced: copies of one article under two URLs would delete each other.
-3. *Differencing.*  All other pages are ordered among themselves by (host, path, id), and a run of equal line lists stands
-   for one page: copies say nothing about furniture.  A page is paired with the last page before its run or the first one
-   after it on the same host, that with the longer common prefix of the URL path first; where this one shares nothing, the
-   other.  The lines of both are aligned by their longest common subsequence, and shared lines are deleted.  A neighbour
-   that shares over ``COPY`` of the page's lines may be a near copy: then lines stay that the other neighbour, if it shares
-   any, does not have.
-
-The order comes from a range partitioning of (host, path, id) with line hashes, so a host with a third of all pages is
-spread over many tasks.  Only the first and last runs of partitions, one row each, meet in one small task.
+   references decoded).  Scripts, styles and other raw elements have none.
+2. *Furniture that a page names.*  Lines in forms, menus, asides, hidden parts and elements that their tag, role, class or id
+   names as furniture (adverts, notices, comments, share bars ...) are marked, unless they hold the article itself.  A class or
+   id counts if all of its parts do: ``ad-slot-3``, not ``search-engine-history``.  Where a page marks its articles (``article``,
+   else ``main`` or its role), everything outside them is furniture.
+3. *Differencing.*  All pages are ordered by (host, marked, path, id); a run of equal line lists stands for one page: copies say
+   nothing about furniture.  Each page is paired with the last page before its run or the first one after it on the same host,
+   that with the longer common prefix of the URL path first; where this one shares nothing, the other.  All lines of both,
+   furniture too, are aligned by their longest common subsequence, and shared lines are deleted; but a marked article keeps
+   its lines, for licences and quotations that two articles share are part of both.  A neighbour that shares over ``COPY`` of the
+   page's own lines may be a near copy: then lines stay that the other neighbour, if it shares any, does not have.
+   ``n_shared`` counts the aligned lines of each page.
+
+The order comes from a range partitioning of (host, marked, path, id), in which the lines travel once, so a host with a third of
+all pages is spread over many tasks, and a page is finished where its neighbours lie.  Only the first and last runs of
+partitions wait for a second pass; of these, one row each meets in one small task.
+
+The alignment is bit-parallel (a row of the table is one integer) and halved where its table would be large, so repeated lines
+cost no more than others: ``len(a) * len(b) / 64`` steps.
 
 Cases: null or empty html gives an empty text.  A null or odd URL has the empty host.  Repeated rows repeat their result.
 A page alone on its host keeps its lines.  Unclosed and stray tags are tolerated.  Other columns are ignored.
@@ -24,7 +29,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +45,16 @@ _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe"
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr td th".split())
 _FURNITURE = set("nav footer aside form button select option menu dialog svg canvas object audio video fieldset datalist map head".split())
 _ROLES = set("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar status".split())
+#: Words that name furniture in a class or id, and words that may stand beside them there.
 _NAMED = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification newsletter"
     " subscribe subscription signup sidebar sidenav widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond"
-    " breadcrumb breadcrumbs nav navbar navigation navi menu menubar toolbar topbar pagination pager footer masthead copyright legal disclaimer popup modal overlay login search"
-    " skip hidden sr offscreen tags tagcloud trending popular teaser teasers outbrain taboola paywall print announcement alert".split()
+    " breadcrumb breadcrumbs nav navbar navigation navi menu menubar toolbar topbar pagination pager footer masthead copyright disclaimer popup modal overlay login search"
+    " skip hidden sr offscreen tags tagcloud teaser teasers outbrain taboola paywall announcement alert".split()
+)
+_BESIDE = set(
+    "area bar block body bottom box btn button buttons col column container content d dialog div element entry form group holder icon icons id inner item items js label left"
+    " link links list main message middle only outer page panel post posts primary right row s secondary section site slot space subscribe tab text title to top unit view wrap wrapper".split()
 )
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul figure".split())
@@ -71,15 +80,27 @@ def _is_furniture(tag: str, raw: str, in_article: bool) -> bool:
     named = f"{a.get('class', '')} {a.get('id', '')}"
     if named == " ":
         return False
-    words = {w.lower() for w in _PARTS.findall(named)}
-    return bool(words & _NAMED) or (not in_article and "header" in words)
+    for name in named.split():
+        words = {w.lower() for w in _PARTS.findall(name) if not w.isdigit()}
+        if words and words <= _NAMED | _BESIDE and words & _NAMED:
+            return True
+        if not in_article and "header" in words and words <= _NAMED | _BESIDE | {"header"}:
+            return True
+    return False
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
-    """The lines of a page outside its furniture, and whether they are those of a marked article."""
+    """The lines of a page outside its named furniture, and whether they are those of marked articles."""
+    lines, plain, marked = all_lines(page)
+    return [lines[i] for i in plain], marked
+
+
+def all_lines(page: str | None) -> tuple[list[str], list[int], bool]:
+    """The lines of a page, the indices of those outside named furniture, and whether these are those of marked articles."""
     page = page or ""
     found: list[tuple[str, int]] = []  # (line, open element)
-    parent, tags, bad, holds, kind = [-1], [""], [False], [False], [0]
+    parent, tags, bad, within, kind = [-1], [""], [False], [False], [0]
+    marks: list[tuple[int, int]] = []
     at, pos, text = 0, 0, []
 
     def end_line() -> None:
@@ -89,7 +110,6 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
                 found.append((line, at))
             text.clear()
 
-    articles = 0
     while pos < len(page):
         m = _TOKEN.search(page, pos)
         if m is None:
@@ -149,31 +169,26 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             elif tag == "main" or "main" in m[4] and _attributes(m[4]).get("role", "").lower() == "main":
                 mark = 1
         if mark:
-            articles = max(articles, mark)
-            up = new
-            while up > 0:
-                holds[up if up < new else 0] = True
-                up = parent[up]
+            marks.append((new, mark))
         bad.append(is_bad)
-        holds.append(bool(mark))
+        within.append(within[at] or is_bad)
         kind.append(max(inside, mark))
         at = new
     end_line()
-    lost = [False] * len(parent)
-    top = [0] * len(parent)  # the outermost article an element lies in
+    # articles in furniture (teasers, comments) count only where there is no other
+    marks = [x for x in marks if not within[x[0]]] or marks
+    articles = max((m for _, m in marks), default=0)
+    tops, holds = {i for i, m in marks if m == articles}, [False] * len(parent)
+    for up in tops:
+        while up > 0 and not holds[up]:
+            holds[up], up = True, parent[up]
+    lost, inside = [False] * len(parent), [False] * len(parent)
     for i in range(1, len(parent)):
         lost[i] = lost[parent[i]] or (bad[i] and not holds[i])
-        top[i] = top[parent[i]] or (i if articles and kind[i] == articles and kind[parent[i]] < articles else 0)
-    kept = [(line, e) for line, e in found if not lost[e]]
-    if articles:
-        size: dict[int, int] = {}
-        for line, e in kept:
-            if top[e]:
-                size[top[e]] = size.get(top[e], 0) + len(line)
-        if size:
-            best = max(size, key=lambda i: (size[i], -i))
-            return [line for line, e in kept if top[e] == best], True
-    return [line for line, _ in kept], False
+        inside[i] = inside[parent[i]] or i in tops
+    plain = [i for i, (_, e) in enumerate(found) if not lost[e]]
+    marked = [i for i in plain if inside[found[i][1]]]
+    return [line for line, _ in found], marked or plain, bool(marked)
 
 
 def _chain(at: int, up: int, parent: list[int]):
@@ -182,31 +197,64 @@ def _chain(at: int, up: int, parent: list[int]):
         at = parent[at]
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indices of a that lie on one longest common subsequence of a and b."""
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    cells: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in where.get(x, ()):
-            k = bisect_left(tails, j)
-            cell = (i, cells[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                cells.append(cell)
-            elif tails[k] > j:
-                tails[k], cells[k] = j, cell
-    out, cell = [], cells[-1] if cells else None
-    while cell:
-        out.append(cell[0])
-        cell = cell[1]
-    return out[::-1]
-
-
-def shared_lines(own: list[int], path: str, others: list[tuple[str, list[int]]], copy: float = COPY) -> list[int]:
-    """Indices of the lines that a page shares with the nearest of its neighbours that shares any."""
+def _rows(a: list, b: list) -> list[int]:
+    """Row i of the table of longest common subsequences, for a[:i] and all prefixes of b: bit j is 0 where b[j] adds one."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows, v = [full], full
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    return rows
+
+
+def _gains(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with all prefixes of b."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common_lines(a: list[int], b: list[int], most: int = 1 << 28) -> list[int]:
+    """Indices of a that lie on one longest common subsequence of a and b; a table of over ``most`` bits is split in halves."""
+    both = set(a) & set(b)
+    at, b = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
+    out: list[int] = []
+    todo = [(at, b)]
+    while todo:
+        at, b = todo.pop()
+        if not at or not b:
+            continue
+        own = [a[i] for i in at]
+        if len(own) * len(b) > most and len(own) > 1:
+            half = len(own) // 2
+            cut = int(np.argmax(_gains(own[:half], b) + _gains(own[half:][::-1], b[::-1])[::-1]))
+            todo += [(at[half:], b[cut:]), (at[:half], b[:cut])]
+            continue
+        rows, i, j, found = _rows(own, b), len(own), len(b), []
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i] >> (j - 1) & 1:
+                    found.append(at[i])
+                    j -= 1
+        out += found[::-1]
+    return out
+
+
+def shared_lines(own: list[int], path: str, others: list[tuple[str, list[int]]], copy: float = COPY, plain: list[int] | None = None) -> list[int]:
+    """Indices of the lines that a page shares with the nearest of its neighbours that shares any (of the lines ``plain``)."""
 
     def near(other: str) -> int:
         n = 0
@@ -216,11 +264,13 @@ def shared_lines(own: list[int], path: str, others: list[tuple[str, list[int]]],
             n += 1
         return n
 
+    mine = set(range(len(own)) if plain is None else plain)
     ordered = sorted((o for o in others if o[1] != own), key=lambda o: -near(o[0]))
-    found = [x for x in (common_lines(own, lines) for _, lines in ordered) if x]
+    aligned = [common_lines(own, lines) for _, lines in ordered]
+    found = [x for x in aligned if mine.intersection(x)] or [x for x in aligned if x]
     if not found:
         return []
-    if len(found[0]) > copy * len(own) and len(found) > 1:
+    if len(mine.intersection(found[0])) > copy * len(mine) and len(found) > 1:
         both = set(found[1])
         return [i for i in found[0] if i in both]
     return found[0]
@@ -242,64 +292,79 @@ def _parsed(batches):
         for part in pieces(batch, "html"):
             rows = []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                lines, marked = blocks(page)
-                rows.append((*_place(url), marked, _hashed(lines), None if marked else lines))
+                lines, plain, marked = all_lines(page)
+                rows.append((*_place(url), marked, _hashed(lines), plain, [lines[i] for i in plain]))
             c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("page_id"), part.column("url"), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.string()))],
-                names=["key", "page_id", "url", "host", "path", "marked", "hashes", "lines"],
-            )
+            types = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("page_id"), part.column("url"), *(pa.array(x, t) for x, t in zip(c, types, strict=True))], names=["key", "page_id", "url", "host", "path", "marked", "hashes", "plain", "lines"])
 
 
 _SIDE = "struct<path: string, hashes: array<long>>"
-_NEAR = f"key long, host string, path string, last string, hashes array<long>, part int, edge int, whole boolean, before {_SIDE}, after {_SIDE}"
-_ENDS = f"part int, edge int, p {_SIDE}, n {_SIDE}"
 _SIDE_ARROW = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
+#: Finished pages have ``text``; the others, and one row for each ``whole`` run of them, have their lines.
+_NEAR = "page_id long, url string, text string, n_shared int, host string, marked boolean, path string, last string, hashes array<long>, plain array<int>, lines array<string>, part int, edge int, whole boolean, side " + _SIDE
+_NEAR_ARROW = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_(), _SIDE_ARROW]
+_NEAR_NAMES = ["page_id", "url", "text", "n_shared", "host", "marked", "path", "last", "hashes", "plain", "lines", "part", "edge", "whole", "side"]
+_ENDS = f"part int, edge int, p {_SIDE}, n {_SIDE}"
 
 
-def _side(host: str, other_host: str, path: str, hashes: list[int]) -> dict | None:
-    return {"path": path, "hashes": hashes} if host == other_host else None
+def _differenced(marked: bool, path: str, hashes: list[int], plain: list[int], lines: list[str], before: dict | None, after: dict | None) -> tuple[str, int]:
+    """Text of a page and how many of its lines a neighbour shares."""
+    shared = shared_lines(hashes, path, [(x["path"], x["hashes"]) for x in (before, after) if x], plain=plain)
+    gone = set() if marked else set(shared)
+    return "\n".join(x for i, x in zip(plain, lines, strict=True) if i not in gone), len(shared)
 
 
 def _neighbours(batches):
-    """Rows in order -> rows with the nearest others on both sides that are no copies.  The first run of equal pages of a
-    partition lacks the side before it (edge 1), the last the side after it (edge 2); both have a row for the ``whole`` run."""
+    """Rows in order -> finished pages.  The first run of equal pages of a partition lacks the side before it (edge 1), the last
+    the side after it (edge 2); their pages wait with the ``side`` they have, and each has a row for the ``whole`` run."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    types = {"key": pa.int64(), "host": pa.string(), "path": pa.string(), "last": pa.string(), "hashes": pa.list_(pa.int64()), "part": pa.int32(), "edge": pa.int32(), "whole": pa.bool_(), "before": _SIDE_ARROW, "after": _SIDE_ARROW}
 
     def members():
         run, before, first = None, None, True
 
         def closed(after, edge):
-            host, hashes, rows = run
-            for key, path in rows:
-                yield (key, host, path, None, hashes, part, edge, False, before, after)
+            (host, marked), same, rows = run
+            sides: dict = {}
+            for page_id, url, path in rows:
+                if edge:
+                    yield (page_id, url, None, None, host, marked, path, None, *same, part, edge, False, before or after)
+                    continue
+                if path not in sides:
+                    sides[path] = _differenced(marked, path, *same, before, after)
+                yield (page_id, url, *sides[path], *[None] * 7, part, 0, False, None)
             if edge:
-                yield (None, host, rows[0][1], rows[-1][1], hashes, part, edge, True, before, after)
+                yield (None, None, None, None, host, marked, rows[0][2], rows[-1][2], same[0], None, None, part, edge, True, None)
+
+        def side(other, path, hashes):
+            return {"path": path, "hashes": hashes} if run[0] == other else None
 
-        for batch in batches:
-            for key, host, path, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "path", "hashes")), strict=True):
-                if run is not None and run[0] == host and run[1] == hashes:
-                    run[2].append((key, path))
+        names = ("page_id", "url", "host", "marked", "path", "hashes", "plain", "lines")
+        for batch in (b for whole in batches for b in pieces(whole, "url", 1 << 16)):
+            for page_id, url, host, marked, path, hashes, plain, lines in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                where, same = (host, marked), (hashes, plain, lines)
+                if run is not None and run[0] == where and run[1] == same:
+                    run[2].append((page_id, url, path))
                     continue
                 if run is not None:
-                    yield from closed(_side(host, run[0], path, hashes), int(first))
-                    before, first = _side(run[0], host, run[2][-1][1], run[1]), False
-                run = (host, hashes, [(key, path)])
+                    yield from closed(side(where, path, hashes), int(first))
+                    before, first = side(where, run[2][-1][2], run[1][0]), False
+                run = (where, same, [(page_id, url, path)])
         if run is not None:
             yield from closed(None, 2 + first)
 
     def built(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], names=list(types))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _NEAR_ARROW, strict=True)], names=_NEAR_NAMES)
 
-    out = []
+    out, size = [], 0
     for row in members():
         out.append(row)
-        if len(out) >= 2000:
+        size += len(row[2] or "") + 64
+        if size >= 1 << 20 or len(out) >= 500:
             yield built(out)
-            out = []
+            out, size = [], 0
     if out:
         yield built(out)
 
@@ -310,7 +375,8 @@ def _joined_ends(batches):
     for order, bit, mine, seen in ((runs, 1, "before", "last"), (runs[::-1], 2, "after", "path")):
         other = None
         for r in order:
-            if r["edge"] & bit and other and other["host"] == r["host"]:
+            r.setdefault(mine, None)
+            if r["edge"] & bit and other and (other["host"], other.get("marked")) == (r["host"], r.get("marked")):
                 r[mine] = other[mine] if other["hashes"] == r["hashes"] else {"path": other[seen], "hashes": other["hashes"]}
             other = r
     if runs:
@@ -318,40 +384,29 @@ def _joined_ends(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["part", "edge", "p", "n"])
 
 
-def _deleted(batches):
-    for b in batches:
-        drops = []
-        for own, path, before, after in zip(b.column("hashes").to_pylist(), b.column("path").to_pylist(), b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True):
-            others = [(x["path"], x["hashes"]) for x in (before, after) if x]
-            drops.append(shared_lines(own, path, others))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(drops, pa.list_(pa.int32()))], names=["key", "drops"])
+def _completed(batches):
+    """Pages of end runs with the sides that lay in other partitions."""
+    names = ("edge", "marked", "path", "hashes", "plain", "lines", "side", "p", "n")
+    for b in (part for whole in batches for part in pieces(whole, "url", 1 << 16)):
+        done = []
+        for edge, marked, path, hashes, plain, lines, side, p, n in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            done.append(_differenced(marked, path, hashes, plain, lines, p if edge & 1 else side, n if edge & 2 else side))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int32())], names=["page_id", "url", "text", "n_shared"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text: one row for each row of ``pages``."""
+    """page_id, url, text, n_shared: one row for each row of ``pages``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    schema = "key long, page_id long, url string, host string, path string, marked boolean, hashes array<long>, lines array<string>"
-    parsed = written(pages.withColumn("key", F.xxhash64("page_id", "url", "html")).mapInArrow(_parsed, schema), "pages")
-    order = ["host", "path", "page_id", "key"]
-    light = parsed.where("not marked and size(hashes) > 0").select("key", "page_id", "host", "path", "hashes")
-    near = written(light.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near")
-    ends = near.where("whole").repartition(1).mapInArrow(_joined_ends, _ENDS)
-    cut = near.where("not whole and edge > 0").drop("before", "after").join(ends, ["part", "edge"]).select("key", "path", "hashes", F.col("p").alias("before"), F.col("n").alias("after"))
-    todo = near.where("edge = 0").select("key", "path", "hashes", "before", "after").unionByName(cut)
-    drops = todo.mapInArrow(_deleted, "key long, drops array<int>").dropDuplicates(["key"])
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("drops", F.array().cast("array<int>")), i))
-    free = parsed.where("not marked").join(drops, "key", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
-
-    def articles(batches):
-        for batch in batches:
-            for part in pieces(batch, "html"):
-                found = [blocks(x) for x in part.column("html").to_pylist()]
-                mask = pa.array([m for _, m in found])
-                yield pa.RecordBatch.from_arrays([part.column("page_id").filter(mask), part.column("url").filter(mask), pa.array(["\n".join(x) for x, m in found if m], pa.string())], names=["page_id", "url", "text"])
-
-    return pages.mapInArrow(articles, "page_id long, url string, text string").unionByName(free)
+    schema = "key long, page_id long, url string, host string, path string, marked boolean, hashes array<long>, plain array<int>, lines array<string>"
+    parsed = written(pages.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_parsed, schema), "pages")
+    order = ["host", "marked", "path", "page_id", "key"]
+    near = written(parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near")
+    ends = near.where("whole").select("host", "marked", "path", "last", "hashes", "part", "edge").repartition(1).mapInArrow(_joined_ends, _ENDS)
+    result = "page_id long, url string, text string, n_shared int"
+    waiting = near.where("not whole and edge > 0").join(ends, ["part", "edge"]).mapInArrow(_completed, result)
+    return near.where("edge = 0").select("page_id", "url", "text", "n_shared").unionByName(waiting)
 
 
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the main text of every page."""
-    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("n_shared").cast("long").alias("n_shared"))
