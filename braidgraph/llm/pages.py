@@ -14,9 +14,10 @@
    page's own lines may be a near copy: then lines stay that the other neighbour, if it shares any, does not have.
    ``n_shared`` counts the aligned lines of each page.
 
-The order comes from a range partitioning of (host, marked, path, id), in which the lines travel once, so a host with a third of
-all pages is spread over many tasks, and a page is finished where its neighbours lie.  Only the first and last runs of
-partitions wait for a second pass; of these, one row each meets in one small task.
+The order comes from a range partitioning of (host, marked, path, id) with line hashes, so a host with a third of all pages is
+spread over many tasks, and a page is aligned where its neighbours lie.  Only the first and last runs of partitions wait for a
+second pass; of these, one row each meets in one small task.  The outcome, a few numbers a page, is joined with the lines by
+the SHA-256 of the whole row; pages are tokenized twice, so that no copy of their text is stored.
 
 The alignment is bit-parallel (a row of the table is one integer) and halved where its table would be large, so repeated lines
 cost no more than others: ``len(a) * len(b) / 64`` steps.
@@ -287,36 +288,45 @@ def _hashed(lines: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines]
 
 
-def _parsed(batches):
+def _outlined(batches):
+    """Line hashes of pages."""
     for batch in batches:
         for part in pieces(batch, "html"):
             rows = []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 lines, plain, marked = all_lines(page)
-                rows.append((*_place(url), marked, _hashed(lines), plain, [lines[i] for i in plain]))
+                rows.append((*_place(url), marked, _hashed(lines), plain))
             c = list(zip(*rows, strict=True))
-            types = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("page_id"), part.column("url"), *(pa.array(x, t) for x, t in zip(c, types, strict=True))], names=["key", "page_id", "url", "host", "path", "marked", "hashes", "plain", "lines"])
+            types = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("page_id"), *(pa.array(x, t) for x, t in zip(c, types, strict=True))], names=["key", "page_id", "host", "path", "marked", "hashes", "plain"])
+
+
+def _plain_lines(batches):
+    """Lines of pages outside named furniture."""
+    for batch in batches:
+        for part in pieces(batch, "html"):
+            found = [blocks(x)[0] for x in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("page_id"), part.column("url"), pa.array(found, pa.list_(pa.string()))], names=["key", "page_id", "url", "lines"])
 
 
 _SIDE = "struct<path: string, hashes: array<long>>"
 _SIDE_ARROW = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
-#: Finished pages have ``text``; the others, and one row for each ``whole`` run of them, have their lines.
-_NEAR = "page_id long, url string, text string, n_shared int, host string, marked boolean, path string, last string, hashes array<long>, plain array<int>, lines array<string>, part int, edge int, whole boolean, side " + _SIDE
-_NEAR_ARROW = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_(), _SIDE_ARROW]
-_NEAR_NAMES = ["page_id", "url", "text", "n_shared", "host", "marked", "path", "last", "hashes", "plain", "lines", "part", "edge", "whole", "side"]
+#: Aligned pages have ``n_shared`` and ``drops``; the others, and one row for each ``whole`` run of them, have their hashes.
+_NEAR = f"key binary, n_shared int, drops array<int>, host string, marked boolean, path string, last string, hashes array<long>, plain array<int>, part int, edge int, whole boolean, side {_SIDE}"
+_NEAR_ARROW = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_(), _SIDE_ARROW]
+_NEAR_NAMES = ["key", "n_shared", "drops", "host", "marked", "path", "last", "hashes", "plain", "part", "edge", "whole", "side"]
 _ENDS = f"part int, edge int, p {_SIDE}, n {_SIDE}"
 
 
-def _differenced(marked: bool, path: str, hashes: list[int], plain: list[int], lines: list[str], before: dict | None, after: dict | None) -> tuple[str, int]:
-    """Text of a page and how many of its lines a neighbour shares."""
+def _aligned(marked: bool, path: str, hashes: list[int], plain: list[int], before: dict | None, after: dict | None) -> tuple[int, list[int]]:
+    """How many lines of a page a neighbour shares, and which of the lines ``plain`` go for it."""
     shared = shared_lines(hashes, path, [(x["path"], x["hashes"]) for x in (before, after) if x], plain=plain)
     gone = set() if marked else set(shared)
-    return "\n".join(x for i, x in zip(plain, lines, strict=True) if i not in gone), len(shared)
+    return len(shared), [k for k, i in enumerate(plain) if i in gone]
 
 
 def _neighbours(batches):
-    """Rows in order -> finished pages.  The first run of equal pages of a partition lacks the side before it (edge 1), the last
+    """Rows in order -> aligned pages.  The first run of equal pages of a partition lacks the side before it (edge 1), the last
     the side after it (edge 2); their pages wait with the ``side`` they have, and each has a row for the ``whole`` run."""
     from pyspark import TaskContext
 
@@ -328,43 +338,41 @@ def _neighbours(batches):
         def closed(after, edge):
             (host, marked), same, rows = run
             sides: dict = {}
-            for page_id, url, path in rows:
+            for key, path in rows:
                 if edge:
-                    yield (page_id, url, None, None, host, marked, path, None, *same, part, edge, False, before or after)
+                    yield (key, None, None, host, marked, path, None, *same, part, edge, False, before or after)
                     continue
                 if path not in sides:
-                    sides[path] = _differenced(marked, path, *same, before, after)
-                yield (page_id, url, *sides[path], *[None] * 7, part, 0, False, None)
+                    sides[path] = _aligned(marked, path, *same, before, after)
+                yield (key, *sides[path], *[None] * 6, part, 0, False, None)
             if edge:
-                yield (None, None, None, None, host, marked, rows[0][2], rows[-1][2], same[0], None, None, part, edge, True, None)
+                yield (None, None, None, host, marked, rows[0][1], rows[-1][1], same[0], None, part, edge, True, None)
 
         def side(other, path, hashes):
             return {"path": path, "hashes": hashes} if run[0] == other else None
 
-        names = ("page_id", "url", "host", "marked", "path", "hashes", "plain", "lines")
-        for batch in (b for whole in batches for b in pieces(whole, "url", 1 << 16)):
-            for page_id, url, host, marked, path, hashes, plain, lines in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                where, same = (host, marked), (hashes, plain, lines)
+        for batch in batches:
+            for key, host, marked, path, hashes, plain in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "marked", "path", "hashes", "plain")), strict=True):
+                where, same = (host, marked), (hashes, plain)
                 if run is not None and run[0] == where and run[1] == same:
-                    run[2].append((page_id, url, path))
+                    run[2].append((key, path))
                     continue
                 if run is not None:
                     yield from closed(side(where, path, hashes), int(first))
-                    before, first = side(where, run[2][-1][2], run[1][0]), False
-                run = (where, same, [(page_id, url, path)])
+                    before, first = side(where, run[2][-1][1], run[1][0]), False
+                run = (where, same, [(key, path)])
         if run is not None:
             yield from closed(None, 2 + first)
 
     def built(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _NEAR_ARROW, strict=True)], names=_NEAR_NAMES)
 
-    out, size = [], 0
+    out = []
     for row in members():
         out.append(row)
-        size += len(row[2] or "") + 64
-        if size >= 1 << 20 or len(out) >= 500:
+        if len(out) >= 2000:
             yield built(out)
-            out, size = [], 0
+            out = []
     if out:
         yield built(out)
 
@@ -386,25 +394,33 @@ def _joined_ends(batches):
 
 def _completed(batches):
     """Pages of end runs with the sides that lay in other partitions."""
-    names = ("edge", "marked", "path", "hashes", "plain", "lines", "side", "p", "n")
-    for b in (part for whole in batches for part in pieces(whole, "url", 1 << 16)):
+    names = ("edge", "marked", "path", "hashes", "plain", "side", "p", "n")
+    for b in batches:
         done = []
-        for edge, marked, path, hashes, plain, lines, side, p, n in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            done.append(_differenced(marked, path, hashes, plain, lines, p if edge & 1 else side, n if edge & 2 else side))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int32())], names=["page_id", "url", "text", "n_shared"])
+        for edge, marked, path, hashes, plain, side, p, n in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            done.append(_aligned(marked, path, hashes, plain, p if edge & 1 else side, n if edge & 2 else side))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.list_(pa.int32()))], names=["key", "n_shared", "drops"])
+
+
+def aligned(pages: DataFrame) -> DataFrame:
+    """key, n_shared, drops: one row for each distinct row (key, page_id, url, html)."""
+    light = written(pages.mapInArrow(_outlined, "key binary, page_id long, host string, path string, marked boolean, hashes array<long>, plain array<int>"), "outlines")
+    order = ["host", "marked", "path", "page_id", "key"]
+    near = written(light.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near")
+    ends = near.where("whole").select("host", "marked", "path", "last", "hashes", "part", "edge").repartition(1).mapInArrow(_joined_ends, _ENDS)
+    waiting = near.where("not whole and edge > 0").join(ends, ["part", "edge"]).mapInArrow(_completed, "key binary, n_shared int, drops array<int>")
+    return near.where("edge = 0").select("key", "n_shared", "drops").unionByName(waiting).dropDuplicates(["key"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_shared: one row for each row of ``pages``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    schema = "key long, page_id long, url string, host string, path string, marked boolean, hashes array<long>, plain array<int>, lines array<string>"
-    parsed = written(pages.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_parsed, schema), "pages")
-    order = ["host", "marked", "path", "page_id", "key"]
-    near = written(parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near")
-    ends = near.where("whole").select("host", "marked", "path", "last", "hashes", "part", "edge").repartition(1).mapInArrow(_joined_ends, _ENDS)
-    result = "page_id long, url string, text string, n_shared int"
-    waiting = near.where("not whole and edge > 0").join(ends, ["part", "edge"]).mapInArrow(_completed, result)
-    return near.where("edge = 0").select("page_id", "url", "text", "n_shared").unionByName(waiting)
+    whole = F.to_json(F.struct("page_id", "url"))
+    pages = pages.withColumn("key", F.unhex(F.sha2(F.concat(whole, F.lit("\n"), F.coalesce("html", F.lit(""))), 256)))
+    lines = pages.mapInArrow(_plain_lines, "key binary, page_id long, url string, lines array<string>")
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("drops", i))
+    text = F.array_join(F.when(F.size("drops") > 0, kept).otherwise(F.col("lines")), "\n")
+    return lines.join(aligned(pages), "key", "left").select("page_id", "url", text.alias("text"), "n_shared")
 
 
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
