@@ -7,6 +7,7 @@ a temporary folder of this machine is taken.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -87,6 +88,18 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     yield batch.slice(start)
 
 
+def windows(text: str, between: re.Pattern, size: int = 1 << 20):
+    """A text in parts of about ``size`` characters that end before a place where ``between`` matches."""
+    at = 0
+    while len(text) - at > size:
+        cut = between.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     h = h ^ (h >> np.uint64(33))

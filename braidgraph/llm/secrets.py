@@ -3,14 +3,15 @@
 *Base findings* are three patterns, leftmost and without overlap within a kind: ``assign`` (a named value of
 12+ characters), ``access`` (AKIA keys of 18+) and ``hex`` (runs of 16+).  They always stay.
 
-*Candidates* are all base findings and all other maximal runs of ``[A-Za-z0-9+/_.=-]`` of 16+ characters that hold a
-digit or two capitals (plain words hold neither).  A convolutional network in numpy reads each whole
-candidate with ``CONTEXT`` characters on both sides: character embeddings and an inside/outside channel, one
-convolution, maximum and mean over positions, a logistic output.  It is trained on labelled findings made
-from a seed: tokens of many formats as positives; identifiers, paths, versions, dates, links, long words and
-checksums named as such as negatives.  A held-out part calibrates its probabilities (Platt) and gives the
-threshold: the highest that keeps recall at ``RECALL`` or above.  Candidates over the threshold that overlap
-no base finding are added as kind ``model``.
+*Candidates* are all base findings and all other maximal runs of ``[A-Za-z0-9+/_.=-]`` of ``LEAST`` (12, the base's own
+length) characters or more that hold a digit, or two capitals beside small letters (plain and shouted words hold neither).  A convolutional network in numpy
+reads each whole candidate with ``CONTEXT`` characters on both sides: character embeddings and an inside/outside channel, one
+convolution, maximum and mean over positions, a logistic output.  Padding takes no part in either, so a candidate has the
+same probability in any batch; long candidates are read in chunks, whose maxima and sums are put together.  It is trained on
+labelled findings made from a seed: tokens of many formats as positives; identifiers, paths, versions, dates, links, long
+words and checksums named as such as negatives.  One held-out part calibrates its probabilities (Platt); another gives the
+threshold: the highest at which recall is ``RECALL`` or above with 95 % confidence.  Candidates over the threshold that
+overlap no base finding are added as kind ``model``.
 
 Cases: null and empty texts have no finding.  Repeated rows repeat.  Positions are code points.  Other columns are
 ignored.  The network has a fixed size and is broadcast.
@@ -18,7 +19,6 @@ ignored.  The network has a fixed size and is broadcast.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import string
 
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, table
+from .common import SEED, pieces, table
 
-CONTEXT, RECALL, WIDTH, EMBED, FILTERS = 24, 0.97, 5, 10, 24
+CONTEXT, RECALL, WIDTH, EMBED, FILTERS, LEAST, LONG = 24, 0.97, 5, 10, 24, 12, 1 << 14
 KINDS = ("assign", "access", "hex", "model")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -65,9 +65,9 @@ def _findings(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
     out += [(a, b, "hex") for a, b in _runs(_IS_HEX[codes], 16)]
     runs = []
-    for a, b in _runs(_IS_RUN[codes], 16):
+    for a, b in _runs(_IS_RUN[codes], LEAST):
         c = text[a:b]
-        if sum(map(str.isdigit, c)) or sum(map(str.isupper, c)) > 1:
+        if any(map(str.isdigit, c)) or (sum(map(str.isupper, c)) > 1 and not c.isupper()):
             runs.append((a, b))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]))), runs
 
@@ -97,39 +97,59 @@ class CharNet:
     def _batch(items: list[tuple[np.ndarray, int, int]]):
         size = max(len(x[0]) for x in items) + WIDTH - 1
         codes, inside = np.full((len(items), size), 128), np.zeros((len(items), size, 1))
+        real = np.zeros((len(items), size - WIDTH + 1, 1))
         for i, (c, a, b) in enumerate(items):
             codes[i, WIDTH // 2 : WIDTH // 2 + len(c)] = c
             inside[i, WIDTH // 2 + a : WIDTH // 2 + b] = 1
+            real[i, : len(c)] = 1
         length = np.array([b - a for _, a, b in items])
-        return codes, inside, length
+        return codes, inside, length, real
 
-    def _forward(self, items):
-        codes, inside, length = self._batch(items)
+    def _convolved(self, codes, inside):
         x = np.concatenate([self.p["e"][codes], inside], axis=2)
         n = x.shape[1] - WIDTH + 1
         cols = np.concatenate([x[:, j : j + n] for j in range(WIDTH)], axis=2)
-        h = np.maximum(cols @ self.p["c"] + self.p["b"], 0)
-        core = inside[:, WIDTH // 2 : WIDTH // 2 + n]
+        return cols, np.maximum(cols @ self.p["c"] + self.p["b"], 0)
+
+    def _forward(self, items):
+        codes, inside, length, real = self._batch(items)
+        cols, h = self._convolved(codes, inside)
+        h *= real
+        core = inside[:, WIDTH // 2 : WIDTH // 2 + h.shape[1]]
         top, mean = h.argmax(axis=1), (h * core).sum(axis=1) / length[:, None]
         pooled = np.concatenate([np.take_along_axis(h, top[:, None], 1)[:, 0], mean], axis=1)
         return codes, inside, length, cols, h, core, top, pooled, pooled @ self.p["o"] + self.p["z"][0]
 
+    def _long(self, item: tuple[np.ndarray, int, int]) -> float:
+        """The score of one candidate of any length, chunk by chunk."""
+        codes, inside, length, real = self._batch([item])
+        top, total = np.zeros(FILTERS), np.zeros(FILTERS)
+        for at in range(0, real.shape[1], LONG):
+            _, h = self._convolved(codes[:, at : at + LONG + WIDTH - 1], inside[:, at : at + LONG + WIDTH - 1])
+            core = inside[:, at + WIDTH // 2 : at + WIDTH // 2 + h.shape[1]]
+            top, total = np.maximum(top, h[0].max(axis=0)), total + (h * core).sum(axis=(0, 1))
+        return float(np.concatenate([top, total / length[0]]) @ self.p["o"] + self.p["z"][0])
+
     def raw(self, items: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
-        """Uncalibrated scores; items of like length share a batch."""
+        """Uncalibrated scores to eight digits; items of like length share a batch."""
         out = np.zeros(len(items))
         order = sorted(range(len(items)), key=lambda i: len(items[i][0]))
         at = 0
         while at < len(order):
+            if len(items[order[at]][0]) > LONG:
+                out[order[at]] = self._long(items[order[at]])
+                at += 1
+                continue
             width, n = 0, 0
             while at + n < len(order) and n < 256:
                 width = max(width, len(items[order[at + n]][0]))
-                if n and width * (n + 1) > 1 << 15:
+                if width > LONG or (n and width * (n + 1) > 1 << 15):
                     break
                 n += 1
             pick = order[at : at + n]
             out[pick] = self._forward([items[i] for i in pick])[-1]
             at += n
-        return out
+        return np.round(out, 8)
 
     def probability(self, items) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(items) + self.shift, -30, 30)))
@@ -161,15 +181,18 @@ class CharNet:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def calibrate(self, items, y: np.ndarray, recall: float = RECALL):
-        """Platt scaling and the highest threshold with at least ``recall`` on these findings."""
+    def calibrate(self, items, y: np.ndarray, recall: float = RECALL, apart=None):
+        """Platt scaling on these findings, and the highest threshold that keeps ``recall`` on those ``apart`` (items, labels), or
+        on these, with 95 % confidence."""
         raw, a, b = self.raw(items), 1.0, 0.0
         for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
             a, b = a - 0.05 * ((p - y) * raw).mean(), b - 0.05 * (p - y).mean()
         self.slope, self.shift = float(max(a, 1e-3)), float(b)
+        items, y = apart or (items, y)
         p = np.sort(self.probability([x for x, t in zip(items, y, strict=True) if t]))
-        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))] - 1e-9)
+        missed = int(max(0, (1 - recall) * len(p) - 1.645 * (recall * (1 - recall) * len(p)) ** 0.5))
+        self.threshold = float(p[missed] - 1e-9)
         return self
 
 
@@ -184,6 +207,7 @@ def labelled(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]
     num = lambda a, b: str(int(rng.integers(a, b)))
     positive = [
         lambda: chars(alnum, int(rng.integers(20, 64))),
+        lambda: chars(alnum, int(rng.integers(12, 20))),
         lambda: chars(url64, 4 * int(rng.integers(6, 16)) - 1) + "=",
         lambda: chars(url64.replace("+", "-").replace("/", "_"), int(rng.integers(22, 60))),
         lambda: pick(["ghp_", "gho_", "glpat-", "npm_", "hf_"]) + chars(alnum, 36),
@@ -205,6 +229,9 @@ def labelled(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]
         lambda: f"{num(1990, 2030)}-{num(10, 12)}-{num(10, 28)}T{num(10, 23)}.{num(10, 59)}",
         lambda: word(2, 4) + "-" + num(0, 20) + "." + num(0, 20) + "." + num(0, 20) + pick(["-beta.1", "-rc2", "-linux-x86", ".dist-info"]),
         lambda: word(6, 10).upper(),
+        lambda: word(3, 7).upper(),
+        lambda: word(2, 5).upper() + pick(["KEIT", "CHEN", "SCHAFT", "LICH", "TION", "MENT", "DAD", "ING", "NESS"]) + pick(["", "", "."]),
+        lambda: word(2, 4).capitalize() + word(2, 4).upper(),
         lambda: word(6, 10).upper() + pick([".", "", "-" + word().upper()]),
         lambda: word(5, 8).capitalize() + "." + word().capitalize(),
         lambda: "mail" + num(1, 99) + "." + pick(["example", word(2, 4)]) + "." + pick(["com", "org", "net"]),
@@ -242,12 +269,13 @@ _trained: dict[tuple, CharNet] = {}
 
 
 def trained(n: int = 4000, seed: int = SEED) -> CharNet:
-    """The network for a seed, trained on n labelled findings and calibrated on a third as many others."""
+    """The network for a seed, trained on n labelled findings, calibrated on half as many others and its threshold taken on as
+    many others again."""
     if (n, seed) not in _trained:
-        items, y = labelled(n, seed)
-        net = CharNet(seed).fit([window(*x) for x in items], y)
-        items, y = labelled(max(n // 3, 300), seed + 1)
-        _trained[n, seed] = net.calibrate([window(*x) for x in items], y)
+        sets = [labelled(max(k, 300), seed + i) for i, k in enumerate((n, n // 2, n))]
+        (items, y), *rest = [([window(*x) for x in items], y) for items, y in sets]
+        net = CharNet(seed).fit(items, y)
+        _trained[n, seed] = net.calibrate(*rest[0], apart=rest[1])
     return _trained[n, seed]
 
 
@@ -286,8 +314,7 @@ def secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch):
                 found = scan(part.column("text").to_pylist(), shared.value)
                 rows = [[dict(zip(("start", "end", "kind", "probability"), f, strict=True)) for f in x] for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "findings"])
@@ -303,14 +330,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("findings", lambda f: f["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("findings", lambda f: f["kind"] != "model")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("model"), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("findings")).alias("spans"))
-
-
-def brute_digest(text: str | None) -> str:
-    """base_sha256 of one text by plain regular expressions, for tests."""
-    text, spans = text or "", []
-    for m in _ASSIGN.finditer(text):
-        if len(m[1]) >= 12:
-            spans.append((*m.span(), "assign"))
-    spans += [(*m.span(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
-    spans += [(*m.span(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
-    return hashlib.sha256(_spelled(sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))).encode()).hexdigest()

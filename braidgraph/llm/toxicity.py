@@ -4,9 +4,16 @@ A text is the set of its lower-case words and their beginnings (stems carry many
 one of ``2 ** BITS`` slots.  The score is the logistic of ``w0 + sum w_i + sum_{i<j} <v_i, v_j>``: the
 pairwise part lets a pair of terms count more, or less, than the two apart (an insult beside a mention of
 a group), which no sum of single weights does.  It is computed in linear time as
-``(|sum v_i|^2 - sum |v_i|^2) / 2``.  A term enters with its smoothed log odds ratio between toxic and
-other texts, and only if that is at least ``Z`` standard errors from 0, so that hundreds of common terms of
-a long text don't drown a few telling ones.
+``(|sum v_i|^2 - sum |v_i|^2) / 2``.
+
+Hundreds of common terms of a long text would drown a few telling ones, so terms are screened:
+
+* a term that tells by itself enters with its smoothed log odds ratio between toxic and other texts, if
+  that is at least ``Z`` standard errors from 0;
+* a term that tells in company enters with 1: of the ``PAIRED`` terms whose presence varies most, those of
+  pairs whose rows are toxic more or less often than both single terms foretell, by ``Z_PAIR`` standard errors, or
+  twice as many where one of the two tells by itself (terms that lie in long texts often look like its company).
+  The counts of all these pairs are two matrix products.
 
 Training: AdaGrad on logistic loss over at most ``SAMPLE`` labelled rows, those with the smallest hash
 of the doc_id (a documented bound; every row is scored).  Rows whose crc32(doc_id) mod 5 is 0 are never
@@ -14,7 +21,8 @@ learned from; labels, language, source and id are no inputs.  Model and broadcas
 
 Cases: null and empty texts have no term and score the logistic of w0.  Without any label the score is
 0.5 less a trifle for all.  A null doc_id is scored and not held out.  Labels without a document, null
-labels and repeated labels (the largest counts) do no harm.  Repeated rows repeat their score.
+labels and repeated labels (the largest counts) do no harm.  Repeated rows repeat their score.  Texts are
+read in windows that end between words, so a text of any length holds one window and its set of slots.
 """
 
 from __future__ import annotations
@@ -27,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, table
+from .common import SEED, pieces, table, windows
 
-BITS, FACTORS, SAMPLE, EPOCHS, Z = 18, 4, 12_000, 12, 3.0
-_TERM = re.compile(r"[^\W_]+")
+BITS, FACTORS, SAMPLE, EPOCHS, Z, Z_PAIR, PAIRED = 18, 4, 12_000, 12, 3.0, 6.0, 2048
+_TERM, _BREAK = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 _cache: dict[str, tuple[int, ...]] = {}
 
 
@@ -49,11 +57,44 @@ def _slots(word: str) -> tuple[int, ...]:
 def terms(text: str | None) -> np.ndarray:
     """The sorted distinct slots of a whole text."""
     found: set[int] = set()
-    for word in set(_TERM.findall((text or "").lower())):
-        found.update(_slots(word))
+    for part in windows((text or "").lower(), _BREAK):
+        for word in set(_TERM.findall(part)):
+            found.update(_slots(word))
     return np.array(sorted(found), dtype=np.int32)
 
 
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, alone: np.ndarray, most: int = PAIRED, z: float = Z_PAIR) -> np.ndarray:
+    """Slots of pairs, one of the two at least not telling ``alone``, with another share of toxic rows than both apart foretell.
+
+    Terms in fewer than 10 rows, or missing in fewer, are left out."""
+    seen = np.bincount(np.concatenate(rows), minlength=len(alone))
+    varies = np.minimum(seen, len(rows) - seen)
+    terms = np.argsort(-varies, kind="stable")[:most]
+    terms = terms[varies[terms] >= 10]
+    if not len(terms):
+        return terms
+    place = np.full(len(alone), -1)
+    place[terms] = np.arange(len(terms))
+    both = np.zeros((2, len(terms), len(terms)), np.float32)
+    for label in (0, 1):
+        own = [r for r, t in zip(rows, y, strict=True) if int(t) == label]
+        for at in range(0, len(own), 512):
+            x = np.zeros((min(512, len(own) - at), len(terms)), np.float32)
+            for k, r in enumerate(own[at : at + 512]):
+                i = place[r]
+                x[k, i[i >= 0]] = 1
+            both[label] += x.T @ x
+    n1, n0 = y.sum(), len(y) - y.sum()
+    single = np.log((np.diag(both[1]) + 0.5) / (n1 + 1)) - np.log((np.diag(both[0]) + 0.5) / (n0 + 1))
+    p = 1 / (1 + np.exp(-np.clip(np.log(n1 / n0) + single[:, None] + single[None, :], -30, 30)))
+    n = both[0] + both[1]
+    told = alone[terms]
+    least = z * np.where(told[:, None] & told[None, :], np.inf, np.where(told[:, None] | told[None, :], 2, 1))
+    strong = np.abs(both[1] - n * p) >= least * np.sqrt(np.maximum(1, n * p * (1 - p)))
+    np.fill_diagonal(strong, False)
+    return terms[strong.any(axis=1)]
+
+
 class FactorizationMachine:
     def __init__(self, slots: int = 1 << BITS, factors: int = FACTORS, seed: int = SEED):
         self.w0 = -1e-6
@@ -80,7 +121,12 @@ class FactorizationMachine:
         a = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), minlength=slots) + 0.5
         b = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if not t]), minlength=slots) + 0.5
         odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
-        self.x = np.where(np.abs(odds) >= Z * np.sqrt(1 / a + 1 / b), odds, 0).astype(np.float32)
+        alone = np.abs(odds) >= Z * np.sqrt(1 / a + 1 / b)
+        self.x = np.where(alone, odds, 0).astype(np.float32)
+        paired = telling_pairs(rows, y, alone)
+        paired = paired[~alone[paired]]
+        self.x[paired] = 1
+        self.v[paired] *= 30
         rows = [r[self.x[r] != 0] for r in rows]
         rng, gw, gv, g0 = np.random.default_rng(seed), np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8), 1e-8
         self.w0 = float(np.log(n1 / n0))
@@ -118,7 +164,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factori
     y = y.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([terms(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "toxic", "slots"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -133,7 +179,7 @@ def toxicity(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m.score(terms(t)) for t in b.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
+import tempfile
 import zlib
 
 import numpy as np
 import pytest
 
 from braidgraph.llm import pages, pieces, pii, quality, secrets, toxicity
+from braidgraph.llm.common import windows
 
 
 @pytest.fixture(scope="module")
@@ -127,6 +130,40 @@ def test_factorization_machine_learns_pairs():
     assert abs(m.raw(idx) - (m.w0 + float(m.w[idx] @ x[idx]) + pairs)) < 1e-3
 
 
+def test_factorization_machine_learns_terms_that_tell_in_company_only():
+    """Exclusive or: each term alone says nothing; rows of 80 other terms each, or of one."""
+    rng = np.random.default_rng(1)
+    for others, noise in ((30, 1), (3000, 80)):
+        rows, y = [], []
+        for _ in range(4000):
+            a, b = rng.random() < 0.5, rng.random() < 0.4
+            rows.append(np.unique(np.array([*[1] * a, *[2] * b, *(10 + rng.integers(0, others, noise))], np.int32)))
+            y.append(float(a != b))
+        m = toxicity.FactorizationMachine(4096).fit(rows[:3000], np.array(y[:3000]))
+        assert m.x[1] and m.x[2] and np.mean([(m.score(r) >= 0.5) == bool(t) for r, t in zip(rows[3000:], y[3000:], strict=True)]) > 0.95
+
+
+def test_toxicity_scores_are_the_sum_over_pairs(tables):
+    """Scores of all documents by the definition, pair by pair."""
+    docs = tables("documents").limit(200)
+    m = toxicity.trained(tables("documents"), tables("labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.toxicity(docs, m).collect():
+        words = {w for w in re.findall(r"[^\W_]+", (text[r["doc_id"]] or "").lower())}
+        idx = sorted({zlib.crc32(n.encode()) >> (32 - toxicity.BITS) for w in words for n in [w, *(f"{w[:k]}*" for k in (3, 4, 5, 6) if len(w) > k)]})
+        idx = [i for i in idx if m.x[i]]
+        v = m.v[idx].astype(float) * m.x[idx, None]
+        raw = m.w0 + float(m.w[idx] @ m.x[idx]) + np.triu(v @ v.T, 1).sum()
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-3 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_windows_change_nothing():
+    text = "ab cd_ef  gh" * 50 + "x" * 90
+    for size in (1, 7, 1000):
+        parts = list(windows(text, toxicity._BREAK, size))
+        assert "".join(parts) == text and {w for p in parts for w in toxicity._TERM.findall(p)} == set(toxicity._TERM.findall(text))
+
+
 def test_toxicity_held_out(tables, odd_docs, no_docs):
     docs, labels = tables("documents"), tables("labels")
     m = toxicity.trained(docs, labels)
@@ -171,17 +208,52 @@ def test_surrogate_tables(odd_docs, no_docs, tables):
 # --- 10 ------------------------------------------------------------------------------------------------------------------
 
 
+def _by_contract(text):
+    """Base findings (start, end, kind) as the contract words them."""
+    spans, text = [], text or ""
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            spans.append((m.start(), m.end(), "assign"))
+    spans += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(spans, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+
+
 def test_secrets_base_and_model(spark, tables, odd_docs, no_docs):
     net = secrets.trained()
-    items, y = secrets.labelled(600, 99)
-    p = net.probability([secrets.window(*x) for x in items])
+    items, y = secrets.labelled(3000, 99)
+    windows_ = [secrets.window(*x) for x in items]
+    p = net.probability(windows_)
     hit = p >= net.threshold
-    assert hit[y == 1].mean() > 0.93 and hit[y == 0].mean() < 0.1
+    assert hit[y == 1].mean() >= secrets.RECALL and hit[y == 0].mean() < 0.1
+    assert all(net.probability([w])[0] == q for w, q in zip(windows_[:300], p, strict=False))  # in any company
     texts = [r["text"] for r in tables("documents").limit(300).collect()] + ["é AKIA" + "A1" * 9 + ' API-key "x" Password: "Ab3' + "dE5g" * 4 + '" 0123456789abcdef0', None, ""]
+    texts += ["key Zx81kQpL0vTr2 ghp_" + "aB3dE5gH7j" * 4 + " and plain-words-only here", "SHOUTEDWORDSONLY token=abc", "a" * 40 + " T0ken: q8Zr55Lm21"]
     for t, found in zip(texts, secrets.scan(texts, net), strict=True):
-        base = [f for f in found if f[2] != "model"]
-        assert hashlib.sha256(secrets._spelled(base).encode()).hexdigest() == secrets.brute_digest(t)
-        spans = [f[:2] for f in base]
-        assert all(b <= x or a >= y for a, b, k, _ in found if k == "model" for x, y in spans)
+        base = _by_contract(t)
+        assert [f[:3] for f in found if f[2] != "model"] == base
+        added = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", t or ""):
+            letters = [c for c in m[0] if c.isalpha()]
+            shaped = any(c.isdigit() for c in m[0]) or (sum(c.isupper() for c in letters) > 1 and any(c.islower() for c in letters))
+            if shaped and all(b <= m.start() or a >= m.end() for a, b, _ in base) and net.probability([secrets.window(t, *m.span())])[0] >= net.threshold:
+                added.append(m.span())
+        assert [f[:2] for f in found if f[2] == "model"] == added
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{(folder := tempfile.mkdtemp())}/documents.parquet")
+    spell = lambda xs: ",".join(f"{k}:{a}:{b}" for a, b, k in xs)
+    for r in secrets.op10_secrets(spark, folder).collect():
+        base, whole = _by_contract(texts[r["doc_id"]]), [f[:3] for f in secrets.scan([texts[r["doc_id"]]], net)[0]]
+        assert r["base_sha256"] == hashlib.sha256(spell(base).encode()).hexdigest() and r["spans"] == spell(whole)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for *_, k in base) for x in ("assign", "access", "hex")]
     rows = {r["doc_id"]: r for r in secrets.secrets(odd_docs, net).collect()}
     assert len(rows) == 12 and rows[5]["findings"] == [] and secrets.secrets(no_docs, net).count() == 0
+
+
+def test_long_candidates_are_read_in_chunks(monkeypatch):
+    net = secrets.trained()
+    rng = random.Random(3)
+    items = [secrets.window(t := "key " + "".join(rng.choice("aB3_xY9") for _ in range(n)) + " end", 4, len(t) - 4) for n in (60, 200, 333)]
+    whole = net.raw(items)
+    monkeypatch.setattr(secrets, "LONG", 37)
+    assert abs(net.raw(items) - whole).max() < 1e-6
