@@ -6,34 +6,41 @@ numbers, IBANs, and person names (after a title, or a known given name before a
 of whole groups: as many digits as possible in cards whose check digit fits, then in cards at all.  After the run's first
 group, groups of a card have three digits or more, but for its last.
 
-*Surrogates* are keyed and type-consistent.  An entity is normalised (case, separators, country prefix) and its
-characters are permuted within their classes: digits stay digits, consonants and vowels of a script stay such, everything
-else keeps its place, so format and script are those of the original.  Check digits (Luhn, IBAN) and classes
-(private or public address, valid number) carry over; known given names go to given names of the same gender and
-script, Chinese surnames to such.
-
-*Distinctness and coreference.*  For each format the replacement is a bijection without fixed points: a keyed Feistel
-network, one step along the cycle, and back.  So an entity has the same surrogate in all documents, two entities
-never share one, and none keeps its own; no table of entities is needed, nothing is shuffled, and it holds for any
-corpus.  Each document is checked for it all the same (a collision fails the task), and ``collisions()`` checks a
-whole corpus by a distributed aggregation.
+*Surrogates* are keyed and type-consistent.  An entity is normalised (case, separators, country prefix, the script of digits)
+and its characters are permuted within their classes: digits stay digits of their script, consonants and vowels of a script
+stay such, letters of any other script stay letters of their Unicode block, everything else keeps its place, so format and
+script are those of the original.  Check digits (Luhn, IBAN) and classes (the special networks of addresses, valid numbers)
+carry over; known given names go to given names of the same gender and script, Chinese surnames to such.  In Latin surnames
+usual clusters of consonants and vowels go to usual clusters of the same length and place, so they can be spoken.
+
+*Coreference.*  Within a document, a single surname or given name of a person named in full there is the same entity part and
+gets the same surrogate.
+
+*Distinctness.*  For each format the replacement is a bijection without fixed points, one step along a keyed cycle over all
+values of the format.  So an entity has the same surrogate in all documents, two entities never share one, and none keeps its
+own; no table of entities is needed, nothing is shuffled, and it holds for any corpus.  Each document is checked for it all
+the same: a later entity whose surrogate is taken by another goes further along its cycle.  ``collisions()`` checks a whole
+corpus by a distributed aggregation.
 
 Cases: null texts stay null with no entity; empty texts stay empty.  Overlapping findings: the earliest, then the longest,
-stays.  Repeated rows repeat.  Other columns are ignored.
+stays.  Repeated rows repeat.  Letters whose case changes their number count as small ones.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hmac
 import ipaddress
+import math
 import re
+import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 KEY = b"surrogates-of-this-corpus"
 _ALPHABETS = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "áàâãäåæèéêëìíîïòóôõöøùúûü", "çñðþß", "ëïœ"]
@@ -60,7 +67,7 @@ _HAN_GIVEN = [n for (_, script), names in GIVEN.items() if script == "han" for n
 #: 文明 is a word too, and many surnames end one before it: such a name begins its phrase.
 _HAN = rf"(?:{'|'.join(_HAN_SURNAMES[1])}|[{_HAN_SURNAMES[0]}])(?:{'|'.join(n for n in _HAN_GIVEN if n != '文明')})|(?<![\u4e00-\u9fff])(?:{'|'.join(_HAN_SURNAMES[1])}|[{_HAN_SURNAMES[0]}])文明"
 _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа".split()
-_SURNAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_SURNAME = r"(?:[A-Z]['’])?[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": re.compile(r"[\w.%+-]+@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}"),
@@ -72,6 +79,14 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\d)"),
     "name": re.compile(rf"(?<!\w)(?:(?:{'|'.join(_TITLES)})\.? (?:{_SURNAME} )?{_SURNAME}|(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}) {_SURNAME})(?!\w)|{_HAN}"),
 }
+_CAPITAL = re.compile(r"(?<!\w)[^\W\d_a-z](?:[^\W\d_]|[-'’](?=[^\W\d_]))+(?!\w)")
+#: Usual clusters of Latin surnames by place: at the beginning, inside, at the end; and of vowels.
+_CLUSTERS = {
+    "first": "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr kl kn kr ph pl pr sc sh sk sl sm sn sp st sw th tr tw wh wr zw chr phl phr sch scr shr spl spr str thr schl schm schn schr schw".split(),
+    "inside": "b d f g k l m n p r s t v bb ck dd ff gg ld ll lm lt mb mm mp nd ng nk nn nt pp rd rg rk rm rn rs rt rz sk sp ss st tt tz ldm lst nds ndr ngl ngs nkl nst rst rtn rtz sch tzl".split(),
+    "last": "d f g k l m n p r s t v x z ch ck ds dt ff ft gs ld lf ll lm ls lt mm mp nd ng nk nn ns nt nz pp rd rg rk rm rn rs rt rz sh sk ss st th ts tt tz ght lds lsh lst mpf nds ngs nks nst rch rds rst rth rts rtz sch tch".split(),
+    "vowels": "a e i o u ae ai au ea ee ei eu ia ie io oa oo ou ue".split(),
+}
 _NAMED = re.compile("|".join([*_TITLES, *(n for ns in GIVEN.values() for n in ns)]))
 
 
@@ -133,9 +148,17 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             if kind == "iban" and _mod97(m[0]) != 1:
                 continue
             out.append((*m.span(), kind))
-    out.sort(key=lambda f: (f[0], -f[1]))
+    kept = _apart(out)
+    parts = {small(w) for a, b, k in kept if k == "name" for w in re.findall(r"[^\s.]+", text[a:b]) if w not in _TITLES and len(w) > 1}
+    if parts:
+        kept = _apart(kept + [(*m.span(), "name") for m in _CAPITAL.finditer(text) if small(m[0]) in parts])
+    return kept
+
+
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Findings without those that overlap an earlier or, from the same place, a longer one."""
     kept, at = [], 0
-    for f in out:
+    for f in sorted(found, key=lambda f: (f[0], -f[1])):
         if f[0] >= at:
             kept.append(f)
             at = f[1]
@@ -155,11 +178,23 @@ def _luhn(payload: str) -> int:
     return -total % 10
 
 
+@lru_cache(maxsize=1000)
+def _shuffled(key: bytes, name: str, n: int) -> tuple[int, ...]:
+    """What follows each of 0..n-1 on one keyed cycle over all."""
+    order = sorted(range(n), key=lambda i: hmac.digest(key, f"{name}|{i}".encode(), "sha256"))
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    return tuple(after[i] for i in range(n))
+
+
 class Cycle:
-    """A keyed bijection of 0..a*b-1 without fixed points (a * b > 1): Feistel, one step on, and back."""
+    """A keyed bijection of 0..n-1 without fixed points (n > 1): a shuffled cycle, or for large n a Feistel network, one step on,
+    and back, as often as it leaves the range."""
 
-    def __init__(self, key: bytes, name: str, a: int, b: int):
-        self.key, self.name, self.a, self.b = key, name.encode(), a, b
+    def __init__(self, key: bytes, name: str, n: int):
+        self.key, self.name, self.n = key, name.encode(), n
+        self.after = _shuffled(key, name, n) if n <= 1024 else None
+        self.a = math.isqrt(n - 1) + 1
+        self.b = -(-n // self.a)
 
     def _f(self, r: int, x: int, n: int) -> int:
         size = max(32, (n.bit_length() + 7) // 8 + 8)
@@ -167,83 +202,170 @@ class Cycle:
         return int.from_bytes(out, "big") % n
 
     def __call__(self, x: int) -> int:
+        if self.after:
+            return self.after[x]
         a, b = self.a, self.b
         left, right = divmod(x, b)
         for r in range(0, 8, 2):
             left = (left + self._f(r, right, a)) % a
             right = (right + self._f(r + 1, left, b)) % b
-        left, right = divmod((left * b + right + 1) % (a * b), b)
-        for r in range(6, -1, -2):
-            right = (right - self._f(r + 1, left, b)) % b
-            left = (left - self._f(r, right, a)) % a
-        return left * b + right
-
-
-def permuted(key: bytes, kind: str, s: str, same=lambda s: True) -> str:
-    """Characters permuted within their classes; walks on until ``same`` gives what it gives for s."""
-    classes = [_CLASS.get(c, -1) for c in s]
-    places = [i for i, c in enumerate(classes) if c >= 0]
+        at = left * b + right
+        while True:
+            at = (at + 1) % (a * b)
+            left, right = divmod(at, b)
+            for r in range(6, -1, -2):
+                right = (right - self._f(r + 1, left, b)) % b
+                left = (left - self._f(r, right, a)) % a
+            if left * b + right < self.n:
+                return left * b + right
+
+
+def small(s: str) -> str:
+    """Lower case without a change of length."""
+    low = s.lower()
+    return low if len(low) == len(s) else "".join(x if len(x := c.lower()) == 1 else c for c in s)
+
+
+@lru_cache(maxsize=5000)
+def _alphabet(c: str) -> str:
+    """The characters that may stand for a small one: of its class, else the digits of its script, else the letters of its kind in
+    its Unicode block of 256; none for signs."""
+    if c in _CLASS:
+        return _ALPHABETS[_CLASS[c]]
+    if c.isdecimal():
+        zero = ord(c) - int(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalnum():
+        return ""
+    kind, first, script = unicodedata.category(c), ord(c) & ~255, unicodedata.name(c, "").split(" ")[0]
+    same = (chr(i) for i in range(first, first + 256))
+    return "".join(x for x in same if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and x not in _CLASS and x.upper().lower() == x and small(x) == x)
+
+
+def _walked(key: bytes, kind: str, s: str, places: list[tuple[int, tuple | str]], same) -> str:
+    """s with the parts at ``places`` (start, values of one length) moved along the cycle of all their values until ``same`` gives
+    what it gives for s."""
+    places = [(i, values) for i, values in places if len(values) > 1 and s[i : i + len(values[0])] in values]
     if not places:
         return s
-    half = len(places) // 2
-    radix = [len(_ALPHABETS[classes[i]]) for i in places]
-    a, b = 1, 1
-    for r in radix[:half]:
-        a *= r
-    for r in radix[half:]:
-        b *= r
-    frame = "".join(chr(65 + c) if c >= 0 else s[i] for i, c in enumerate(classes))
-    step, want, value = Cycle(key, f"{kind}|{frame}", a, b), same(s), 0
-    for i, r in zip(places, radix, strict=True):
-        value = value * r + _ALPHABETS[classes[i]].index(s[i])
+    total = math.prod(len(values) for _, values in places)
+    frame, at = [], 0
+    for i, values in places:
+        frame += [s[at:i], f"<{values[0]}{len(values)}>"]
+        at = i + len(values[0])
+    step, want, value = Cycle(key, f"{kind}|{''.join(frame)}{s[at:]}", total), same(s), 0
+    for i, values in places:
+        value = value * len(values) + values.index(s[i : i + len(values[0])])
     while True:
         value = step(value)
         rest, out = value, list(s)
-        for i, r in zip(reversed(places), reversed(radix), strict=True):
-            rest, d = divmod(rest, r)
-            out[i] = _ALPHABETS[classes[i]][d]
+        for i, values in reversed(places):
+            rest, d = divmod(rest, len(values))
+            out[i : i + len(values[0])] = values[d]
         if same(now := "".join(out)) == want:
             return now
 
 
+def permuted(key: bytes, kind: str, s: str, same=lambda s: True) -> str:
+    """Small characters permuted within their classes."""
+    return _walked(key, kind, s, [(i, _alphabet(c)) for i, c in enumerate(s)], same)
+
+
 def _recased(original: str, new: str) -> str:
     return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(original, new, strict=True))
 
 
 def _refill(original: str, new: str) -> str:
-    """The digits and letters of ``new`` in the places of those of ``original``."""
-    it = iter(new)
-    return "".join(next(it) if c.isalnum() else c for c in original)
+    """The digits and letters of ``new`` in the places of those of ``original``, digits in the script of the original's."""
+    it, out = iter(new), []
+    for c in original:
+        n = next(it) if c.isalnum() else c
+        out.append(chr(ord(c) - int(c) + int(n)) if c.isdecimal() and n.isdecimal() else n)
+    return "".join(out)
+
+
+def _digits(s: str) -> str:
+    return "".join(str(int(c)) for c in s if c.isdecimal())
 
 
 def normal(kind: str, s: str) -> str:
     """What two mentions of one entity have in common."""
-    if kind in ("email", "ipv6"):
-        return s.lower()
+    if kind in ("email", "ipv6", "name"):
+        return small(s)
     if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", s)
+        return _digits(s)
     if kind == "phone":
-        d = re.sub(r"\D", "", s)
+        d = _digits(s)
         return d[-10:] if len(d) > 10 else d
     if kind == "iban":
         return re.sub(r"\W", "", s).upper()
-    return s.lower() if kind == "name" else s
+    return str(ipaddress.IPv4Address(_ascii(s))) if kind == "ip" else s
+
+
+def _ascii(s: str) -> str:
+    return "".join(str(int(c)) if c.isdecimal() else c for c in s)
+
+
+# Special networks of IPv4 and prefixes of IPv6.
+_NETWORKS = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4"
+_SPECIAL_V6 = ("fe8", "fe9", "fea", "feb", "fc", "fd", "ff")
+_SPECIAL = [(int(n[0]), n.num_addresses) for n in map(ipaddress.IPv4Network, _NETWORKS.split())]
+_ORDINARY: list[tuple[int, int]] = []  # (first address, how many ordinary ones lie before it)
+for _start, _size in [(-1, 1), *_SPECIAL]:
+    _before = _start + _size
+    _next = min((a for a, _ in _SPECIAL if a >= _before), default=1 << 32)
+    if _next > _before:
+        _ORDINARY.append((_before, _next - _before))
+_FIRST = [a for a, _ in _ORDINARY]
+_SHIFT = [sum(n for _, n in _ORDINARY[:i]) for i in range(len(_ORDINARY))]
+
+
+def _address(key: bytes, n: int) -> int:
+    """Another address of the same special network, or another ordinary one."""
+    for start, size in _SPECIAL:
+        if start <= n < start + size:
+            return start + Cycle(key, f"ip|{start}", size)(n - start)
+    i = bisect_right(_FIRST, n) - 1
+    at = Cycle(key, "ip", sum(m for _, m in _ORDINARY))(n - _FIRST[i] + _SHIFT[i])
+    i = bisect_right(_SHIFT, at) - 1
+    return _FIRST[i] + at - _SHIFT[i]
 
 
 def _given(key: bytes, word: str) -> str:
     group, i = _GIVEN[word.lower()]
-    return GIVEN[group][Cycle(key, f"given|{group}", 1, len(GIVEN[group]))(i)]
+    new = GIVEN[group][Cycle(key, f"given|{group}", len(GIVEN[group]))(i)]
+    return new.upper() if word.isupper() and len(word) > 1 else new
+
+
+_VOWELS = frozenset("aeiou")
+_LATIN_RUN = re.compile(r"[aeiou]+|[bcdfghjklmnpqrstvwxyz]+")
+
+
+def _runs(word: str) -> list[tuple[int, str, tuple]]:
+    """(start, run of consonants or vowels, the usual clusters of its place and length; none if it isn't one) of a small word."""
+    out = []
+    for m in _LATIN_RUN.finditer(word):
+        place = "vowels" if m[0][0] in _VOWELS else "first" if m.start() == 0 else "last" if m.end() == len(word) else "inside"
+        usual = tuple(c for c in _CLUSTERS[place] if len(c) == len(m[0]))
+        out.append((m.start(), m[0], usual if m[0] in usual and len(usual) > 1 else ()))
+    return out
 
 
 def _surname(key: bytes, word: str) -> str:
-    return _recased(word, permuted(key, "surname", word.lower(), lambda s: s in _GIVEN))
+    low = small(word)
+    runs = _runs(low)
+    places = [(i, usual) for i, _, usual in runs if usual]
+    taken = {i + k for i, run, usual in runs if usual for k in range(len(run))}
+    places += [(i, _alphabet(c)) for i, c in enumerate(low) if i not in taken]
+    shape = lambda s: (s in _GIVEN, [(i, len(run), bool(usual)) for i, run, usual in _runs(s)])
+    return _recased(word, _walked(key, f"surname|{[(i, len(r)) for i, r, u in runs if u]}", low, sorted(places), shape))
 
 
 @lru_cache(maxsize=50_000)
 def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
     """The replacement of an entity as it is written."""
     if kind == "email":
-        head, _, tail = s.lower().rpartition(".")
+        head, _, tail = small(s).rpartition(".")
         return _recased(s, f"{permuted(key, 'email.' + tail, head)}.{tail}")
     if kind == "card":
         d = normal(kind, s)
@@ -251,28 +373,29 @@ def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
         body = d[0] + permuted(key, f"card{d[0]}{off}", d[1:-1])
         return _refill(s, body + str((_luhn(body) + off) % 10))
     if kind == "phone":
-        d = re.sub(r"\D", "", s)
-        own = normal(kind, s)
+        d, own = _digits(s), normal(kind, s)
         lead = lambda x: 2 if x[0] > "1" else int(x[0])
         return _refill(s, d[: len(d) - len(own)] + permuted(key, "phone", own, lead))
     if kind == "ssn":
         ok = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
         return _refill(s, permuted(key, kind, normal(kind, s), ok))
     if kind == "ip":
-        sort = lambda n: (a := ipaddress.IPv4Address(n)) and (a.is_global, a.is_private, a.is_multicast, a.is_loopback, a.is_reserved)
-        step, n = Cycle(key, kind, 1 << 16, 1 << 16), int(ipaddress.IPv4Address(s))
-        want, now = sort(n), step(n)
-        while sort(now) != want:
-            now = step(now)
-        return str(ipaddress.IPv4Address(now))
+        return str(ipaddress.IPv4Address(_address(key, int(ipaddress.IPv4Address(_ascii(s))))))
     if kind == "ipv6":
-        groups = [g.lower() for g in s.split(":")]
-        frame = ":".join(str(len(g)) for g in groups)
-        digits = "".join(groups)
-        half = len(digits) // 2
-        step = Cycle(key, f"ipv6|{frame}", 16**half, 16 ** (len(digits) - half))
-        new = iter(f"{step(int(digits, 16)):0{len(digits)}x}")
-        return _recased(s, "".join(next(new) if c != ":" else c for c in s))
+        groups = small(s).split(":")
+        special = lambda g: next((p for p in _SPECIAL_V6 if len(g) == 4 and g.startswith(p)), "")
+        kept = groups[0] if special(groups[0]) else ""
+        digits = "".join(groups)[len(kept) :]
+        frame, first = ":".join(str(len(g)) for g in groups), len(groups[0])
+        step = Cycle(key, f"ipv6|{kept}|{frame}", 16 ** len(digits))
+        value = int(digits, 16)
+        while True:
+            value = step(value)
+            new = kept + f"{value:0{len(digits)}x}"
+            if kept or not special(new[:first]):
+                break
+        it = iter(new)
+        return _recased(s, "".join(next(it) if c != ":" else c for c in s))
     if kind == "iban":
         d = normal(kind, s)
         body = _recased(d[4:], permuted(key, "iban" + d[:2], d[4:].lower()))
@@ -280,7 +403,7 @@ def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
         return _refill(s, f"{d[:2]}{check:02d}{body}")
     if s[-2:] in _HAN_GIVEN:
         surnames = _HAN_SURNAMES[len(s) > 3]
-        return surnames[Cycle(key, f"surname|han{len(s)}", 1, len(surnames))(surnames.index(s[:-2]))] + _given(key, s[-2:])
+        return surnames[Cycle(key, f"surname|han{len(s)}", len(surnames))(surnames.index(s[:-2]))] + _given(key, s[-2:])
     words = s.split(" ")
     out = [w if w.rstrip(".") in _TITLES else _given(key, w) if w.lower() in _GIVEN else _surname(key, w) for w in words]
     return " ".join(out)
@@ -288,12 +411,16 @@ def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
 
 def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (start, end, kind, surrogate) by place in the original."""
-    out, at, spans, seen = [], 0, [], {}
+    out, at, spans, taken, chosen = [], 0, [], {}, {}
     for a, b, kind in find(text):
         old = text[a:b]
+        own = (kind, normal(kind, old))
         new = surrogate(kind, old, key)
-        if seen.setdefault((kind, normal(kind, new)), normal(kind, old)) != normal(kind, old):
-            raise ValueError(f"two entities of kind {kind} got one surrogate")
+        for _ in range(chosen.get(own, 0)):
+            new = surrogate(kind, new, key)
+        while taken.setdefault((kind, normal(kind, new)), own) != own:  # taken by another entity
+            chosen[own] = chosen.get(own, 0) + 1
+            new = surrogate(kind, new, key)
         out += [text[at:a], new]
         spans.append((a, b, kind, new))
         at = b
@@ -305,7 +432,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch)):
             done = [(None, []) if t is None else replaced(t, key) for t in b.column("text").to_pylist()]
             spans = [[dict(zip(("start", "end", "kind", "surrogate"), x, strict=True)) for x in s] for _, s in done]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array(spans, kind)], names=["doc_id", "text", "entities"])
@@ -318,7 +445,7 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """Surrogates that stand for more than one entity of the corpus, with how many: always empty."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch)):
             rows = {(k, normal(k, t[x:y]), normal(k, surrogate(k, t[x:y], key))) for t in b.column("text").to_pylist() if t for x, y, k in find(t)}
             c = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c], names=["kind", "entity", "surrogate"])
