@@ -1,17 +1,19 @@
 """Operator 8: media columns as baseline JPEG, coded and read in numpy.
 
 *Reading* parses the markers of a baseline JPEG (8-bit Huffman, any sampling, restart intervals), decodes
-its scan and rebuilds the luminance thumbnail from the DC terms alone.  All restart intervals of a batch of
-files are decoded in lockstep: one numpy step reads the next Huffman symbol of every interval.
+its first scan with luminance and rebuilds the luminance thumbnail from the DC terms alone.  All restart intervals of a batch
+of files are decoded in lockstep: one numpy step reads the next Huffman symbol of every interval.  Files of few and long
+intervals, as most photographs are, are read symbol by symbol with the same tables.
 
 *Payloads.*  A payload of bytes is stored losslessly in the format's own unit, the quantised coefficient:
 64 bytes are one 8x8 block of a grey image, coefficient = byte - 128 in zigzag order, all quantisers 1 and a
 restart interval for every block.  Entropy coding is exact, so reading the stored file gives the bytes back.
 The image is about square; blocks past the payload are 0 and a comment marker holds the payload's length.
 
-Cases: null text is empty; empty payloads are one block of zeros.  Files that are no baseline JPEG, or are cut
-short, get null dimensions and an ``error`` instead of failing the job.  Repeated rows repeat.  Long texts are
-coded in chunks of blocks.  Other columns are ignored.
+Cases: null text is empty; empty payloads are one block of zeros.  Files that are no baseline JPEG, are cut short, claim
+more blocks than their scan can hold, or have tables or counts that don't fit get null dimensions and an ``error`` instead of
+failing the job.  A comment that is no payload length of the file gives a null payload.  Repeated rows repeat.  Long texts
+are coded in chunks of blocks.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,28 +170,50 @@ def parse(data: bytes) -> dict:
         elif marker == 0xDB:
             while body:
                 wide = 64 << (body[0] >> 4)
+                if body[0] >> 4 > 1 or len(body) < 1 + wide:
+                    raise BadJpeg("quantisers cut short")
                 out["q"][body[0] & 15] = np.frombuffer(body[1 : 1 + wide], ">u2" if body[0] >> 4 else np.uint8).astype(int)
                 body = body[1 + wide :]
         elif marker in (0xC0, 0xC1):
+            if len(body) < 6 or not 1 <= body[5] <= 4 or len(body) < 6 + 3 * body[5]:
+                raise BadJpeg("frame cut short")
             bits, high, wide, n = struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
             if bits != 8 or not high or not wide:
                 raise BadJpeg("not 8-bit or without size")
-            out |= {"width": wide, "height": high, "parts": [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]}
+            if not all(1 <= x[1] <= 4 and 1 <= x[2] <= 4 for x in parts) or len({x[0] for x in parts}) < n:
+                raise BadJpeg("odd components")
+            out |= {"width": wide, "height": high, "parts": parts}
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise BadJpeg("not baseline")
         elif marker == 0xC4:
             while body:
                 counts = list(body[1:17])
+                if len(counts) < 16 or sum(counts) > 256 or len(body) < 17 + sum(counts):
+                    raise BadJpeg("Huffman table cut short")
                 out["ac" if body[0] >> 4 else "dc"][body[0] & 15] = (counts, list(body[17 : 17 + sum(counts)]))
                 body = body[17 + sum(counts) :]
         elif marker == 0xDD:
-            out["restart"] = struct.unpack(">H", body)[0]
+            if len(body) < 2:
+                raise BadJpeg("restart interval cut short")
+            out["restart"] = struct.unpack_from(">H", body)[0]
         elif marker == 0xDA:
-            if "parts" not in out or body[0] != len(out["parts"]):
-                raise BadJpeg("not one interleaved scan")
+            if "parts" not in out:
+                raise BadJpeg("scan without frame")
+            ids = [x[0] for x in out["parts"]]
+            if not body or len(body) < 1 + 2 * body[0] or not set(own := [body[1 + 2 * i] for i in range(body[0])]) <= set(ids) or len(set(own)) < len(own):
+                raise BadJpeg("odd scan")
+            out["of"] = [ids.index(x) for x in own]
             out["tables"] = [(body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             out["scan"] = at + 2 + size
-            return out
+            if 0 in out["of"]:
+                return out
+            rest = np.frombuffer(data, np.uint8)[at + 2 + size :]
+            marks = np.flatnonzero((rest[:-1] == 255) & (rest[1:] != 0) & (rest[1:] != 255) & ((rest[1:] < 0xD0) | (rest[1:] > 0xD7)))
+            if not len(marks):
+                raise BadJpeg("no scan with luminance")
+            at += 2 + size + int(marks[0])
+            continue
         elif marker == 0xD9:
             raise BadJpeg("no scan")
         at += 2 + size
@@ -270,16 +295,74 @@ def _lockstep(raw: np.ndarray, begin: np.ndarray, todo: np.ndarray, kinds: list[
     return out
 
 
+@lru_cache(maxsize=64)
+def _listed(lengths: tuple, symbols: tuple) -> list[int]:
+    return _lookup((lengths, symbols)).tolist()
+
+
+def _one_by_one(p: dict) -> None:
+    """Coefficients of a file, symbol by symbol."""
+    raw, kinds, out_at, out_value = p["raw"].tobytes() + b"\xff" * 8, p["kinds"], [], []
+    ends, cycle, block = 8 * len(p["raw"]) + 16, len(p["kinds"]), 0
+    tables = [(k[0], *(_listed(*map(tuple, t)) for t in (p["dc"][k[1]], p["ac"][k[2]]))) for k in kinds]
+    word = int.from_bytes
+    for begin, todo in zip(p["begin"].tolist(), p["todo"].tolist(), strict=True):
+        pos, pred = 8 * begin, [0] * (1 + max(k[0] for k in kinds))
+        for n in range(todo):
+            part, dc, table = tables[n % cycle]
+            k, symbols = 0, dc
+            while k < 64:
+                at = pos >> 3
+                found = symbols[word(raw[at : at + 4], "big") >> (16 - (pos & 7)) & 0xFFFF]
+                if not found or pos > ends:
+                    raise BadJpeg("no such code" if pos <= ends else "scan cut short")
+                pos += found >> 8
+                size = found & 15
+                value = 0
+                if size:
+                    at = pos >> 3
+                    value = (word(raw[at : at + 4], "big") << (pos & 7) & 0xFFFFFFFF) >> (32 - size)
+                    pos += size
+                    if value < 1 << (size - 1):
+                        value -= (1 << size) - 1
+                if symbols is dc and not k:
+                    pred[part] += value
+                    out_at.append(64 * block)
+                    out_value.append(pred[part])
+                    symbols, k = table, 1
+                    continue
+                run = (found & 255) >> 4
+                if size:
+                    k += run
+                    if k > 63:
+                        raise BadJpeg("run past the block")
+                    out_at.append(64 * block + k)
+                    out_value.append(value)
+                    k += 1
+                elif found & 255:
+                    k += run + 1
+                else:
+                    break
+            block += 1
+    out = np.zeros(64 * block, np.int16)
+    out[out_at] = np.array(out_value, np.int64).astype(np.int16)
+    p["all"] = out.reshape(-1, 64)
+
+
 def _layout(p: dict) -> tuple[list[tuple], int, int]:
+    """Blocks of an MCU as (part, DC table, AC table), and MCUs across and down."""
     wide, high = max(x[1] for x in p["parts"]), max(x[2] for x in p["parts"])
-    if len(p["parts"]) == 1:
-        wide = high = 1
-        kinds = [(0, *p["tables"][0])]
-    else:
-        kinds = [(i, *p["tables"][i]) for i, x in enumerate(p["parts"]) for _ in range(x[1] * x[2])]
+    if len(p["of"]) == 1:
+        _, w, h, _ = p["parts"][p["of"][0]]
+        return [(0, *p["tables"][0])], -(-(-(-p["width"] * w // wide)) // 8), -(-(-(-p["height"] * h // high)) // 8)
+    kinds = [(i, *t) for i, t in zip(p["of"], p["tables"], strict=True) for _ in range(p["parts"][i][1] * p["parts"][i][2])]
     return kinds, -(-p["width"] // (8 * wide)), -(-p["height"] // (8 * high))
 
 
+#: Files with fewer restart intervals are read symbol by symbol.
+FEW = 48
+
+
 def read(files: list[bytes]) -> list[dict]:
     """For each file width, height, comment, thumbnail (DC luminance, one sample a block, uint8) and the
     coefficients (block, 64) of its first part in zigzag order; or ``error``."""
@@ -296,11 +379,16 @@ def read(files: list[bytes]) -> list[dict]:
             blocks, each = mw * mh * len(kinds), (p["restart"] or mw * mh) * len(kinds)
             if len(begin) != -(-blocks // each):
                 raise BadJpeg("restart markers missing")
+            if blocks > 4 * len(raw):
+                raise BadJpeg("scan cut short")  # a block has two codes at least
             todo = np.full(len(begin), each)
             todo[-1] = blocks - each * (len(begin) - 1)
             p |= {"kinds": kinds, "mcus": (mw, mh), "raw": raw, "begin": begin, "todo": todo}
-            groups.setdefault(repr((kinds, sorted(p["dc"].items()), sorted(p["ac"].items()))), []).append(i)
-        except (BadJpeg, IndexError, KeyError, struct.error) as e:
+            if len(begin) < FEW < blocks:
+                _one_by_one(p)
+            else:
+                groups.setdefault(repr((kinds, sorted(p["dc"].items()), sorted(p["ac"].items()))), []).append(i)
+        except BadJpeg as e:
             p = {"error": str(e)}
         parsed.append(p)
     for members in groups.values():
@@ -343,11 +431,13 @@ def _finished(p: dict) -> dict:
     mw, mh = p["mcus"]
     own = [i for i, k in enumerate(p["kinds"]) if k[0] == 0]
     mine = p["all"].reshape(mw * mh, len(p["kinds"]), 64)[:, own]
-    w, h = (p["parts"][0][1], p["parts"][0][2]) if len(p["parts"]) > 1 else (1, 1)
+    _, w, h, _ = p["parts"][0]
+    rows, cols = -(-(-(-p["height"] * h // max(x[2] for x in p["parts"]))) // 8), -(-(-(-p["width"] * w // max(x[1] for x in p["parts"]))) // 8)
+    if len(p["of"]) == 1:
+        w = h = 1
     q = p["q"].get(p["parts"][0][3])
     dc = mine[:, :, 0].reshape(mh, mw, h, w).transpose(0, 2, 1, 3).reshape(mh * h, mw * w).astype(float)
     light = np.clip(np.round(dc * (q[0] if q is not None else 1) / 8 + 128), 0, 255).astype(np.uint8)
-    rows, cols = -(-p["height"] // 8), -(-p["width"] // 8)
     return {"width": p["width"], "height": p["height"], "comment": p["comment"], "thumbnail": light[:rows, :cols], "coefficients": mine.reshape(-1, 64), "error": None}
 
 
@@ -359,12 +449,21 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def payload_of(found: dict) -> bytes:
-    """The payload that store() put into a file, from what read() gives for it."""
-    n = int(found["comment"].removeprefix(b"payload="))
+def payload_of(found: dict) -> bytes | None:
+    """The payload that store() put into a file, from what read() gives for it; None if it holds none."""
+    comment = found["comment"]
+    if not comment.startswith(b"payload=") or not comment[8:].isdigit() or len(comment) > 24:
+        return None
+    n = int(comment[8:])
+    if n % 64 or not 0 < n <= found["coefficients"].size:
+        return None
     return (found["coefficients"][: n // 64] + 128).astype(np.uint8).tobytes()
 
 
+def _padded(text: bytes) -> bytes:
+    return text + b"\0" * (-len(text) % 64 if text else 64)
+
+
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the stored JPEG) for each row of ``docs``."""
 
@@ -372,7 +471,7 @@ def media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, limit=1 << 20):
                 texts = text_bytes(part.column("text"))
-                files = [store(t + b"\0" * (-len(t) % 64 if t else 64)) for t in texts]
+                files = [store(_padded(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -395,7 +494,7 @@ def described(files: DataFrame, column: str = "media") -> DataFrame:
                         pa.array([f["height"] for f in found], pa.int32()),
                         pa.array([f["thumbnail"].tobytes() if g else None for f, g in zip(found, ok, strict=True)], pa.binary()),
                         pa.array([thumbnail_hash(f["thumbnail"]) if g else None for f, g in zip(found, ok, strict=True)], pa.string()),
-                        pa.array([payload_of(f) if g and f["comment"].startswith(b"payload=") else None for f, g in zip(found, ok, strict=True)], pa.binary()),
+                        pa.array([payload_of(f) if g else None for f, g in zip(found, ok, strict=True)], pa.binary()),
                         pa.array([f["error"] for f in found], pa.string()),
                     ],
                     names=[*names, "width", "height", "thumbnail", "thumbnail_hash", "payload", "error"],
@@ -405,19 +504,21 @@ def described(files: DataFrame, column: str = "media") -> DataFrame:
     return files.mapInArrow(run, f"{kinds}, width int, height int, thumbnail binary, thumbnail_hash string, payload binary, error string")
 
 
-def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: every document stored as a JPEG, read back and described."""
-
-    def digest(batches):
-        for b in batches:
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()) for p, m in zip(b.column("payload").to_pylist(), b.column("media").to_pylist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), b.column("feature")], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def _recorded(batches):
+    """Texts stored, read back and described, all in one pass."""
+    for part in (p for batch in batches for p in pieces(batch)):
+        texts = text_bytes(part.column("text"))
+        files = [store(_padded(t)) for t in texts]
+        rows = []
+        for t, m, f in zip(texts, files, read(files), strict=True):
+            p, thumb = payload_of(f), f["thumbnail"]
+            rows.append((len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{f['width']}x{f['height']}:{thumbnail_hash(thumb)}"))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    rows = described(media(table(spark, sf_dir, "documents"))).withColumn("feature", F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.select("doc_id", "n_bytes", "payload", "media", "feature").mapInArrow(digest, schema)
 
-
-ORACLE = None
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: every document stored as a JPEG, read back and described."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(_recorded, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
