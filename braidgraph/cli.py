@@ -112,11 +112,12 @@ def _store(root: str) -> str:
 def _analyze(spark, root: str, args) -> dict:
     from .parse.analyze import analyze
     from .sources import baseline, gitlog
+    from .functions.columns import IGNORED
     from .sources.scan import listing, project_kind
 
     if not gitlog.is_repo(root):
         raise CliError("E_NO_GIT_REPO", f"Not a git repository: {root}", "Run git init first")
-    kind = project_kind(listing(spark, root).where("path not like '.%' and path not like 'node_modules/%'")).first()["kind"]
+    kind = project_kind(listing(spark, root, IGNORED, hidden=False)).first()["kind"]
     if kind == "empty":
         return {"success": True, "kind": "empty", "message": "No source files found", "suggestions": ["Add source files"]}
     done = analyze(spark, root)

@@ -52,6 +52,8 @@ class Registry:
 
 
 REGISTRY = Registry()
+#: Files that a parsing task reads.
+FILES_A_TASK = 500
 REGISTRY.register("typescript", C.PARSED, parse)
 
 _TRIES = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json")
@@ -84,19 +86,62 @@ def candidates(specifier: str, path: str, aliases: dict | None = None) -> list[s
     return list(dict.fromkeys(out))
 
 
-def aliases_of(root: str) -> tuple[dict, list[str]]:
-    """Path aliases of a tsconfig.json (comments allowed), with warnings."""
-    path = os.path.join(root, "tsconfig.json")
-    if not os.path.exists(path):
-        return {}, []
+def _config(path: str, seen: tuple[str, ...] = ()) -> tuple[dict, list[str]]:
+    """Compiler options of a tsconfig file (comments allowed) over those it extends, with the folder of each that holds paths."""
     try:
         with open(path, encoding="utf-8") as f:
             text = f.read()
         bare = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
-        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
-    except (OSError, ValueError) as e:
-        return {}, [f"tsconfig.json parsing errors: {e}"]
-    return {"base": posixpath.normpath(options.get("baseUrl", ".")), "has_base": "baseUrl" in options, "paths": options.get("paths", {})}, []
+        own = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+        options, above = dict(own.get("compilerOptions") or {}), own.get("extends") or []
+    except (OSError, ValueError, AttributeError, TypeError) as e:
+        return {}, [f"{os.path.basename(path)} parsing errors: {e}"]
+    folder, out, warnings = os.path.dirname(path), {}, []
+    for name in [above] if isinstance(above, str) else above:
+        found = _extended(folder, name)
+        if found is None or found in seen or found == path:
+            warnings.append(f"{os.path.basename(path)} parsing errors: cannot extend {name}")
+            continue
+        options_above, said = _config(found, (*seen, path))
+        out |= options_above
+        warnings += said
+    if "baseUrl" in options:
+        out |= {"baseUrl": os.path.normpath(os.path.join(folder, options["baseUrl"]))}
+    if "paths" in options:
+        out |= {"paths": options["paths"] or {}, "folder": folder}
+    return out, warnings
+
+
+def _extended(folder: str, name: str) -> str | None:
+    """The file that a config extends: a path, or a package in the nearest node_modules upward."""
+    if name.startswith((".", "/")):
+        tries = [os.path.join(folder, name)]
+    else:
+        tries, at = [], folder
+        while True:
+            tries.append(os.path.join(at, "node_modules", name))
+            if at == os.path.dirname(at):
+                break
+            at = os.path.dirname(at)
+    for t in tries:
+        for path in (t, f"{t}.json", os.path.join(t, "tsconfig.json")):
+            if os.path.isfile(path):
+                return os.path.normpath(path)
+    return None
+
+
+def aliases_of(root: str) -> tuple[dict, list[str]]:
+    """Path aliases of a tsconfig.json and of all it extends, relative to the root, with warnings."""
+    root = os.path.abspath(root)
+    path = os.path.join(root, "tsconfig.json")
+    if not os.path.exists(path):
+        return {}, []
+    options, warnings = _config(path)
+    if not options and warnings:
+        return {}, warnings
+    base = options.get("baseUrl") or options.get("folder") or root
+    own = lambda p: os.path.relpath(p, root).replace(os.sep, "/")
+    return {"base": own(base), "has_base": "baseUrl" in options, "paths": options.get("paths", {})}, warnings
 
 
 _ROW = (
@@ -118,7 +163,9 @@ def parsed_files(files: DataFrame, aliases: dict | None = None, registry: Regist
             warnings, imports, modules = [], [], []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    found = parsers[posixpath.splitext(path)[1]](path, text or "")
+                    if text is None:
+                        raise OSError("cannot be read")
+                    found = parsers[posixpath.splitext(path)[1]](path, text)
                     warnings.append(found.warnings)
                     imports.append([vars(x) | {"candidates": candidates(x.specifier, path, aliases)} for x in found.imports])
                     modules.append([{"name": m.name, "metadata": m.metadata} for m in found.modules])
@@ -167,12 +214,14 @@ def analyze(spark: SparkSession, root: str, registry: Registry = REGISTRY, on_pr
     tell({"phase": "parse", "current": 0, "total": n})
     aliases, warnings = aliases_of(root)
     if n:
-        text = S.contents(spark, os.path.abspath(root)).join(found.files_to_parse, "path", "left_semi")
-        parsed = written(parsed_files(text, aliases, registry), "parsed")
+        spread = found.files_to_parse.repartition(max(1, min(-(-n // FILES_A_TASK), 100_000)), "path")
+        parsed = written(parsed_files(S.contents(spark, root, spread), aliases, registry), "parsed")
         tell({"phase": "merge", "current": n, "total": n})
         graph = G.merge_parsed(found.graph, parsed_graph(parsed, listed))
         graph = RepoGraph(written(graph.nodes, "nodes"), written(graph.edges, "edges"), {"timestamp": int(time.time() * 1000)})
         failed = [w for r in parsed.where(F.size("warnings") > 0).select("warnings").collect() for w in r[0]]
+        if (came := parsed.count()) != n:
+            failed.append(f"{n - came} of {n} files did not come back from parsing")
     else:
         graph, failed = found.graph, []
     counts = G.edge_counts(graph).first().asDict()

@@ -6,8 +6,9 @@ import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.changes import coalesced, tree_diff
+from ..operators.changes import coalesced, tracked, tree_diff
 
 
 class GitError(Exception):
@@ -50,10 +51,12 @@ def log(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
 
 
 def changes(spark: SparkSession, root: str, last: str | None) -> DataFrame:
-    """path, type since a commit, by comparing trees; by folding the log if the old tree is gone."""
+    """path, type since a commit, by comparing trees; by folding the whole log if the repository lacks that commit."""
     if last is None:
         raise GitError("no last commit is stored")
     try:
-        return tree_diff(tree(spark, root, last), tree(spark, root))
+        before = tree(spark, root, last)
     except GitError:
-        return coalesced(log(spark, root, last))
+        folded = coalesced(log(spark, root))
+        return folded.where(tracked(F.col("path")))
+    return tree_diff(before, tree(spark, root))

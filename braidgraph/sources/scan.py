@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..model import EDGES, NODES, RepoGraph, graph_of
+from ..model import EDGES, NODES, RepoGraph, edge_metadata, graph_of, node_metadata
+from ..plans.durable import written
 from ..project import _node, folders
 
 MAX_DEPTH = 20
@@ -23,23 +27,137 @@ class ScanResult:
     warnings: list[str] = field(default_factory=list)
 
 
-def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Files under a folder of any store that Spark reads, with their path below it; only the named columns are read."""
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", *columns)
-    plain = F.regexp_replace(F.col("path"), r"^[a-zA-Z0-9]+:(//[^/]*)?", "")
-    return files.withColumn("path", F.substr(plain, F.lit(len(root) + 2)))
+#: Folders that the driver lists before it hands the rest of the tree to tasks, and bytes of text in a batch.
+SPREAD, BATCH_BYTES = 256, 8 << 20
+_ROW = "kind string, path string, above string, length long, message string"
+_KINDS = {"kind": pa.string(), "path": pa.string(), "above": pa.string(), "length": pa.int64(), "message": pa.string()}
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length of all files under a folder; no content is fetched."""
-    return _files(spark, folder, "length")
+def _store(folder: str):
+    """(file system, path) of a folder in any store that pyarrow reads; None for one of this machine or mounted by all."""
+    if "://" not in folder:
+        return None, folder
+    if folder.startswith("file:"):
+        return None, "/" + folder.split(":", 1)[1].lstrip("/")
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(folder)
 
-def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of all files under a folder, as text."""
-    return _files(spark, folder, "content").withColumn("content", F.col("content").cast("string"))
+
+def _entries(root: str, at: str) -> list[tuple[str, str, int]]:
+    """(name, kind, length) of what lies in a folder, by name; kinds are D, F and L for links."""
+    store, base = _store(root)
+    if store is None:
+        with os.scandir(os.path.join(base, at)) as found:
+            rows = [(e.name, "L" if e.is_symlink() else "D" if e.is_dir() else "F", 0 if e.is_symlink() or e.is_dir() else e.stat().st_size) for e in found]
+    else:
+        from pyarrow import fs
+
+        rows = [(i.base_name, "D" if i.type == fs.FileType.Directory else "F", i.size or 0) for i in store.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/")))]
+    return sorted(rows)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What a walk leaves out."""
+
+    rules: tuple[str, ...] = ()
+    hidden: bool = True
+    max_depth: int = 1 << 30
+
+    def skips(self, name: str, path: str) -> bool:
+        folders, names = {r[:-1] for r in self.rules if r.endswith("/")}, {r for r in self.rules if not r.endswith("/")}
+        return (name.startswith(".") and not self.hidden) or name in folders or name in names or path in names
+
+
+def _walked(root: str, todo: list[tuple[str, int]], rules: Rules, rows: list[tuple], most: int = 0) -> Iterator[list[tuple]]:
+    """Lists folders until none is left in ``todo``, or over ``most`` wait there; rows come in lists, the last one may be short."""
+    while todo and (not most or len(todo) <= most):
+        at, depth = todo.pop(0) if most else todo.pop()
+        own = at or "."
+        rows.append(("D", own, None, None, None))
+        try:
+            entries = _entries(root, at)
+        except OSError as e:
+            rows.append(("W", own, None, None, f"Cannot read {own}: {e}"))
+            continue
+        for name, kind, length in entries:
+            path = f"{at}/{name}" if at else name
+            if kind == "L" or rules.skips(name, path):
+                rows.append(("S", path, own, None, None))
+            elif kind == "D" and depth + 1 > rules.max_depth:
+                rows.append(("W", path, own, None, f"Maximum depth {rules.max_depth} reached: {path}"))
+            elif kind == "D":
+                rows.append(("E", path, own, None, None))
+                todo.append((path, depth + 1))
+            else:
+                rows.append(("F", path, own, length, None))
+        if len(rows) >= 10_000 and not most:
+            yield rows
+            rows = []
+    yield rows
+
+
+def walk(spark: SparkSession, root: str, rules: Rules = Rules()) -> DataFrame:
+    """kind, path, above, length, message of everything below a folder, whatever its name: D a folder, E its place in another, F a
+    file, S what the rules leave out, W a warning.
+
+    The driver lists folders until ``SPREAD`` wait; each of these is the work of a task that lists all below it.  Folders must be
+    reached by all machines under the same path or URL.
+    """
+    todo, rows = [("", 0)], []
+    for rows in _walked(root, todo, rules, rows, SPREAD):
+        pass
+    made = spark.createDataFrame(pa.Table.from_pydict({n: pa.array(c, t) for (n, t), c in zip(_KINDS.items(), zip(*rows, strict=True), strict=True)}))
+    made = made.select([F.col(n).cast(t) for n, t in (x.split(" ") for x in _ROW.split(", "))])
+    if not todo:
+        return made
+
+    def below(batches):
+        for batch in batches:
+            for at, depth in zip(batch.column("at").to_pylist(), batch.column("depth").to_pylist(), strict=True):
+                for found in _walked(root, [(at, depth)], rules, []):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS)) if found else pa.RecordBatch.from_pydict({n: pa.array([], t) for n, t in _KINDS.items()})
+
+    rest = spark.createDataFrame(todo, "at string, depth int").repartition(min(len(todo), 4096))
+    return made.unionByName(written(rest.mapInArrow(below, _ROW), "walk"))
+
+
+def listing(spark: SparkSession, folder: str, rules: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
+    """path, length of all files under a folder that the rules don't leave out; no content is fetched."""
+    return walk(spark, folder, Rules(tuple(rules), hidden)).where("kind = 'F'").select("path", "length")
+
+
+def contents(spark: SparkSession, folder: str, paths: DataFrame | None = None) -> DataFrame:
+    """path, content of the files of a listing (path), by default all, as text, read on the executors.  A file that can't be read
+    has a null content."""
+    paths = listing(spark, folder) if paths is None else paths
+
+    def run(batches):
+        store, base = _store(folder)
+
+        def text(path: str) -> str | None:
+            try:
+                with open(os.path.join(base, path), "rb") if store is None else store.open_input_stream(f"{base}/{path}") as f:
+                    return f.read().decode("utf-8", "replace")
+            except OSError:
+                return None
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["path", "content"])
+
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                rows.append((path, text(path)))
+                size += len(rows[-1][1] or "") + 100
+                if size > BATCH_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return paths.select("path").mapInArrow(run, "path string, content string")
 
 
 def kept(paths: DataFrame, rules: tuple[str, ...] = C.IGNORED, hidden: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -59,51 +177,39 @@ def tree(paths: DataFrame, extensions: tuple[str, ...] = C.SCANNED) -> tuple[Dat
 
 
 def scan(spark: SparkSession, root: str, rules: tuple[str, ...] = C.IGNORED, extensions: tuple[str, ...] = C.SCANNED, hidden: bool = False, max_depth: int = MAX_DEPTH) -> ScanResult:
-    """A folder of this machine with its empty folders, which file sources can't show.  Links are skipped; a root that is
-    missing or no folder gives an empty result with a warning."""
+    """A folder with its empty folders.  Links are skipped; a root that is missing or no folder gives an empty result with a
+    warning."""
     stats = {"directories": 0, "files": 0, "skipped": 0}
-    if not os.path.isdir(root) or os.path.basename(os.path.abspath(root)).startswith(".") and not hidden:
+    local = _store(root)[0] is None
+    if local and (not os.path.isdir(root) or os.path.basename(os.path.abspath(root)).startswith(".") and not hidden):
         why = "does not exist" if not os.path.exists(root) else "is not a directory" if not os.path.isdir(root) else "is hidden"
-        empty = graph_of(spark, [], [])
-        return ScanResult(empty, spark.createDataFrame([], "path string"), stats, [f"Root {why}: {root}"])
-    folder_rules, name_rules = {r[:-1] for r in rules if r.endswith("/")}, {r for r in rules if not r.endswith("/")}
-    nodes, edges, parse, warnings = [], [], [], []
-    todo = [("", 0)]
-    while todo:
-        at, depth = todo.pop()
-        own = at or "."
-        nodes.append({"type": "DIRECTORY", "path": own, "name": own.rsplit("/", 1)[-1]})
-        stats["directories"] += 1
-        try:
-            entries = sorted(os.scandir(os.path.join(root, at)), key=lambda e: e.name)
-        except OSError as e:
-            warnings.append(f"Cannot read {own}: {e}")
-            continue
-        for e in entries:
-            path = f"{at}/{e.name}" if at else e.name
-            if e.is_symlink() or (e.name.startswith(".") and not hidden) or e.name in folder_rules or e.name in name_rules or path in name_rules:
-                stats["skipped"] += 1
-            elif e.is_dir():
-                if depth + 1 > max_depth:
-                    warnings.append(f"Maximum depth {max_depth} reached: {path}")
-                    continue
-                edges.append({"from": f"DIRECTORY:{own}", "to": f"DIRECTORY:{path}", "type": "CONTAINS"})
-                todo.append((path, depth + 1))
-            else:
-                nodes.append({"type": "FILE", "path": path})
-                edges.append({"from": f"DIRECTORY:{own}", "to": f"FILE:{path}", "type": "CONTAINS"})
-                stats["files"] += 1
-                if os.path.splitext(e.name)[1] in extensions:
-                    parse.append((path,))
-    return ScanResult(graph_of(spark, nodes, edges), spark.createDataFrame(parse, "path string"), stats, warnings)
+        return ScanResult(graph_of(spark, [], []), spark.createDataFrame([], "path string"), stats, [f"Root {why}: {root}"])
+    rows = walk(spark, root, Rules(tuple(rules), hidden, max_depth))
+    counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    warnings = [r["message"] for r in rows.where("kind = 'W'").select("message").collect()] if counts.get("W") else []
+    path, kind, named = F.col("path"), F.when(F.col("kind") == "F", "FILE").otherwise("DIRECTORY"), C.basename(F.col("path"))
+    nodes = rows.where("kind in ('D', 'F')").select(F.concat(kind, F.lit(":"), path).alias("id"), kind.alias("type"), "path", named.alias("name"), node_metadata().alias("metadata"), F.lit(0).cast("long").alias("node_seq"))
+    ends = [F.concat(F.lit("DIRECTORY:"), "above").alias("from"), F.concat(kind, F.lit(":"), path).alias("to"), F.lit("CONTAINS").alias("type"), edge_metadata().alias("metadata"), F.lit(0).cast("long").alias("edge_seq")]
+    files = rows.where("kind = 'F'").select("path")
+    stats = {"directories": counts.get("D", 0), "files": counts.get("F", 0), "skipped": counts.get("S", 0)}
+    return ScanResult(RepoGraph(nodes, rows.where("kind in ('E', 'F')").select(*ends)), files.where(C.extension(path).isin(*extensions)), stats, warnings)
 
 
 def split_tests(paths: DataFrame, globs: tuple[str, ...] | None = None, extra: tuple[str, ...] = (), case_insensitive: bool = False) -> DataFrame:
     """path, is_test by globs: the given ones, those in the environment's TEST_PATTERNS, or the defaults, and extra ones."""
-    env = tuple(g.strip() for g in os.environ.get("TEST_PATTERNS", "").split(",") if g.strip())
+    env = patterns_of(os.environ.get("TEST_PATTERNS", ""))
     return paths.select("path", C.test_path(F.col("path"), tuple(globs or env or C.TEST_GLOBS) + tuple(extra), case_insensitive).alias("is_test"))
 
 
+def patterns_of(text: str) -> tuple[str, ...]:
+    """Globs of a JSON array, or of a list with commas."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        found = text.split(",")
+    return tuple(g.strip() for g in (found if isinstance(found, list) else [found]) if isinstance(g, str) and g.strip())
+
+
 def project_kind(paths: DataFrame) -> DataFrame:
     """One row: sources, tests, kind (empty, test-only, single-file, normal) of a listing (path)."""
     path = F.col("path")
@@ -137,4 +243,4 @@ def source_file_count(root: str) -> int:
     return n
 
 
-__all__ = ["EDGES", "NODES", "ScanResult", "contents", "kept", "listing", "project_kind", "project_scale", "scan", "source_file_count", "split_tests", "tree"]
+__all__ = ["EDGES", "NODES", "Rules", "ScanResult", "contents", "kept", "listing", "patterns_of", "project_kind", "project_scale", "scan", "source_file_count", "split_tests", "tree", "walk"]

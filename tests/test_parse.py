@@ -5,7 +5,7 @@ import textwrap
 
 import pytest
 
-from braidgraph.parse.analyze import REGISTRY, Registry, analyze, candidates
+from braidgraph.parse.analyze import REGISTRY, Registry, aliases_of, analyze, candidates
 from braidgraph.parse.extract import parse
 from braidgraph.sources import scan as S
 
@@ -179,3 +179,64 @@ def test_registry():
     for bad in (("", (".x",), parse), ("a", ("x",), parse), ("a", (), parse)):
         with pytest.raises(ValueError):
             r.register(*bad)
+
+
+def test_names_that_file_sources_hide(spark, tmp_path, monkeypatch):
+    """Folders and files that begin with an underscore are read like all others, however the tree is listed."""
+    tree = {
+        "src/a.ts": "export const a = 1",
+        "src/__tests__/a.test.ts": "import { a } from '../a'\nexport const t = a",
+        "src/_app.tsx": "import { a } from './a'\nexport default function App() { return <p>{a}</p> }",
+        "src/_x/_y/_layout.ts": "export * from '../../_app'",
+        "src/deep/b.js": "import '../a'",
+    }
+    for path, text in tree.items():
+        os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "src/deep/empty/_none").mkdir(parents=True)
+    (tmp_path / "src/link.ts").symlink_to(tmp_path / "src/a.ts")
+    graphs = []
+    for most in (256, 1):  # listed by the driver alone; handed on to tasks
+        monkeypatch.setattr(S, "SPREAD", most)
+        done = analyze(spark, str(tmp_path))
+        assert done["stats"]["filesParsed"] == len(tree) and done["stats"]["parseErrors"] == 0 and not done["warnings"]
+        assert done["stats"]["skipped"] == 1 and done["stats"]["directories"] == 8
+        edges = {(r["from"], r["to"], r["type"]) for r in done["graph"].edges.collect()}
+        graphs.append((edges, {r["id"] for r in done["graph"].nodes.collect()}))
+        for a, b in (("__tests__/a.test.ts", "a.ts"), ("_app.tsx", "a.ts"), ("deep/b.js", "a.ts")):
+            assert (f"FILE:src/{a}", f"FILE:src/{b}", "IMPORTS") in edges
+        assert ("FILE:src/_x/_y/_layout.ts", "FILE:src/_app.tsx", "RE_EXPORTS") in edges and ("DIRECTORY:src/deep/empty", "DIRECTORY:src/deep/empty/_none", "CONTAINS") in edges
+    assert graphs[0] == graphs[1]
+    assert {r["path"] for r in S.listing(spark, str(tmp_path)).collect()} == set(tree)
+    (tmp_path / "src/gone.ts").write_text("x")
+    paths = spark.createDataFrame([("src/gone.ts",), ("src/never.ts",)], "path string")
+    assert {r["path"]: r["content"] for r in S.contents(spark, str(tmp_path), paths).collect()} == {"src/gone.ts": "x", "src/never.ts": None}
+
+
+def test_configs_that_extend_others(tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("config/base.json", '{"compilerOptions": {"baseUrl": "..", "paths": {"@base/*": ["packages/*/src"]}}} // end')
+    put("config/mid.json", '{"extends": "./base"}')
+    put("tsconfig.json", '{"extends": "./config/mid.json", "compilerOptions": {"strict": true}}')
+    assert aliases_of(str(tmp_path)) == ({"base": ".", "has_base": True, "paths": {"@base/*": ["packages/*/src"]}}, [])
+    put("tsconfig.json", '{"extends": ["./config/mid.json", "shared/tsconfig"], "compilerOptions": {"baseUrl": "lib"}}')
+    put("node_modules/shared/tsconfig.json", '{"compilerOptions": {"paths": {"~/*": ["*"]}}}')
+    assert aliases_of(str(tmp_path)) == ({"base": "lib", "has_base": True, "paths": {"~/*": ["*"]}}, [])
+    put("tsconfig.json", '{"extends": "./config/only.json"}')
+    put("config/only.json", '{"extends": "../tsconfig.json", "compilerOptions": {"paths": {"#/*": ["./src/*"]}}}')
+    found, said = aliases_of(str(tmp_path))
+    assert found == {"base": "config", "has_base": False, "paths": {"#/*": ["./src/*"]}} and len(said) == 1
+    assert "config/src/x.ts" in candidates("#/x", "a.ts", found)
+    put("tsconfig.json", '{"extends": "./none"}')
+    assert aliases_of(str(tmp_path))[1]
+
+
+def test_patterns_of_the_environment(spark, monkeypatch):
+    assert S.patterns_of('["*.test.ts","__tests__/**"]') == ("*.test.ts", "__tests__/**") == S.patterns_of("*.test.ts, __tests__/**")
+    assert S.patterns_of("") == () == S.patterns_of("[]")
+    monkeypatch.setenv("TEST_PATTERNS", '["checks/**"]')
+    rows = spark.createDataFrame([("checks/a.ts",), ("a.test.ts",)], "path string")
+    assert {r["path"]: r["is_test"] for r in S.split_tests(rows).collect()} == {"checks/a.ts": True, "a.test.ts": False}
