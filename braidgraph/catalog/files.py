@@ -180,7 +180,7 @@ ORACLES = {
     "package_names": SPECS
     + r""" SELECT k, package, spec IN ('node:fs', 'path') AS builtin, CASE WHEN resolved IS NULL THEN 'EXTERNAL:' || package WHEN resolved LIKE '%node_modules%' THEN 'EXTERNAL:' || regexp_extract(resolved, 'node_modules/(@[^/]+/[^/]+|[^/]+)', 1) ELSE 'FILE:' || resolved END AS target FROM named""",
     "loc_counts": TEXTS + f" SELECT doc_id, {_FOLD} AS loc FROM t",
-    "deprecated_scan": TEXTS + r" SELECT doc_id, regexp_matches(replace(text, '*/', ' @deprecated */'), '(?is)/\*\*(?:[^*]|\*+[^*/])*@deprecated') AS deprecated FROM t WHERE doc_id % 3 <> 0",
+    "deprecated_scan": TEXTS + r" SELECT doc_id, regexp_matches(replace(text, '*/', ' @deprecated */'), '(?is)/\*\*(?:[^*]|\*+[^*/])*@deprecated') AS deprecated FROM t",
     "jsdoc_truncate": f"WITH d AS (SELECT doc_id, nullif({_WHITE}, '') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS jsDoc, CASE WHEN length(t) > 100 THEN true END AS jsDocTruncated, CASE WHEN t IS NOT NULL THEN true END AS hasJSDoc FROM d",
     "import_extract": """SELECT page_id, (generate_subscripts(h, 1) - 1)::BIGINT AS pos, unnest(h) AS target FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)""",
     "duplicate_nodes": BROKEN + " SELECT id, count(*) AS n FROM bad GROUP BY id HAVING count(*) > 1",

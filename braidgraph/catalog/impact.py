@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import STATIC, RepoGraph
 from ..operators import impact as I
 from .files import flagship_graph
-from .sql import NO_TESTS, reach, top_roots
+from .sql import NO_TESTS, reach, reach_by_levels, top_roots
 
 
 
@@ -48,7 +48,7 @@ ORACLES = {
     "impact_transitive": reach(top_roots(1)) + _ONE,
     "impact_with_tests": reach(top_roots(1), tests="") + _ONE,
     "impact_depth2": reach(top_roots(1), 2) + _ONE,
-    "impact_distributed": reach(top_roots(1), 3) + _ONE,
+    "impact_distributed": reach(top_roots(1)) + _ONE,
     "impact_via": reach(top_roots(1))
     + """ SELECT r.p AS path, r.d::INTEGER AS distance, dep.b AS via FROM reached r JOIN dep ON dep.a = r.p
     WHERE (r.d = 1 AND dep.b = r.t) OR dep.b IN (SELECT q.p FROM reached q WHERE q.t = r.t AND q.d = r.d - 1)""",
@@ -58,5 +58,5 @@ ORACLES = {
     SELECT p AS path, d::INTEGER AS distance, string_agg(b, ',' ORDER BY b) AS via FROM pairs GROUP BY p, d""",
     "impact_summary": reach(top_roots(3)) + _LEAST + f" SELECT *, {_BAND} AS blast_radius FROM (SELECT count(*) FILTER (d = 1) AS direct, count(*) FILTER (d > 1) AS indirect, count(*) AS total FROM least)",
     "impact_topk": reach(top_roots(3)) + _LEAST + " SELECT p AS path, d::INTEGER AS distance FROM least ORDER BY d, p LIMIT 20",
-    "blast_radius_all_files": reach("SELECT path AS t FROM files", 3, NO_TESTS) + f" SELECT path, total, {_BAND} AS blast_radius FROM (SELECT path, count(p) AS total FROM files LEFT JOIN reached ON t = path GROUP BY path)",
+    "blast_radius_all_files": reach_by_levels("SELECT path AS t FROM files", 10, NO_TESTS) + f" SELECT path, total, {_BAND} AS blast_radius FROM (SELECT path, count(p) AS total FROM files LEFT JOIN reached ON t = path GROUP BY path)",
 }

@@ -70,3 +70,13 @@ def top_roots(k: int) -> str:
 
 def reach(roots: str, depth: int = 10, tests: str = NO_TESTS) -> str:
     return GRAPH + REACH.format(roots=roots, depth=depth, tests=tests)
+
+
+def reach_by_levels(roots: str, depth: int = 10, tests: str = NO_TESTS) -> str:
+    """The same rows level by level, each without the pairs of all levels before it: for many roots."""
+    parts = [GRAPH + REACH.format(roots=roots, depth=0, tests=tests).split(",\nwalk AS")[0], "level0 AS (SELECT t, t AS p FROM roots)", "seen0 AS (SELECT t, p FROM level0 WHERE false)"]
+    for d in range(1, depth + 1):
+        parts.append(f"level{d} AS MATERIALIZED (SELECT DISTINCT l.t, dep.a AS p FROM level{d - 1} l JOIN dep ON dep.b = l.p ANTI JOIN seen{d - 1} s ON s.t = l.t AND s.p = dep.a)")
+        parts.append(f"seen{d} AS MATERIALIZED (SELECT t, p FROM seen{d - 1} UNION ALL SELECT t, p FROM level{d})")
+    parts.append("reached AS (" + " UNION ALL ".join(f"SELECT t, p, {d} AS d FROM level{d}" for d in range(1, depth + 1)) + ")")
+    return ",\n".join(parts)
