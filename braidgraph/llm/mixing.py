@@ -5,18 +5,19 @@
 2. *Blocks for sources.*  The mix is a whole number of blocks of ``block`` words; the sources get
    them by highest quotients (target / 1, / 3, / 5 ...), so every source has an integer quota.
 3. *Blocks for shards.*  A source is cut into shards by a hash of the doc_id, in proportion to its
-   documents, so a source with a third of all rows is many shards.  Its quota goes to them by highest
-   quotients of their sizes, at most twice the shard's blocks.
+   documents, so a source with a third of all rows is many shards.  Its quota goes to at most ``GROUPS`` groups of
+   neighbouring shards, and each group's to its shards, by highest quotients of their sizes, at most twice their blocks.
+   Each group is apportioned in a task of its own.
 4. *Seeded selection.*  In a shard the documents lie one after another in seeded order, cut into
    blocks.  A quota of q over n blocks takes all blocks q // n times and one run of q % n blocks from a
    seeded start; documents stay whole but for those at the two ends of the run.
 
-Only a row for each source and each shard (``shard_docs`` documents on average) comes to the driver.
-Texts are never shuffled; the window runs within shards over (doc_id, size).
+Only a row for each source comes to the driver.  Texts are shuffled once by ``mixed_documents`` and never by ``mixture``,
+whose window runs within shards over (doc_id, size).
 
 Cases: null text has size 0 and takes nothing.  A null source is a source of its own, last in order.
-Repeated rows are rows of their own.  A null doc_id goes with its hash.  Empty table: no row; if all
-sizes are 0, targets are 0.  Other columns are ignored.
+Repeated rows are rows of their own.  Rows with a null doc_id are dealt by a hash of their text.  Empty table: no row; if
+all sizes are 0, targets are 0.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from __future__ import annotations
 import heapq
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SEED, WORD, table, written
 
-BLOCK, SHARD_DOCS = 16, 2000
+BLOCK, SHARD_DOCS, GROUPS = 16, 512, 1000
 
 
 def targets(sizes: list[int], share: float = 1.5, cap: float = 2.0, weights: tuple = (5, 2, 1)) -> list[float]:
@@ -53,48 +55,59 @@ def sainte_lague(seats: int, votes: list[float], most: list[int] | None = None)
     once, and the next highest quotients the rest, so the work follows the number of parties.
     """
     n = len(votes)
-    most = most if most is not None else [seats] * n
-    seats, total = min(seats, sum(m for m, v in zip(most, votes, strict=True) if v > 0)), sum(votes)
+    v = np.asarray(votes, float)
+    top = np.asarray(most if most is not None else [seats] * n, np.int64)
+    seats, total = min(seats, int(top[v > 0].sum())), v.sum()
     if total <= 0 or seats <= 0:
         return [0] * n
     # seats whose quotient is over the divisor d belong to the result if they number no more than seats
-    low, high = 0.0, 2.0 * max(votes)
-    held = lambda d: [min(m, max(0, int((v / d + 1) // 2))) for v, m in zip(votes, most, strict=True)]
+    low, high = 0.0, 2.0 * float(v.max())
+    held = lambda d: np.minimum(top, np.maximum(0, (v / d + 1) // 2)).astype(np.int64)
     for _ in range(200):
         mid = (low + high) / 2
-        if mid in (low, high):
+        if mid in (low, high) or mid < 1e-9 * float(v.max()) / max(seats, 1):
             break
-        if sum(held(mid)) > seats:
+        if held(mid).sum() > seats:
             low = mid
         else:
             high = mid
     out = held(high)
-    queue = [(-v / (2 * s + 1), i) for i, (v, s, m) in enumerate(zip(votes, out, most, strict=True)) if v > 0 and s < m]
+    queue = [(-votes[i] / (2 * int(out[i]) + 1), i) for i in np.flatnonzero((v > 0) & (out < top)).tolist()]
     heapq.heapify(queue)
-    for _ in range(seats - sum(out)):
+    for _ in range(seats - int(out.sum())):
         _, i = heapq.heappop(queue)
         out[i] += 1
-        if out[i] < most[i]:
-            heapq.heappush(queue, (-votes[i] / (2 * out[i] + 1), i))
-    return out
-
-
-def plan(shards: list[tuple], block: int = BLOCK) -> list[tuple]:
-    """(source, shard, source size, target, blocks, quota, start) of (source, shard, words) rows."""
-    order = sorted({s for s, _, _ in shards}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
-    by: dict = {s: [] for s in order}
-    for s, shard, words in sorted(shards, key=lambda x: x[1]):
-        by[s].append((shard, words))
-    sizes = [sum(w for _, w in by[s]) for s in order]
-    aims = targets(sizes)
+        if out[i] < top[i]:
+            heapq.heappush(queue, (-votes[i] / (2 * int(out[i]) + 1), i))
+    return out.tolist()
+
+
+def plan(sources: list[tuple], block: int = BLOCK) -> list[tuple]:
+    """(source, size, target, quota) in order, of (source, words) rows."""
+    order = sorted(sources, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-32-be", "surrogatepass")))
+    aims = targets([w for _, w in order])
     quotas = sainte_lague(round(sum(aims) / block), aims)
-    out = []
-    for s, size, aim, quota in zip(order, sizes, aims, quotas, strict=True):
-        counts = [-(-w // block) for _, w in by[s]]
-        given = sainte_lague(quota, [float(w) for _, w in by[s]], [2 * c for c in counts])
-        for (shard, _), blocks, q in zip(by[s], counts, given, strict=True):
-            out.append((s, shard, size, aim, blocks, q))
-    return out
+    return [(s, w, aim, quota) for (s, w), aim, quota in zip(order, aims, quotas, strict=True)]
+
+
+def _apportioned(by: str):
+    """Deals the quota of a group of rows among them, in the order of ``by``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(by)
+        given = sainte_lague(int(rows["given"].iloc[0]), [float(w) for w in rows["words"]], [2 * int(b) for b in rows["blocks"]])
+        return rows.assign(quota=given)[["src", by, "words", "blocks", "quota"]]
+
+    return run
+
+
+def shard_plan(shards: DataFrame) -> DataFrame:
+    """src, shard, blocks, quota of shards (src, shard, words, blocks, given: the source's quota, per: shards in a group)."""
+    shards = shards.withColumn("grp", F.floor(F.col("shard") / F.col("per")).cast("int"))
+    groups = shards.groupBy("src", "grp").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("given").alias("given"))
+    groups = groups.groupBy("src").applyInPandas(_apportioned("grp"), "src string, grp int, words long, blocks long, quota long")
+    dealt = shards.drop("given", "per").join(groups.select("src", "grp", F.col("quota").alias("given")), ["src", "grp"])
+    return dealt.groupBy("src", "grp").applyInPandas(_apportioned("shard"), "src string, shard int, words long, blocks long, quota long").select("src", "shard", "blocks", "quota")
 
 
 def placed(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED, carry: tuple = ()) -> DataFrame:
@@ -102,26 +115,28 @@ def placed(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, se
     number of full passes, and the words [a0, a1) and [b0, b1) of the row that the run takes."""
     spark = docs.sparkSession
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
-    named = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")]
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    name = F.coalesce(doc_id, F.xxhash64("text", source))
+    src = F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+    named = [doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), src.alias("src"), name.alias("name")]
     light = written(docs.select(*named), "sizes")
-    many = {r["source"]: max(1, -(-r["n"] // shard_docs)) for r in light.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    counts = spark.createDataFrame(list(many.items()), "source string, shards int")
-    key = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int")
-    counts = F.broadcast(counts.withColumnRenamed("source", "c_source"))
+    found = light.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
+    many = {r["source"]: max(1, -(-r["n"] // shard_docs)) for r in found}
+    rows_ = [("" if s is None else f"={s}", many[s], -(-many[s] // GROUPS), w, aim, quota) for s, w, aim, quota in plan([(r["source"], r["words"]) for r in found], block)]
+    sources = spark.createDataFrame(rows_, "src string, shards int, per int, source_size long, target double, given long")
 
     def sharded(rows: DataFrame) -> DataFrame:
-        return rows.join(counts, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("shard", key).drop("c_source", "shards")
-
-    rows, light = sharded(docs.select(*named, *(F.col(c).alias(f"_{c}") for c in carry)) if carry else light), sharded(light)
-    sizes = [(r["source"], r["shard"], r["words"]) for r in light.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()]
-    schema = "p_source string, p_shard int, source_size long, target double, blocks long, quota long"
-    plans = spark.createDataFrame(plan(sizes, block), schema)
-    joined = rows.join(plans, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.join(sources, "src").withColumn("shard", F.pmod(F.xxhash64("name", F.lit(seed)), F.col("shards")).cast("int"))
+
+    words = sharded(light).groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("given").alias("given"), F.first("per").alias("per"))
+    plans = written(shard_plan(words.withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))), "plan")
+    rows = docs.select(*named, *(F.col(c).alias(f"_{c}") for c in carry)) if carry else light
+    joined = sharded(rows).join(plans, ["src", "shard"])
+    w = Window.partitionBy("src", "shard").orderBy(F.xxhash64("name", F.lit(seed + 1)), "name", "size").rowsBetween(Window.unboundedPreceding, 0)
     at = joined.withColumn("end", F.sum("size").over(w)).withColumn("begin", F.col("end") - F.col("size"))
     whole = F.greatest("blocks", F.lit(1))
     at = at.withColumn("passes", F.floor(F.col("quota") / whole)).withColumn("run", F.col("quota") % whole)
-    at = at.withColumn("from", F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), whole))
+    at = at.withColumn("from", F.pmod(F.xxhash64("src", "shard", F.lit(seed + 2)), whole))
     low, high, lap = F.col("from") * block, (F.col("from") + F.col("run")) * block, F.col("blocks") * block
 
     def cut(x: Column, base: Column) -> Column:

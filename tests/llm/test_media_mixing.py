@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from braidgraph.llm import media, mixing, queries
@@ -79,6 +82,54 @@ def test_mixture(spark, sf_dir, odd_docs, no_docs):
     assert sum(words(r["text"]) for r in out.collect()) == sum(r["taken"] for r in mixing.mixture(odd_docs).collect())
 
 
+@pytest.mark.parametrize("groups", [mixing.GROUPS, 2])
+def test_mixture_against_a_plain_version(spark, monkeypatch, groups):
+    """Every row's words: hashes come from Spark, all else is told in plain Python."""
+    monkeypatch.setattr(mixing, "GROUPS", groups)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(None, "no id " * 20, "a"), (None, "none", None), (5, None, None), (5, "five words in this text", "zz"), (5, "five words in this text", "zz")], docs.schema)
+    docs, seed, block, each = docs.unionByName(odd), mixing.SEED, mixing.BLOCK, 40
+    name = F.coalesce("doc_id", F.xxhash64("text", "source"))
+    rows = [r.asDict() for r in docs.select("doc_id", "text", "source", name.alias("name"), F.xxhash64(name, F.lit(seed)).alias("h"), F.xxhash64(name, F.lit(seed + 1)).alias("order")).collect()]
+    by = {}
+    for r in rows:
+        r["size"] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        by.setdefault(r["source"], []).append(r)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(r["size"] for r in by[s]) for s in order}
+    aims = mixing.targets([sizes[s] for s in order])
+    quotas = mixing.sainte_lague(round(sum(aims) / block), aims)
+    pairs = [("" if s is None else f"={s}", i) for s in order for i in range(-(-len(by[s]) // each))]
+    starts = {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "src string, i int").select("src", "i", F.xxhash64("src", "i", F.lit(seed + 2))).collect()}
+    want = []
+    for s, aim, quota in zip(order, aims, quotas, strict=True):
+        n = -(-len(by[s]) // each)
+        shards = [[] for _ in range(n)]
+        for r in by[s]:
+            shards[r["h"] % n].append(r)
+        used = [i for i in range(n) if shards[i]]
+        words = {i: sum(r["size"] for r in shards[i]) for i in used}
+        per = -(-n // groups)
+        grouped = {}
+        for i in used:
+            grouped.setdefault(i // per, []).append(i)
+        keys = sorted(grouped)
+        deal = lambda q, parts: mixing.sainte_lague(q, [float(sum(words[i] for i in p)) for p in parts], [2 * sum(-(-words[i] // block) for i in p) for p in parts])
+        for g, q in zip(keys, deal(quota, [grouped[k] for k in keys]), strict=True):
+            for i, given in zip(grouped[g], deal(q, [[i] for i in grouped[g]]), strict=True):
+                n_blocks = -(-words[i] // block)
+                start = starts["" if s is None else f"={s}", i] % max(1, n_blocks)
+                taken = Counter({b: given // max(1, n_blocks) for b in range(n_blocks)})
+                for k in range(given % max(1, n_blocks)):
+                    taken[(start + k) % n_blocks] += 1
+                at = 0
+                for r in sorted(shards[i], key=lambda r: (r["order"], r["name"], r["size"])):
+                    want.append((r["doc_id"], r["size"], sizes[s], round(aim, 6), sum(taken[w // block] for w in range(at, at + r["size"]))))
+                    at += r["size"]
+    got = [(r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.mixture(docs, shard_docs=each).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_pipeline(spark, odd_docs, no_docs, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
