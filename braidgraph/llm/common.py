@@ -110,6 +110,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def heavy_join(rows: DataFrame, of: DataFrame, keys: list[str], count, how: str = "inner", k: int = 1024) -> DataFrame:
+    """rows joined with ``of`` on keys that are unique there, where ``count`` tells how many rows each key has.
+
+    Keys of over 1 / k of all rows, k of them at most by arithmetic, are broadcast and never meet in a shuffle.  Keys are
+    not null in ``of``; rows with none of its keys stay with ``how`` left."""
+    total = of.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(of.where(count > max(total // k, 1000)).withColumn("__hot", F.lit(True)))
+    given = [c for c in of.columns if c not in keys]
+    marked = rows.join(hot.select(*keys, "__hot"), keys, "left")
+    often = marked.where("__hot").drop("__hot").join(hot.drop("__hot"), keys)
+    seldom = marked.where("__hot is null").drop("__hot").join(of, keys, how)
+    return often.select(*rows.columns, *given).unionByName(seldom.select(*rows.columns, *given))
+
+
 def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, component), the smallest
     node that can be reached; nodes without an edge have no row.

@@ -10,13 +10,18 @@ Every document is its set of distinct word shingles; two documents are linked wh
 2. *Collapse.*  Equal sets (a 128-bit fingerprint and the size) become one representative, the
    smallest doc_id, by an aggregation that combines on the map side.
 3. *Stars.*  A bucket emits one pair for each member: itself and the bucket's smallest member.
-   No bucket emits all its pairs.  Pairs are confirmed on full sets.
-4. *Completion.*  Where a bucket still holds several components, its members are compared in
-   blocks of at most ``block`` rows inside tasks (32-bit sets, an upper bound of the overlap), and
-   only pairs of different components that may reach the threshold come out, for the full check.
-   This covers every pair of a bucket, so no cap drops a link.
+   No bucket emits all its pairs.  Pairs are confirmed on full sets.  Where a bucket still holds several components, the
+   members outside its largest one are paired with that one's first and last member too.
+4. *Completion.*  Where a bucket holds several components even then, the members outside its largest component are compared
+   with all others in blocks of at most ``block`` rows inside tasks (32-bit sets, an upper bound of the overlap), and only
+   pairs of different components that may reach the threshold come out, for the full check.  Pairs inside a component
+   tell nothing new, and every other pair of a bucket is covered, so no cap drops a link.  Work and copies follow
+   (members outside the largest component) x (members of the bucket): in proportion to a bucket that is one group.
 5. *Components* by alternating large-star and small-star joins.
 
+Hot groups: keys that hold over one in ``HEAVY`` rows, ``HEAVY`` of them at most by arithmetic, are broadcast with what
+belongs to them instead of meeting in a shuffle; the set of a head of many pairs is dealt to several tasks.
+
 Cases: null or empty text and text without words: no shingle, component of its own.  Repeated
 doc_ids are one node (their texts are linked).  A row with a null doc_id comes back with a null
 component and ``kept`` null.  Empty table: no row.  Other columns of the input are ignored, so
@@ -30,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, connected, discard, mixed, pieces, table, text_bytes, unused, written
+from .common import SEED, connected, discard, heavy_join, mixed, pieces, table, text_bytes, unused, written
 from .shingles import shingle_sets
 
 BANDS, ROWS, BLOCK = 48, 6, 512
+#: Keys with over 1 / HEAVY of all rows are joined by broadcast; pairs of one head that meet in a task.
+HEAVY, FAN = 1024, 2000
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -165,9 +172,28 @@ def _completion(percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("doc_id").alias("u"), F.col("full").alias("a"))
+    """The pairs (u, v) that are links; the set of a u with many pairs goes to a task for each ``FAN`` of them."""
+    counts = pairs.groupBy("u").agg(F.count("*").alias("fan")).where(F.col("fan") > FAN)
+    total = pairs.count()
+    # over FAN and over 1 / HEAVY of all pairs each: at most HEAVY rows
+    many = counts.where(F.col("fan") > total // HEAVY).select("u", F.ceil(F.col("fan") / FAN).cast("int").alias("tasks"))
+    many = F.broadcast(written(many, "fans"))
+    a = sets.select(F.col("doc_id").alias("u"), F.col("full").alias("a")).join(many, "u", "left")
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    salted = pairs.join(many, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
     b = sets.select(F.col("doc_id").alias("v"), F.col("full").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirmed(percent), "u long, v long")
+    return salted.join(a, ["u", "salt"]).join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirmed(percent), "u long, v long")
+
+
+def _open_members(bucket: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, doc, comp, core (the largest component of the bucket) and its first and last member, how many members lie in and
+    outside it: of all members of buckets with several components."""
+    at = bucket.select("key", "doc").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
+    at = at.select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    parts = at.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    cores = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "first", "last")).alias("c"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    cores = written(cores.select("key", F.col("c.comp").alias("core"), F.col("c.n").alias("inside"), F.col("c.first").alias("first"), F.col("c.last").alias("last"), (F.col("all") - F.col("c.n")).alias("outside")), "cores")
+    return heavy_join(at, cores, ["key"], F.col("inside") + F.col("outside"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -175,36 +201,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sig")
     light = signed.select("doc_id", "n", "f1", "f2")
-    reps = light.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    chosen = signed.select("doc_id", "f1", "f2", "bands").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"])
+    reps = written(light.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    of = heavy_join(light, reps, ["f1", "f2", "n"], F.col("copies"), "left").drop("copies")
+    chosen = signed.select("doc_id", "f1", "f2", "bands").join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2"])
     keyed = chosen.dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    bucket = written(keyed.join(heads, "key").select("key", "doc", "n", "members", F.col("head.doc").alias("head"), F.col("head.n").alias("hn")), "bucket")
+    heads = heads.select("key", "members", F.col("head.doc").alias("head"), F.col("head.n").alias("hn"))
+    heads = written(heads, "heads")
+    bucket = written(heavy_join(keyed, heads, ["key"], F.col("members")).drop("members"), "bucket")
     close = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
-    stars = bucket.where(f"doc <> head and {close}").select(F.col("head").alias("u"), F.col("doc").alias("v")).distinct()
+    stars = written(bucket.where(f"doc <> head and {close}").select(F.col("head").alias("u"), F.col("doc").alias("v")).distinct(), "stars")
     wanted = bucket.select(F.col("doc").alias("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = written(sets.mapInArrow(_sets(k), "doc_id long, size long, full binary, short binary"), "sets")
     links = written(_verify(stars, sets, percent), "links")
     comps = connected(links)
 
-    at = bucket.select("key", "doc", "members").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-    at = at.select("key", "doc", "members", F.coalesce("component", "doc").alias("comp"))
-    open_ = at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    at = at.join(open_, "key", "left_semi").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
-    at = at.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    for_core = _open_members(bucket, comps).where("comp <> core")
+    ends = for_core.select("doc", F.explode(F.array("first", "last")).alias("end")).distinct()
+    again = written(ends.select(F.col("end").alias("u"), F.col("doc").alias("v")), "again")
+    more = written(_verify(again, sets, percent), "links")
+    if not more.isEmpty():
+        comps = connected(links.union(more))
+
+    at = _open_members(bucket, comps)
+    mine = F.col("comp") == F.col("core")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    at = at.select("key", "doc", "comp", mine.alias("mine"), blocks("inside").alias("nc"), blocks("outside").alias("nr"))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("mine"), F.col("nc")).otherwise(F.col("nr"))).cast("int")
+    # blocks outside the core are numbered from 0, those of the core from -1 down; a pair of blocks holds one outside at least
+    at = at.withColumn("side", F.when(F.col("mine"), -1 - own).otherwise(own))
+    outside, core = F.sequence(F.lit(0), F.col("nr") - 1), F.sequence(-F.col("nc"), F.lit(-1))
+    at = at.withColumn("other", F.explode(F.when(F.col("mine"), outside).otherwise(F.concat(core, outside))))
     at = at.withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other"))
     at = at.join(sets.select(F.col("doc_id").alias("doc"), "size", "short"), "doc").select("key", "bi", "bj", "doc", "comp", "side", "size", "short")
-    more = at.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_completion(percent), "u long, v long").distinct()
-    more = _verify(more, sets, percent)
+    rest = at.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_completion(percent), "u long, v long").distinct()
+    rest = _verify(written(rest, "rest"), sets, percent)
 
-    named = light.where("n > 0 and doc_id is not null").join(reps, ["f1", "f2", "n"]).select("doc_id", "rep").distinct()
+    named = of.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
     split = named.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("doc_id", "v")
     split = named.join(split, "doc_id").select(F.col("rep").alias("u"), "v")
-    final = connected(links.union(more).union(split))
-    discard(bucket)
-    whole = light.join(reps, ["f1", "f2", "n"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    final = connected(links.union(more).union(rest).union(split))
+    for done in (bucket, heads, stars, sets, links, again, more):
+        discard(done)
+    groups = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", "copies", "rep", "component")
+    whole = heavy_join(light, groups, ["f1", "f2", "n"], F.col("copies"), "left")
     group = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     whole = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), group).alias("component_id"))
     return whole.withColumn("kept", F.col("doc_id") == F.col("component_id"))
