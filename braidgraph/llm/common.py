@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder in ``spark.checkpoint.dir``; a temporary one only if it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="braid-"))
         where = _own[0]

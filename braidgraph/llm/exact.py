@@ -4,8 +4,9 @@ Texts are equal when they agree after every run of ASCII white space became one
 SHA-256 stands for them.
 
 1. *Misra-Gries.*  Every partition keeps at most ``k`` counters over its digests; the summaries
-   (at most ``k`` rows a partition) are added up and the ``k`` largest stay.  Every digest with
-   more than about ``rows / k`` copies is among them.
+   (at most ``k`` rows a partition) are added up and the ``k`` largest stay.  A digest with more than
+   about ``rows / k`` copies keeps a count of at least the surplus, so it is among them; where no other
+   digest is frequent, some with a few copies are too.  Whatever is missed takes the ordinary way.
 2. *Verified winners.*  The true count and smallest doc_id of those candidates come from one pass
    over the digests (combined on the map side, at most ``k`` keys); candidates that are not frequent
    are let go.  The winners, at most ``k`` rows whatever the input, are broadcast.
@@ -94,15 +95,15 @@ def exact_duplicates(docs: DataFrame, k: int = COUNTERS, least: int | None = Non
 
 
 def survivors(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each set of repeated rows."""
-    digest, of, sha = (unused(docs, x) for x in ("__digest", "__id", "__sha"))
+    """The rows of ``docs`` that are kept, one of each set of repeated rows.  One join moves the texts, to the rows that go or
+    are repeated; only repeated rows move again."""
+    digest, of, sha, fate = (unused(docs, x) for x in ("__digest", "__id", "__sha", "__fate"))
+    rows = verdicts.groupBy(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha)).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
+    named = rows.where("not stays or n > 1").select(of, sha, F.when(F.col("stays"), "again").otherwise("gone").alias(fate))
     own = docs.withColumn(digest, normal_digest())
-    key = [F.col(of).eqNullSafe(F.col("doc_id").cast("long")), F.col(digest) == F.col(sha)]
-    named = verdicts.select(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha), F.col("kept").alias("stays"))
-    left = own.join(named.where("not stays").select(of, sha).distinct(), key, "left_anti")
-    again = named.groupBy(of, sha).count().where("count > 1").select(of, sha)
-    once, twice = left.join(again, key, "left_anti"), left.join(again, key, "left_semi")
-    return once.unionByName(twice.dropDuplicates(["doc_id", digest])).drop(digest)
+    told = own.join(named, F.col(of).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(digest) == F.col(sha)), "left").drop(of, sha)
+    once, twice = told.where(F.col(fate).isNull()), told.where(F.col(fate) == "again")
+    return once.unionByName(twice.dropDuplicates(["doc_id", digest])).drop(digest, fate)
 
 
 def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -479,8 +479,10 @@ def media(docs: DataFrame) -> DataFrame:
 
 def described(files: DataFrame, column: str = "media") -> DataFrame:
     """Adds width, height, thumbnail (one byte a block, row by row), thumbnail_hash, error, and the payload of
-    files made by store()."""
-    names = files.columns
+    files made by store(); columns of these names are replaced."""
+    added = {"width", "height", "thumbnail", "thumbnail_hash", "payload", "error"} - {column.lower()}
+    names = [c for c in files.columns if c.lower() not in added]
+    files = files.select(*names)
 
     def run(batches):
         for batch in batches:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, WORD, table, written
+from .common import SEED, WORD, discard, table, written
 
 BLOCK, SHARD_DOCS, GROUPS = 16, 512, 1000
 
@@ -130,7 +130,10 @@ def placed(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, se
 
     words = sharded(light).groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("given").alias("given"), F.first("per").alias("per"))
     plans = written(shard_plan(words.withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))), "plan")
-    rows = docs.select(*named, *(F.col(c).alias(f"_{c}") for c in carry)) if carry else light
+    rows = light
+    if carry:
+        rows = docs.select(*named, *(F.col(c).alias(f"_{c}") for c in carry))
+        discard(light)
     joined = sharded(rows).join(plans, ["src", "shard"])
     w = Window.partitionBy("src", "shard").orderBy(F.xxhash64("name", F.lit(seed + 1)), "name", "size").rowsBetween(Window.unboundedPreceding, 0)
     at = joined.withColumn("end", F.sum("size").over(w)).withColumn("begin", F.col("end") - F.col("size"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, written
+from .common import discard, pieces, table, written
 
 COPY = 0.8
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -407,6 +407,7 @@ def aligned(pages: DataFrame) -> DataFrame:
     light = written(pages.mapInArrow(_outlined, "key binary, page_id long, host string, path string, marked boolean, hashes array<long>, plain array<int>"), "outlines")
     order = ["host", "marked", "path", "page_id", "key"]
     near = written(light.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _NEAR), "near")
+    discard(light)
     ends = near.where("whole").select("host", "marked", "path", "last", "hashes", "part", "edge").repartition(1).mapInArrow(_joined_ends, _ENDS)
     waiting = near.where("not whole and edge > 0").join(ends, ["part", "edge"]).mapInArrow(_completed, "key binary, n_shared int, drops array<int>")
     return near.where("edge = 0").select("key", "n_shared", "drops").unionByName(waiting).dropDuplicates(["key"])

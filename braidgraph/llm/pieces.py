@@ -39,7 +39,7 @@ from .common import pieces as slices
 from .common import table
 
 MARK = "▁"
-CACHED_SEGMENTS, CACHED_LENGTH, CACHED_PAIRS, WINDOW = 300_000, 64, 1_000_000, 1 << 20
+CACHED_SEGMENTS, CACHED_LENGTH, CACHED_PAIRS, WINDOW = 200_000, 64, 400_000, 1 << 20
 
 
 def load(model: str) -> dict:
@@ -258,6 +258,10 @@ class Pieces:
             done, pos, width = done + int(after[-1]), pos + ends[-1], WINDOW
         return b"".join(out), ids_at // 4
 
+    def forget(self) -> None:
+        """Give back what is cached; a worker outlives its task."""
+        self.cache, self.fits = {}, {}
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids with the begin and end ids."""
         return np.concatenate([[self.bos], np.frombuffer(self.packed([text or ""])[0], "<u4"), [self.eos]]).astype("<u4")
@@ -336,6 +340,7 @@ def tokenized(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
                 columns += [pa.array([np.frombuffer(r, "<i4") for r in rows], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
+        own.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

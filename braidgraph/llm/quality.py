@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, pieces, table, written
+from .common import SEED, discard, pieces, table, written
 
 SAMPLE, BITS, PIECE = 20_000, 12, 12
 _REPEATS, _LETTERS = re.compile(r"(.)\1{2,}", re.S), re.compile(r"a+")
@@ -221,11 +221,12 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> dict:
     some = voted.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "pattern").limit(sample)
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch)):
             found = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pattern"), pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([x[1].tobytes() for x in found], pa.binary())], names=["doc_id", "pattern", "slots", "vals"])
 
     rows = docs.join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "pattern", "text").mapInArrow(run, "doc_id long, pattern string, slots binary, vals binary").collect()
+    discard(voted)
     rows = sorted((r["doc_id"], r["pattern"], bytes(r["slots"]), bytes(r["vals"])) for r in rows)
     weights = fit_linear([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], np.array([posterior[r[1]] for r in rows]))
     return {"weights": weights, "accuracy": dict(zip(LABELLERS, accuracy, strict=False)), "share": share}
@@ -247,6 +248,7 @@ def quality(docs: DataFrame, model: dict) -> DataFrame:
         for b in (part for batch in batches for part in pieces(batch)):
             q = pa.array([score(t, shared.value) for t in b.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), q], names=["doc_id", "quality"])
+        _words.clear()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double")
     return out.withColumn("keep", F.col("quality") >= 0.5)
@@ -261,6 +263,7 @@ def clean(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             for b in pieces(batch, docs_text):
                 yield b.filter(pa.array([score(t, shared.value) >= 0.5 for t in b.column(docs_text).to_pylist()], pa.bool_()))
+        _words.clear()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -47,7 +47,7 @@ def _slots(word: str) -> tuple[int, ...]:
     if found is None:
         names = [word, *(f"{word[:n]}*" for n in (3, 4, 5, 6) if len(word) > n)]
         found = tuple(zlib.crc32(n.encode()) >> (32 - BITS) for n in names)
-        if len(_cache) > 300_000:
+        if len(_cache) > 100_000:
             _cache.clear()
         if len(word) <= 40:
             _cache[word] = found
@@ -181,6 +181,7 @@ def toxicity(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
         m = shared.value
         for b in (part for batch in batches for part in pieces(batch)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m.score(terms(t)) for t in b.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
+        _cache.clear()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))

@@ -144,5 +144,52 @@ def test_pipeline(spark, odd_docs, no_docs, sf_dir):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_stage_by_stage(spark, sf_dir):
+    """Each stage's rows against plain Python over what the stage before kept."""
+    import sentencepiece
+
+    from braidgraph.llm import pieces, quality
+    from tests.llm.test_dedup import _components
+    from tests.llm.test_quality import plain_score
+
+    plain = lambda df: [r.asDict() for r in df.collect()]
+    key = lambda rows: sorted(repr(sorted(r.items())) for r in rows)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, stages = zip(*corpus_pipeline.STAGES, strict=True)
+    assert names == ("quality classifier", "exact dedup", "MinHash near-dedup", "mixing sources", "SentencePiece")
+    weights = quality.trained(docs)["weights"]
+    want = [r for r in plain(docs) if plain_score(r["text"], weights) >= 0.5]
+    now = stages[0](spark, docs, sf_dir).cache()
+    assert key(plain(now)) == key(want) and 0 < len(want) < docs.count()
+    first = {}
+    for r in sorted(want, key=lambda r: r["doc_id"]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r)
+    want = list(first.values())
+    now = stages[1](spark, now, sf_dir).cache()
+    assert key(plain(now)) == key(want)
+    groups = _components([(r["doc_id"], r["text"]) for r in want], 5, 80)
+    want = [r for r in want if groups[r["doc_id"]][1] == r["doc_id"]]
+    now = stages[2](spark, now, sf_dir).cache()
+    assert key(plain(now)) == key(want)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixture(now).collect()}
+    text = {r["doc_id"]: r for r in want}
+    now = stages[3](spark, now, sf_dir).cache()
+    mixed, words = plain(now), lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    got = Counter()
+    for r in mixed:
+        own = text[r["doc_id"]]
+        got[r["doc_id"]] += len(words(r["text"]))
+        assert {k: v for k, v in r.items() if k not in ("text", "n_chars")} == {k: v for k, v in own.items() if k not in ("text", "n_chars")} and r["n_chars"] == len(r["text"])
+        rest = iter(words(own["text"]))
+        assert r["text"] == own["text"] or Counter(words(r["text"])) <= Counter(rest)
+    assert got == Counter({i: n for i, n in taken.items() if n})
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = []
+    for r in mixed:
+        ids = [sp.bos_id(), *sp.encode(r["text"]), sp.eos_id()]
+        want.append({"doc_id": r["doc_id"], "n_tokens": len(ids), "ids_sha256": hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), "decoded_sha256": hashlib.sha256(sp.decode(ids).encode()).hexdigest()})
+    assert key(plain(stages[4](spark, now, sf_dir))) == key(want) == key(plain(corpus_pipeline.run(spark, sf_dir)))
+
+
 def test_queries_cover_the_ten():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
