@@ -38,11 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again (cuts the lineage)."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, tag: str, batch: int = 1000) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again (cuts the lineage).  Meanwhile ``batch`` rows at most go to
+    a Python worker at once: rows here hold whole texts and sets."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braid-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -104,7 +104,7 @@ def _sets(k: int):
 
 def _confirmed(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "a", 4 << 20)):
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
