@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, codec, files, impact, layers, scope
+from . import changes, codec, files, impact, layers, parsed, scope
 from .files import flagship_graph
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (files, scope, impact, layers, codec, changes):
+for _part in (files, scope, impact, layers, codec, changes, parsed):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 

@@ -25,11 +25,12 @@ def expanded(s, d):
 
 
 def roundtrip(s, d):
-    """Edges that the format loses or adds: none but repetitions, as the names of symbols aside."""
+    """One row: imports before and after the format, and how many of them it loses or adds: none, repetitions aside."""
     graph, table = _table(s, d)
-    back = X.expanded_batches(X.import_batches(graph, table), table)
-    own = graph.linked(IMPORTS).select("from", "to").distinct()
-    return own.exceptAll(back).select("from", "to", F.lit("lost").alias("state")).unionAll(back.exceptAll(own).select("from", "to", F.lit("new").alias("state")))
+    back = X.expanded_batches(X.import_batches(graph, table), table).withColumn("back", F.lit(1))
+    own = graph.linked(IMPORTS).select("from", "to").distinct().withColumn("own", F.lit(1))
+    both = own.join(back, ["from", "to"], "full_outer")
+    return both.agg(F.count("own").alias("before"), F.count("back").alias("after"), F.count_if(F.col("back").isNull()).alias("lost"), F.count_if(F.col("own").isNull()).alias("added"))
 
 
 def restored(s, d):
@@ -53,7 +54,7 @@ _CODE = r"regexp_matches({0}, '\.(ts|js|tsx|jsx|json|mjs|cjs)$')"
 ORACLES = {
     "path_dictionary": _TABLE + " SELECT path, idx FROM dict",
     "imports_batch_expand": GRAPH + """ SELECT DISTINCT "from", "to" FROM edges WHERE type = 'IMPORTS'""",
-    "codec_roundtrip": """SELECT '' AS "from", '' AS "to", '' AS state WHERE false""",
+    "codec_roundtrip": GRAPH + """ SELECT count(*) AS before, count(*) AS after, 0::BIGINT AS lost, 0::BIGINT AS added FROM (SELECT DISTINCT "from", "to" FROM edges WHERE type = 'IMPORTS')""",
     "codec_edges": _TABLE
     + f""" SELECT CASE type WHEN 'CONTAINS' THEN CASE WHEN {_CODE.format("f")} THEN 'FILE:' ELSE 'DIRECTORY:' END WHEN 'EXPORTS' THEN 'MODULE:' ELSE CASE WHEN {_CODE.format("f")} THEN 'FILE:' ELSE 'DIRECTORY:' END END || f AS "from",
     CASE WHEN type IN ('CONTAINS', 'EXPORTS') OR {_CODE.format("t")} THEN 'FILE:' ELSE 'DIRECTORY:' END || t AS "to", type FROM ends WHERE type <> 'IMPORTS'""",

@@ -136,6 +136,7 @@ QUERIES = {
     "edge_type_counts": lambda s, d: G.edge_type_counts(flagship_graph(s, d)),
     "edge_counts": lambda s, d: G.edge_counts(flagship_graph(s, d)),
     "edge_rollup": lambda s, d: G.edge_rollup(flagship_graph(s, d)),
+    "file_scc": lambda s, d: G.file_sccs(flagship_graph(s, d)),
     "package_names": package_names,
     "loc_counts": loc_counts,
     "deprecated_scan": deprecated_scan,
@@ -177,6 +178,9 @@ ORACLES = {
     "edge_type_counts": GRAPH + " SELECT type, count(*) AS n FROM edges GROUP BY type",
     "edge_counts": GRAPH + " SELECT count(*) FILTER (type = 'IMPORTS') AS imports, count(*) FILTER (type = 'EXPORTS') AS exports, count(*) FILTER (type = 'CONTAINS') AS contains, count(*) AS edges FROM edges",
     "edge_rollup": GRAPH + " SELECT type, \"group\", count(*) AS n FROM (SELECT type, CASE WHEN substr(\"from\", 10) LIKE '%/%' THEN split_part(substr(\"from\", 10), '/', 1) ELSE '__root__' END AS \"group\" FROM edges WHERE type IN ('IMPORTS', 'RE_EXPORTS', 'DYNAMIC_IMPORTS')) GROUP BY ROLLUP (type, \"group\")",
+    "file_scc": GRAPH
+    + """, dep AS (SELECT DISTINCT src AS a, dst AS b FROM fe WHERE type <> 'DYNAMIC_IMPORTS'), reach AS (SELECT a, b FROM dep UNION SELECT r.a, dep.b FROM reach r JOIN dep ON dep.a = r.b)
+  SELECT path, least(path, coalesce(m, path)) AS scc FROM (SELECT a AS path FROM dep UNION SELECT b FROM dep) LEFT JOIN (SELECT x.a AS path, min(x.b) AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) USING (path)""",
     "package_names": SPECS
     + r""" SELECT k, package, spec IN ('node:fs', 'path') AS builtin, CASE WHEN resolved IS NULL THEN 'EXTERNAL:' || package WHEN resolved LIKE '%node_modules%' THEN 'EXTERNAL:' || regexp_extract(resolved, 'node_modules/(@[^/]+/[^/]+|[^/]+)', 1) ELSE 'FILE:' || resolved END AS target FROM named""",
     "loc_counts": TEXTS + f" SELECT doc_id, {_FOLD} AS loc FROM t",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import FILE, RepoGraph
 from ..operators import layers as L
@@ -34,6 +35,13 @@ def graph_confidence(graph: RepoGraph) -> DataFrame:
     return L.confidence(L.net_scores(graph), root_score=src["score"] if src else 0, cycles=L.cycles(L.import_matrix(graph)).count())
 
 
+def confidence_inputs(graph: RepoGraph) -> DataFrame:
+    """One row: what confidence rests on, group cycles aside: the score of src, the spread of the groups and the ambiguous pairs."""
+    nets, src = L.net_scores(graph), L.root_scores(graph.of_type(FILE).select("path")).where("folder = 'src'")
+    spread = nets.agg((F.var_pop("net_score") * F.count("*") < 20).alias("even"))
+    return spread.join(L.ambiguous_pairs(nets).select(F.col("n").alias("ambiguous"))).join(src.select(F.col("score").alias("root_score")))
+
+
 QUERIES = {
     "group_assignment": _on_graph(L.groups),
     "group_import_matrix": _on_graph(L.import_matrix),
@@ -47,6 +55,8 @@ QUERIES = {
     "layer_health": lambda s, d: L.health(_violations(s, d)),
     "mutual_imports": lambda s, d: L.mutual_imports(L.import_matrix(flagship_graph(s, d)), _layers(s, d)[1]),
     "dependency_score": _on_graph(L.dependency_scores),
+    "dependency_parts": lambda s, d: L.dependency_scores(flagship_graph(s, d), with_cycles=False).select("group", "imported_by", "imports_from", "type_only", "dynamic"),
+    "confidence_inputs": lambda s, d: confidence_inputs(flagship_graph(s, d)),
     "group_scc": lambda s, d: L.group_sccs(L.import_matrix(flagship_graph(s, d))),
     "group_cycles": lambda s, d: L.cycles(L.import_matrix(flagship_graph(s, d))),
 }
@@ -65,7 +75,7 @@ ORACLES = {
     "group_net_scores": MATRIX + ' SELECT g AS "group", files, imported_by, imports_from, net_score FROM net',
     "layer_assignment": MATRIX + _RULES.format(more="") + f' SELECT g AS "group", files, imported_by, imports_from, net_score, layer, {_ROLE} AS role FROM lay JOIN roles USING (layer)',
     "ambiguous_pairs": MATRIX + " SELECT count(*) FILTER (gap < 2) AS n FROM lagged",
-    "layer_confidence": MATRIX + " SELECT greatest(0, least(100, 30 + 40 - 5 + CASE WHEN (SELECT var_pop(net_score) * count(*) FROM net) < 20 THEN 30 ELSE 0 END - 2 * (SELECT count(*) FILTER (gap < 2) FROM lagged)))::INTEGER AS confidence",
+    "confidence_inputs": MATRIX + " SELECT (SELECT var_pop(net_score) * count(*) FROM net) < 20 AS even, (SELECT count(*) FILTER (gap < 2) FROM lagged) AS ambiguous, 15::INTEGER AS root_score",
     "layer_roles": MATRIX
     + _RULES.format(more=", (11, '^med', 'Medium Layer', 3), (12, '^(medium)$', 'Exact Medium Layer', 3)")
     + f" SELECT layer, {_ROLE} AS role, CASE WHEN layer > 4 THEN pattern END AS pattern, CASE WHEN layer > 4 THEN final END::INTEGER AS priority, CASE WHEN layer > 4 THEN CASE WHEN pattern IS NULL THEN 0 WHEN pattern LIKE '^%$' THEN 100 WHEN many = 1 THEN 80 ELSE 50 END END::INTEGER AS naming_confidence FROM roles",
@@ -76,9 +86,9 @@ ORACLES = {
     "violation_file_pairs": MATRIX + _BROKEN + " SELECT DISTINCT fg AS from_group, tg AS to_group, src AS from_path, dst AS to_path FROM broken",
     "layer_health": MATRIX + _BROKEN + " SELECT greatest(0, 100 - coalesce(sum(CASE WHEN gap >= 3 THEN 15 WHEN gap = 2 THEN 10 ELSE 5 END), 0))::INTEGER AS health FROM v",
     "mutual_imports": MATRIX + " SELECT a.fg AS group_a, a.tg AS group_b, x.layer FROM matrix a JOIN matrix b ON a.fg = b.tg AND a.tg = b.fg JOIN lay x ON x.g = a.fg JOIN lay y ON y.g = a.tg AND x.layer = y.layer WHERE a.fg < a.tg",
-    "dependency_score": MATRIX
+    "dependency_parts": MATRIX
     + """, extra AS (SELECT fg AS g, count(*) FILTER (type = 'IMPORTS' AND kind = 'type-only') AS t, count(*) FILTER (type = 'DYNAMIC_IMPORTS') AS d FROM between SEMI JOIN matrix USING (fg, tg) WHERE type <> 'RE_EXPORTS' GROUP BY fg)
-    SELECT g AS "group", imported_by, imports_from - coalesce(t, 0) AS imports_from, coalesce(t, 0) AS type_only, coalesce(d, 0) AS dynamic, 0::BIGINT AS cycle_penalty, imported_by - (imports_from - coalesce(t, 0)) - coalesce(d, 0) AS net_score FROM net LEFT JOIN extra USING (g)""",
+    SELECT g AS "group", imported_by, imports_from - coalesce(t, 0) AS imports_from, coalesce(t, 0) AS type_only, coalesce(d, 0) AS dynamic FROM net LEFT JOIN extra USING (g)""",
     "group_scc": MATRIX
     + """, closure AS (SELECT fg AS a, tg AS b FROM matrix UNION SELECT c.a, m.tg FROM closure c JOIN matrix m ON m.fg = c.b)
     SELECT g AS "group", least(g, coalesce(m, g)) AS scc FROM (SELECT fg AS g FROM matrix UNION SELECT tg FROM matrix) LEFT JOIN (SELECT x.a AS g, min(x.b) AS m FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a GROUP BY x.a) USING (g)""",

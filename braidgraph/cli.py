@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import errno
 import os
+import re
 import sys
 import time
 
 from . import render
-from .model import QueryError
+from .functions.columns import SOURCES
+from .model import TARGET_NOT_FOUND, QueryError
 
 FOLDER = ".braidgraph"
 COMMANDS = ("analyze", "update", "scope", "impact", "layers", "brief", "migrate")
@@ -54,8 +57,25 @@ def similar_command(given: str, known: tuple[str, ...] = COMMANDS) -> str | None
     return None
 
 
+def similar_flag(given: str, known: list[str]) -> str | None:
+    """A flag that begins with the letters given (3 or more)."""
+    return next((f for f in known if len(given) >= 3 and f.lower().startswith(given.lower())), None)
+
+
+def path_hint(root: str, target: str) -> str | None:
+    """How targets of a monorepo are written, if this one isn't."""
+    if os.path.isdir(os.path.join(root, "packages")) and not re.match(r"packages/[a-z-]+/src/.+\.(ts|tsx|js|jsx)$", target):
+        return "In a monorepo a target is the whole path: packages/<package>/src/<file>.ts"
+    return None
+
+
 class _Parser(argparse.ArgumentParser):
     def error(self, message: str):
+        if "unrecognized arguments" in message:
+            flag = next((w for w in message.split(": ", 1)[1].split() if w.startswith("-")), "")
+            known = sorted({f for a in (*self._actions, *(x for s in self._actions if isinstance(s, argparse._SubParsersAction) for p in s.choices.values() for x in p._actions)) for f in a.option_strings if f.startswith("--")})
+            hint = similar_flag(flag.split("=")[0], known)
+            raise CliError("E_CLI_UNKNOWN_FLAG", f"Unknown flag: {flag or message}", f"Did you mean '{hint}'?" if hint else None)
         words = [w for w in sys.argv[1:] if not w.startswith("-")]
         if "invalid choice" in message and words:
             hint = similar_command(words[0])
@@ -96,8 +116,21 @@ def _session():
     return SparkSession.builder.appName("braidgraph").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def real_path(path: str) -> str:
+    """A path without links; its error says whether it is missing, closed or a circle of links."""
+    try:
+        return os.path.realpath(path, strict=True)
+    except FileNotFoundError as e:
+        raise CliError("E_INVALID_PATH", f"Not a directory: {path} does not exist") from e
+    except PermissionError as e:
+        raise CliError("E_PERMISSION_DENIED", f"Permission denied: {path}") from e
+    except OSError as e:
+        circle = e.errno == errno.ELOOP
+        raise CliError("E_INVALID_PATH", f"Links form a circle at {path}" if circle else f"Cannot resolve {path}: {e}", "Use --root with the folder itself" if circle else None) from e
+
+
 def _root(given: str | None) -> str:
-    root = os.path.realpath(given) if given else find_root(os.getcwd())
+    root = real_path(given) if given else find_root(os.getcwd())
     if root is None:
         raise CliError("E_SOURCE_ROOT_NOT_FOUND", "No project root found above the current folder", "Use --root")
     if not os.path.isdir(root):
@@ -121,6 +154,11 @@ def _analyze(spark, root: str, args) -> dict:
     if kind == "empty":
         return {"success": True, "kind": "empty", "message": "No source files found", "suggestions": ["Add source files"]}
     done = analyze(spark, root)
+    extra = {}
+    if kind == "single-file":
+        kind, extra = single_file(done["graph"])
+    elif kind == "test-only":
+        done["warnings"].append("Only test files found; they are treated as a normal project")
     commit = ""
     try:
         commit = gitlog.head(root)
@@ -132,7 +170,18 @@ def _analyze(spark, root: str, args) -> dict:
     if getattr(args, "export", None):
         baseline.save_json(graph, args.export)
     s = done["stats"]
-    return {"success": True, "kind": kind, "stats": {"filesScanned": s["files"], "modulesExtracted": s["modules"], "edgesCreated": {k: s[k] for k in ("imports", "exports", "contains")}}, "baseline": {"path": _store(root), "version": version, "commitHash": commit}, "warnings": done["warnings"], "nextSuggested": ["braidgraph layers"]}
+    return {"success": True, "kind": kind, "stats": {"filesScanned": s["files"], "modulesExtracted": s["modules"], "edgesCreated": {k: s[k] for k in ("imports", "exports", "contains")}}, "baseline": {"path": _store(root), "version": version, "commitHash": commit}, "warnings": done["warnings"], "nextSuggested": [] if kind == "single-file" else ["braidgraph layers"]} | extra
+
+
+def single_file(graph) -> tuple[str, dict]:
+    """Kind of a project with one source file, and what is said of it: its imports make it a normal one if they lead to files."""
+    edges = [tuple(r) for r in graph.linked("IMPORTS", "RE_EXPORTS", "DYNAMIC_IMPORTS").select("from", "to").distinct().collect()]
+    inner = [(a, b) for a, b in edges if b.startswith("FILE:") and a != b]
+    if inner:
+        return "normal", {"reclassified": True}
+    file = next((r["path"] for r in graph.of_type("FILE").select("path").collect() if os.path.splitext(r["path"])[1] in SOURCES), None)
+    deps = sorted({b.removeprefix("EXTERNAL:") for _, b in edges if b.startswith("EXTERNAL:")})
+    return "single-file", {"reclassified": False, "file": file, "externalDeps": deps, "message": f"One source file, {file}: it has no layers"}
 
 
 def _update(spark, root: str) -> dict:
@@ -146,7 +195,7 @@ def _update(spark, root: str) -> dict:
     by = {k: sorted(p for p, t in rows if t == k) for k in ("ADD", "DELETE", "MODIFY")}
     out = {"success": True, "changes": {"added": by["ADD"], "removed": by["DELETE"], "modified": by["MODIFY"]}, "delta": {"newNodes": 0, "removedNodes": 0}, "warnings": []}
     if rows:
-        fresh = analyze(spark, root)["graph"]
+        fresh = analyze(spark, root, only=to_parse(graph, spark.createDataFrame(rows, "path string, type string")))["graph"]
         new = applied(graph, fresh, spark.createDataFrame(rows, "path string, type string"))
         baseline.save(new.with_(meta=graph.meta | {"commitHash": gitlog.head(root), "timestamp": int(time.time() * 1000)}), _store(root))
         counts = {r["change"]: r["n"] for r in delta(graph, baseline.load(spark, _store(root))).groupBy("change").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
@@ -154,6 +203,20 @@ def _update(spark, root: str) -> dict:
     return out
 
 
+def to_parse(graph, changes):
+    """Paths of the files that changes (path, type) make worth parsing: those added or modified, those that import them, and those
+    with relative imports that led nowhere, as an added file may be what they mean."""
+    from pyspark.sql import functions as F
+
+    from .functions import columns as C
+
+    fresh = changes.where("type in ('ADD', 'MODIFY')").select("path")
+    edges = graph.linked("IMPORTS", "RE_EXPORTS", "DYNAMIC_IMPORTS").select(C.file_path(F.col("from")).alias("path"), F.col("to"))
+    lost = edges.where(F.col("to").isin("EXTERNAL:.", "EXTERNAL:..")).select("path")
+    importers = edges.withColumn("target", C.file_path(F.col("to"))).join(fresh.withColumnRenamed("path", "target"), "target", "left_semi").select("path")
+    return fresh.unionByName(importers).unionByName(lost).distinct()
+
+
 def _graph(spark, root: str):
     from .sources import baseline
 
@@ -211,6 +274,8 @@ def run(argv: list[str], spark=None) -> tuple[int, str, list[str]]:
         quiet = args.silent
         return 0, "" if quiet else render.as_json(out) if wants_json else text, [] if quiet else list(out.get("warnings", []))
     except (QueryError, CliError) as e:
+        if e.code == TARGET_NOT_FOUND and (hint := path_hint(root, args.target)):
+            e.suggestion = hint
         failed = e.to_dict() | {"durationMs": ms()}
         return 1, render.as_json(failed) if wants_json else "", [] if wants_json else [render.error_text(failed, ms())]
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..model import CONTAINS, DIRECTORY, EXPORTS, EXTERNAL, FILE, IMPORTS, MODULE, RepoGraph
+from ..model import CONTAINS, DIRECTORY, EXPORTS, EXTERNAL, FILE, IMPORTS, MODULE, STATIC, RepoGraph
+from ..plans.fixpoint import strong_components
 
 
 def node(graph: RepoGraph, node_id: str) -> DataFrame:
@@ -95,3 +96,10 @@ def edge_rollup(graph: RepoGraph, root: str = "src") -> DataFrame:
 
 def folders_and_files(graph: RepoGraph) -> DataFrame:
     return graph.of_type(DIRECTORY, FILE)
+
+
+def file_sccs(graph: RepoGraph) -> DataFrame:
+    """path, scc: files of static edges between files that import each other in a circle; the smallest path names each."""
+    edges = graph.linked(*STATIC).where(F.col("from").startswith("FILE:") & F.col("to").startswith("FILE:"))
+    found = strong_components(edges.select(C.file_path(F.col("from")).alias("from"), C.file_path(F.col("to")).alias("to")))
+    return found.select(F.col("node").alias("path"), "scc")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..model import FILE, STATIC, TARGET_NOT_FOUND, QueryError, RepoGraph
-from ..plans.fixpoint import LOCAL_EDGES, reach
+from ..plans.fixpoint import LOCAL_EDGES, reach, reach_counts
 
 #: The defaults of the query.
 MAX_DEPTH, MAX_FILES = 10, 20
@@ -57,7 +57,7 @@ def nearest(found: DataFrame, k: int = MAX_FILES) -> DataFrame:
 def blast_radii(graph: RepoGraph, max_depth: int = MAX_DEPTH, include_tests: bool = False) -> DataFrame:
     """path, total, blast_radius for every file of the graph."""
     files = graph.of_type(FILE).select(F.col("id").alias("target"), "path")
-    counts = dependents(graph, files.select("target"), max_depth, include_tests).groupBy("target").agg(F.count("*").alias("n"))
+    counts = reach_counts(dependency_edges(graph, include_tests), files.select("target"), max(1, max_depth))
     total = F.coalesce("n", F.lit(0)).cast("long")
     return files.join(counts, "target", "left").select("path", total.alias("total"), C.blast_radius(total).alias("blast_radius"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..model import EXTERNAL, FILE, MODULE, OUTGOING, STATIC, TARGET_NOT_FOUND, QueryError, RepoGraph
+from ..model import EDGES, EXTERNAL, FILE, MODULE, NODES, OUTGOING, STATIC, TARGET_NOT_FOUND, QueryError, RepoGraph
 
 
 def exports(graph: RepoGraph) -> DataFrame:
@@ -53,6 +55,10 @@ def imported_by_counts(graph: RepoGraph) -> DataFrame:
     return graph.of_type(FILE).join(into, "id", "left").select("path", F.coalesce("n", F.lit(0)).cast("long").alias("imported_by"))
 
 
+# Rewritings of a path that name its test, in order.
+TEST_NAMES = [(r"\.ts$", ".test.ts"), (r"\.tsx$", ".test.tsx"), (r"^src/", "src/__tests__/"), (r"^src/", "tests/"), (r"\.ts$", ".spec.ts")]
+
+
 def test_files(graph: RepoGraph, compat: bool = False) -> DataFrame:
     """path, test_file: the test of each file that has one.
 
@@ -60,9 +66,8 @@ def test_files(graph: RepoGraph, compat: bool = False) -> DataFrame:
     changes nothing names the file itself and is ignored, unless ``compat``.
     """
     path = F.col("path")
-    tries = [(r"\.ts$", ".test.ts"), (r"\.tsx$", ".test.tsx"), (r"^src/", "src/__tests__/"), (r"^src/", "tests/"), (r"\.ts$", ".spec.ts")]
     files = graph.of_type(FILE).select("path")
-    probes = files.select("path", F.posexplode(F.array(*[F.regexp_replace(path, a, b) for a, b in tries])).alias("pos", "probe"))
+    probes = files.select("path", F.posexplode(F.array(*[F.regexp_replace(path, a, b) for a, b in TEST_NAMES])).alias("pos", "probe"))
     if not compat:
         probes = probes.where("probe <> path")
     hits = probes.join(files.select(path.alias("probe")), "probe", "left_semi").groupBy("path").agg(F.min_by("probe", "pos").alias("probed"))
@@ -96,10 +101,23 @@ def hotspots(graph: RepoGraph) -> DataFrame:
     return file_metrics(graph).select("path", (F.col("complexity") * F.col("change_frequency")).alias("hotspot")).where("hotspot > 0")
 
 
+#: Ids up to which nodes are fetched by a pushed-down list of them.
+LISTED = 2000
+
+
 def _only(graph: RepoGraph, file_id: str, path: str) -> RepoGraph:
-    """What queries about one file read: pushed-down filters on both tables."""
-    near = (F.col("from") == file_id) | (F.col("to") == file_id)
-    return graph.with_(edges=graph.edges.where(near), nodes=graph.nodes.where((F.col("path") == path) | F.col("type").isin(FILE, EXTERNAL)))
+    """What queries about one file read, fetched once: its edges, by filters that are pushed down, and the nodes at their ends.  As
+    many rows as the answer lists."""
+    spark = graph.spark
+    edges = graph.edges.where((F.col("from") == file_id) | (F.col("to") == file_id)).collect()
+    ids = {file_id, *(f"{FILE}:{re.sub(a, b, path)}" for a, b in TEST_NAMES), *(e["from"] for e in edges), *(e["to"] for e in edges)}
+    own, node_id = (F.col("path") == path) & F.col("type").isin(FILE, MODULE, EXTERNAL), F.col("id")
+    if len(ids) <= LISTED:
+        nodes = graph.nodes.where(own | node_id.isin(sorted(ids))).collect()
+    else:
+        wanted = spark.createDataFrame([(i,) for i in sorted(ids)], "id string")
+        nodes = graph.nodes.join(wanted, "id", "left_semi").select(*NODES.fieldNames()).unionByName(graph.nodes.where(own)).distinct().collect()
+    return graph.with_(nodes=spark.createDataFrame(nodes, NODES).coalesce(1), edges=spark.createDataFrame(edges, EDGES).coalesce(1))
 
 
 def resolve(graph: RepoGraph, target: str) -> dict:

@@ -53,7 +53,7 @@ class Registry:
 
 REGISTRY = Registry()
 #: Files that a parsing task reads.
-FILES_A_TASK = 500
+FILES_A_TASK = 100
 REGISTRY.register("typescript", C.PARSED, parse)
 
 _TRIES = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json")
@@ -202,29 +202,33 @@ def parsed_graph(parsed: DataFrame, paths: DataFrame) -> RepoGraph:
     return RepoGraph(modules.unionByName(packages), edges.unionByName(exports))
 
 
-def analyze(spark: SparkSession, root: str, registry: Registry = REGISTRY, on_progress: Callable[[dict], None] | None = None, **scan_options) -> dict:
-    """The graph of a source folder with counts and warnings: {"graph", "stats", "warnings"}."""
+def analyze(spark: SparkSession, root: str, registry: Registry = REGISTRY, on_progress: Callable[[dict], None] | None = None, only: DataFrame | None = None, **scan_options) -> dict:
+    """The graph of a source folder with counts and warnings: {"graph", "stats", "warnings"}.
+
+    only: a listing (path) of the files to read and parse; the others are nodes without contents."""
     tell = on_progress or (lambda event: None)
     began = time.time()
     tell({"phase": "scan", "current": 0, "total": 0})
     found = S.scan(spark, root, extensions=registry.extensions(), **scan_options)
     listed = found.graph.of_type("FILE").select("path")
     scanned = time.time()
-    n = found.files_to_parse.count()
+    todo = found.files_to_parse if only is None else found.files_to_parse.join(only.select("path").distinct(), "path", "left_semi")
+    n = found.parseable if only is None and found.parseable is not None else todo.count()
     tell({"phase": "parse", "current": 0, "total": n})
     aliases, warnings = aliases_of(root)
     if n:
-        spread = found.files_to_parse.repartition(max(1, min(-(-n // FILES_A_TASK), 100_000)), "path")
+        spread = todo.repartition(max(1, min(-(-n // FILES_A_TASK), 100_000)), "path")
         parsed = written(parsed_files(S.contents(spark, root, spread), aliases, registry), "parsed")
         tell({"phase": "merge", "current": n, "total": n})
         graph = G.merge_parsed(found.graph, parsed_graph(parsed, listed))
         graph = RepoGraph(written(graph.nodes, "nodes"), written(graph.edges, "edges"), {"timestamp": int(time.time() * 1000)})
-        failed = [w for r in parsed.where(F.size("warnings") > 0).select("warnings").collect() for w in r[0]]
-        if (came := parsed.count()) != n:
+        came, said = parsed.agg(F.count("*"), F.flatten(F.collect_list(F.when(F.size("warnings") > 0, F.col("warnings"))))).first()
+        failed = list(said)
+        if came != n:
             failed.append(f"{n - came} of {n} files did not come back from parsing")
     else:
         graph, failed = found.graph, []
     counts = G.edge_counts(graph).first().asDict()
-    stats = {**found.stats, "filesParsed": n - len(failed), "parseErrors": len(failed), "modules": graph.of_type(MODULE).count(), **counts, "scanTimeMs": int(1000 * (scanned - began)), "totalTimeMs": int(1000 * (time.time() - began))}
+    stats = {**found.stats, "filesParsed": n - len(failed), "parseErrors": len(failed), "modules": counts["exports"] if n else graph.of_type(MODULE).count(), **counts, "scanTimeMs": int(1000 * (scanned - began)), "totalTimeMs": int(1000 * (time.time() - began))}
     tell({"phase": "complete", "current": n, "total": n})
     return {"graph": graph, "stats": stats, "warnings": [*found.warnings, *warnings, *failed]}

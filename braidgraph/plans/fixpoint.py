@@ -7,6 +7,8 @@ walked in the driver: a level costs a job, and on small data jobs are all the co
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def reach(edges: DataFrame, targets: DataFrame, depth: int, local_edges: int = L
     levels: list[DataFrame] = []
     for distance in range(1, depth + 1):
         new = frontier.join(edges, "near").select("target", F.col("from").alias("id"), "near")
-        for seen in levels:
-            new = new.join(seen.select("target", "id"), ["target", "id"], "left_anti")
+        if levels:
+            new = new.join(_all(levels).select("target", "id"), ["target", "id"], "left_anti")
         new = new.groupBy("target", "id").agg(F.sort_array(F.collect_set("near")).alias("via"))
         level = written(new.select("target", "id", F.lit(distance).alias("distance"), "via"), f"level{distance}")
         if level.isEmpty():
@@ -67,10 +69,39 @@ def reach(edges: DataFrame, targets: DataFrame, depth: int, local_edges: int = L
         frontier = level.select("target", F.col("id").alias("near"))
     if not levels:
         return spark.createDataFrame([], SCHEMA)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return _all(levels)
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+def reach_counts(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """target, n: from how many nodes each target can be reached by at most ``depth`` edges, as by reach(), without saying which.
+
+    Nodes are numbered first, so a level holds two numbers for each pair; every level is one join with the edges, one anti join
+    with all pairs so far, and a written table.
+    """
+    edges = edges.select("from", "to").where(F.col("from").isNotNull() & F.col("to").isNotNull()).distinct()
+    ends = edges.select(F.col("from").alias("id")).unionByName(edges.select(F.col("to").alias("id")))
+    names = written(ends.unionByName(targets.select(F.col("target").alias("id"))).distinct().withColumn("k", F.monotonically_increasing_id()), "names")
+    number = lambda df, old, new: df.join(names.withColumnRenamed("id", old).withColumnRenamed("k", new), old).drop(old)
+    edges = written(number(number(edges, "from", "a"), "to", "near"), "edges")
+    frontier = number(targets.select("target").distinct(), "target", "t").withColumn("near", F.col("t"))
+    levels: list[DataFrame] = []
+    for distance in range(1, depth + 1):
+        new = frontier.join(edges, "near").select("t", F.col("a").alias("near")).distinct()
+        if levels:
+            new = new.join(_all(levels), ["t", "near"], "left_anti")
+        level = written(new, f"count{distance}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        frontier = level
+    if not levels:
+        return edges.sparkSession.createDataFrame([], "target string, n long")
+    counts = _all(levels).groupBy(F.col("t").alias("k")).agg(F.count("*").alias("n"))
+    return counts.join(names, "k").select(F.col("id").alias("target"), "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -91,3 +122,53 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         pairs = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "pairs")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, scc: nodes of edges (from, to) that reach each other; the smallest id names each.
+
+    Rounds over written tables until no edge is left: nodes without an edge in or out are components of their own and go; the
+    largest id spreads forward along edges until nothing changes; from the nodes that kept their own id, what has the same id is
+    walked backward, and that is a component.  All components whose largest node leads one colour are found in one round.
+    """
+    edges = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a is not null and b is not null")
+    nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "nodes")
+    left = written(edges.where("a <> b").distinct(), "left")
+    found: list[DataFrame] = []
+    while not left.isEmpty():
+        while True:  # trim
+            both = left.select(F.col("a").alias("node")).distinct().intersect(left.select("b").distinct())
+            kept = left.join(both.withColumnRenamed("node", "a"), "a", "left_semi").join(both.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+            kept = written(kept, "trimmed")
+            done, left = kept.count() == left.count(), kept
+            if done:
+                break
+        if left.isEmpty():
+            break
+        colour = written(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("c", F.col("node")), "colour")
+        while True:  # forward
+            sent = left.join(colour.select(F.col("node").alias("a"), F.col("c").alias("s")), "a").groupBy(F.col("b").alias("node")).agg(F.max("s").alias("s"))
+            new = written(colour.join(sent, "node", "left").select("node", F.greatest("c", F.coalesce("s", "c")).alias("c"), (F.col("s") > F.col("c")).alias("moved")), "colour")
+            colour, moved = new.select("node", "c"), not new.where("moved").isEmpty()
+            if not moved:
+                break
+        inner = left.join(colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b")
+        inner = written(inner, "inner")
+        reached = [written(colour.where("node = c").select("node", "c"), "reached")]
+        while True:  # backward
+            new = inner.join(reached[-1].select(F.col("node").alias("b"), "c"), "b").select(F.col("a").alias("node"), "c").distinct()
+            new = written(new.join(_all(reached), ["node", "c"], "left_anti"), "reached")
+            if new.isEmpty():
+                break
+            reached.append(new)
+        ready = written(_all(reached), "found")
+        found.append(ready)
+        gone = ready.select("node")
+        left = left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+        left = written(left, "left")
+    if not found:
+        return nodes.select("node", F.col("node").alias("scc"))
+    groups = _all(found)
+    names = groups.groupBy("c").agg(F.min("node").alias("scc"))
+    named = groups.join(names, "c").select("node", "scc")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))

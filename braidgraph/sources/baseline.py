@@ -265,6 +265,60 @@ def load_json(spark: SparkSession, path: str, rebuild=None, strict: bool = False
     return {"success": True, "graph": graph, "action": todo, "migrated": migrated}
 
 
+def json_meta(path: str) -> dict:
+    """commitHash, timestamp, schemaVersion of one 1.0 or 1.1 document without its graph: only the top level is read on."""
+    found: dict = {}
+    for key, value in _top_level(path):
+        if key in ("commitHash", "timestamp", "schemaVersion"):
+            found[key] = value
+    return found
+
+
+def _top_level(path: str, chunk: int = 1 << 16):
+    """(key, value) of the short values at the top of a JSON object; long ones are skipped by their brackets."""
+    key, depth, text, start, quoted, escaped = None, 0, [], False, False, False
+    with open(path, encoding="utf-8") as f:
+        while part := f.read(chunk):
+            for c in part:
+                keep = depth == 1 or (depth == 2 and key == "schemaVersion")
+                if quoted:
+                    if keep:
+                        text.append(c)
+                    escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
+                    continue
+                if c in "}]":
+                    depth -= 1
+                    if depth == 0 or (depth == 1 and key == "schemaVersion"):
+                        text += [c] * (depth == 1)
+                        if depth == 0:
+                            yield from _pair(key, text)
+                            return
+                    elif keep:
+                        text.append(c)
+                    continue
+                if c in "{[":
+                    depth += 1
+                    if depth == 2 and key == "schemaVersion":
+                        text.append(c)
+                    continue
+                if c == '"':
+                    quoted = True
+                if depth == 1 and c == ":" and key is None:
+                    key, text = json.loads("".join(text)), []
+                elif depth == 1 and c == ",":
+                    yield from _pair(key, text)
+                    key, text = None, []
+                elif keep:
+                    text.append(c)
+
+
+def _pair(key: str | None, text: list[str]):
+    try:
+        yield key, json.loads("".join(text))
+    except ValueError:
+        return
+
+
 def migrate_file(spark: SparkSession, source: str, target: str, most: int = 100) -> dict:
     """A 1.0 document as 1.1, or a 1.1 document copied, with sizes."""
     with open(source, encoding="utf-8") as f:

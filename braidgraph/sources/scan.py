@@ -25,6 +25,7 @@ class ScanResult:
     files_to_parse: DataFrame
     stats: dict
     warnings: list[str] = field(default_factory=list)
+    parseable: int | None = None
 
 
 #: Folders that the driver lists before it hands the rest of the tree to tasks, and bytes of text in a batch.
@@ -185,14 +186,15 @@ def scan(spark: SparkSession, root: str, rules: tuple[str, ...] = C.IGNORED, ext
         why = "does not exist" if not os.path.exists(root) else "is not a directory" if not os.path.isdir(root) else "is hidden"
         return ScanResult(graph_of(spark, [], []), spark.createDataFrame([], "path string"), stats, [f"Root {why}: {root}"])
     rows = walk(spark, root, Rules(tuple(rules), hidden, max_depth))
-    counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    warnings = [r["message"] for r in rows.where("kind = 'W'").select("message").collect()] if counts.get("W") else []
+    wanted = (F.col("kind") == "F") & C.extension(F.col("path")).isin(*extensions)
+    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    counts = rows.agg(count("D"), count("F"), count("S"), F.count_if(wanted).alias("parse"), F.collect_list(F.when(F.col("kind") == "W", F.col("message"))).alias("W")).first()
     path, kind, named = F.col("path"), F.when(F.col("kind") == "F", "FILE").otherwise("DIRECTORY"), C.basename(F.col("path"))
     nodes = rows.where("kind in ('D', 'F')").select(F.concat(kind, F.lit(":"), path).alias("id"), kind.alias("type"), "path", named.alias("name"), node_metadata().alias("metadata"), F.lit(0).cast("long").alias("node_seq"))
     ends = [F.concat(F.lit("DIRECTORY:"), "above").alias("from"), F.concat(kind, F.lit(":"), path).alias("to"), F.lit("CONTAINS").alias("type"), edge_metadata().alias("metadata"), F.lit(0).cast("long").alias("edge_seq")]
     files = rows.where("kind = 'F'").select("path")
-    stats = {"directories": counts.get("D", 0), "files": counts.get("F", 0), "skipped": counts.get("S", 0)}
-    return ScanResult(RepoGraph(nodes, rows.where("kind in ('E', 'F')").select(*ends)), files.where(C.extension(path).isin(*extensions)), stats, warnings)
+    stats = {"directories": counts["D"], "files": counts["F"], "skipped": counts["S"]}
+    return ScanResult(RepoGraph(nodes, rows.where("kind in ('E', 'F')").select(*ends)), files.where(C.extension(path).isin(*extensions)), stats, list(counts["W"]), counts["parse"])
 
 
 def split_tests(paths: DataFrame, globs: tuple[str, ...] | None = None, extra: tuple[str, ...] = (), case_insensitive: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import re
 from collections import deque
 from collections.abc import Callable
@@ -136,7 +137,7 @@ class Migrations:
             before = str(start)
             data = s.run(dict(data))
             data["schemaVersion"] = {"major": s.target.major, "minor": s.target.minor, "patch": s.target.patch}
-            data["migrationHistory"] = [*data.get("migrationHistory", []), {"fromVersion": before, "toVersion": str(s.target)}]
+            data["migrationHistory"] = [*data.get("migrationHistory", []), {"fromVersion": before, "toVersion": str(s.target), "migratedAt": int(time.time() * 1000), "strategy": "migrate"}]
             start = s.target
         return data
 

@@ -100,6 +100,80 @@ def test_command_line(spark, repo):
         assert code == 0 and "Duration:" in out
 
 
+def test_update_parses_what_changes_touch(spark, repo):
+    """After changes of all kinds the stored graph is that of a new analysis, though only some files were parsed."""
+    root, git = repo
+    run = lambda *a: json.loads(cli.run([a[0], "--json", "--root", str(root), *a[1:]], spark)[1])
+    for name, text in {"c": "import { z } from './late'\nexport const c = z", "d": "import { c } from './c'\nexport const d = c", "old": "export const old = 1", "far": "export const far = 1"}.items():
+        (root / f"src/{name}.ts").write_text(text)
+    git("add", "-A")
+    git("commit", "-qm", "more")
+    assert run("analyze")["success"]
+    (root / "src/late.ts").write_text("export const z = 1")
+    (root / "src/util/a.ts").write_text("import { far } from '../far'\nexport const a = far")
+    (root / "src/old.ts").unlink()
+    git("add", "-A")
+    git("commit", "-qm", "changes")
+    from braidgraph.sources import baseline
+    from braidgraph.sources.scan import listing
+
+    before = cli._graph(spark, str(root))
+    diff = spark.createDataFrame([("src/late.ts", "ADD"), ("src/util/a.ts", "MODIFY"), ("src/old.ts", "DELETE")], "path string, type string")
+    assert {r["path"] for r in cli.to_parse(before, diff).collect()} == {"src/late.ts", "src/util/a.ts", "src/index.ts", "src/c.ts"}
+    out = run("update")
+    assert out["changes"] == {"added": ["src/late.ts"], "removed": ["src/old.ts"], "modified": ["src/util/a.ts"]}
+    now = {(r["from"], r["to"]) for r in baseline.load(spark, cli._store(str(root))).linked("IMPORTS").collect()}
+    assert {("FILE:src/index.ts", "FILE:src/util/a.ts"), ("FILE:src/util/a.ts", "FILE:src/far.ts"), ("FILE:src/c.ts", "FILE:src/late.ts"), ("FILE:src/d.ts", "FILE:src/c.ts")} <= now
+    assert listing(spark, str(root), (".git/", ".braidgraph/")).count() == 6
+
+
+def test_special_projects_and_hints(spark, tmp_path):
+    def project(name, **files):
+        root = tmp_path / name
+        for path, text in files.items():
+            (root / path.replace("__", "/")).with_suffix("").parent.mkdir(parents=True, exist_ok=True)
+            (root / f"{path.replace('__', '/')}.ts").write_text(text)
+        subprocess.run(["git", "-C", str(root), "init", "-q"], check=True)
+        return str(root)
+
+    run = lambda root, *a: (lambda r: (r[0], json.loads(r[1])))(cli.run([a[0], "--json", "--root", root, *a[1:]], spark))
+    alone = project("alone", src__a="import _ from 'lodash'\nexport const a = 1")
+    code, out = run(alone, "analyze")
+    assert code == 0 and out["kind"] == "single-file" and out["file"] == "src/a.ts" and out["externalDeps"] == ["lodash"] and not out["reclassified"]
+    more = project("more", src__a="import './b.d'\nexport const a = 1", tests__b="export const b = 1")
+    (tmp_path / "more/src/b.d.json").write_text("{}")
+    code, out = run(more, "analyze")
+    assert code == 0 and out["kind"] == "normal" and out["reclassified"]
+    tests = project("tests-only", tests__a="export const a = 1")
+    code, out = run(tests, "analyze")
+    assert code == 0 and out["kind"] == "test-only" and out["warnings"]
+    (tmp_path / "alone/packages").mkdir()
+    assert "packages/<package>" in run(alone, "scope", "src/none.ts")[1]["error"]["suggestion"]
+    assert "packages/<package>" not in run(alone, "scope", "packages/x/src/none.ts")[1]["error"]["suggestion"]
+    error = json.loads(cli.run(["layers", "--json", "--thres"], spark)[1])["error"]
+    assert error["code"] in ("E_CLI_UNKNOWN_FLAG", "E_CLI_INTERNAL")
+    error = json.loads(cli.run(["scope", "a", "--json", "--verb"], spark)[1])["error"]
+    assert error == {"code": "E_CLI_UNKNOWN_FLAG", "message": "Unknown flag: --verb", "suggestion": "Did you mean '--verbose'?"}
+    assert cli.similar_flag("--de", ["--depth", "--json"]) == "--depth" and cli.similar_flag("--", ["--json"]) is None and cli.similar_flag("--x", ["--json"]) is None
+    (tmp_path / "one").symlink_to(tmp_path / "two")
+    (tmp_path / "two").symlink_to(tmp_path / "one")
+    assert "circle" in run(str(tmp_path / "one"), "layers")[1]["error"]["message"]
+    assert run(str(tmp_path / "nowhere"), "layers")[1]["error"]["code"] == "E_INVALID_PATH"
+
+
+def test_log_where_the_commit_is_gone(spark, repo):
+    from braidgraph.sources import gitlog
+
+    root, git = repo
+    (root / "src/b.ts").write_text("x")
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    got = {r["path"]: r["type"] for r in gitlog.changes(spark, str(root), "0" * 40).collect()}
+    assert got == {"src/index.ts": "ADD", "src/util/a.ts": "ADD", "src/b.ts": "ADD"}
+    with pytest.raises(gitlog.GitError):
+        gitlog.changes(spark, str(root), None)
+
+
 def test_command_errors(tmp_path):
     assert cli.similar_command("anal") == "analyze" and cli.similar_command("zzz") is None
     (tmp_path / "a/b").mkdir(parents=True)

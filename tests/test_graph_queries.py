@@ -194,3 +194,35 @@ def test_integrity(spark, chain):
     r = quality.verify(bad)
     assert not r["valid"] and len(r["errors"]) == 2
     assert r["counts"] == {"duplicate_nodes": 1, "mismatched_ids": 1, "dangling_edges": 1, "invalid_nodes": 0, "invalid_edges": 0}
+
+
+def test_strong_components(spark):
+    """Against a closure in plain Python, on random graphs, chains into circles and self loops."""
+    import random
+
+    from braidgraph.plans.fixpoint import reach, reach_counts, strong_components
+
+    rng = random.Random(8)
+    for edges in ([(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(22)], [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "x"), (None, "q")], []):
+        out = {}
+        for a, b in edges:
+            if a and b:
+                out.setdefault(a, set()).add(b)
+        nodes = sorted(set(out) | {b for bs in out.values() for b in bs})
+
+        def from_(a, depth=99):
+            seen, level = set(), {a}
+            for _ in range(depth):
+                level = {y for x in level for y in out.get(x, ())} - seen
+                seen |= level
+            return seen
+
+        far = {a: from_(a) | {a} for a in nodes}
+        df = spark.createDataFrame(edges, "from string, to string")
+        got = {r["node"]: r["scc"] for r in strong_components(df).collect()}
+        assert got == {a: min(b for b in nodes if b in far[a] and a in far[b]) for a in nodes}
+        targets = spark.createDataFrame([(a,) for a in [*nodes[:5], "nobody"]], "target string")
+        counts = {r["target"]: r["n"] for r in reach_counts(df, targets, 3).collect()}
+        back = {a: sum(a in from_(b, 3) for b in nodes) for a in nodes[:5]}
+        assert counts == {a: n for a, n in back.items() if n}
+        assert counts == {r["target"]: r["n"] for r in reach(df, targets, 3, 0).groupBy("target").count().withColumnRenamed("count", "n").collect()}

@@ -79,6 +79,18 @@ def test_compressed_json(spark, graph, tmp_path):
     assert {r["id"] for r in back.nodes.collect()} == {r["id"] for r in graph.nodes.collect()}
 
 
+def test_json_meta(spark, graph, tmp_path):
+    """The top level alone, whatever lies inside and in which order."""
+    path = str(tmp_path / "g.json")
+    for compress in (True, False):
+        B.save_json(graph.with_(meta={"commitHash": 'c"\\{1', "timestamp": 7}), path, compress=compress)
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        assert B.json_meta(path) == {k: data[k] for k in ("commitHash", "timestamp", "schemaVersion")}
+    (tmp_path / "g.json").write_text('{"graph": {"a": [1, {"commitHash": "no"}], "b": "}]"}, "timestamp": 3}')
+    assert B.json_meta(path) == {"timestamp": 3}
+
+
 def test_migrate_file(spark, graph, tmp_path):
     a, b, c = (str(tmp_path / n) for n in ("a.json", "b.json", "c.json"))
     B.save_json(graph, a, compress=False)
@@ -128,7 +140,7 @@ def test_versions():
     m.register(Migration("1.1.x", Version(2, 0, 0), lambda d: d | {"b": 2}))
     assert len(m.path(Version(1, 0, 5), Version(2, 0, 0))) == 2 and m.path(v, v) is None and m.path(Version(3, 0, 0), v) is None
     out = m.migrate({"schemaVersion": of(1, 0, 0)}, Version(2, 0, 0))
-    assert (out["a"], out["b"], len(out["migrationHistory"])) == (1, 2, 2) and out["schemaVersion"] == of(2, 0, 0)
+    assert (out["a"], out["b"], len(out["migrationHistory"])) == (1, 2, 2) and all(h["strategy"] == "migrate" and h["migratedAt"] > 0 for h in out["migrationHistory"]) and out["schemaVersion"] == of(2, 0, 0)
     assert m.migrate_or_rebuild({}, lambda: "new", Version(9, 0, 0)) == "new"
     assert on_failure("file_not_found")["failure"]["details"] == "Rebuild handler not provided" and on_failure("parse_error", lambda: 1)["success"] is False
     assert on_failure("schema_incompatible", lambda: 1, force="rebuild")["success"] and on_failure("x", handler=lambda r, d: r) == "x"
