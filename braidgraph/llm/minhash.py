@@ -10,8 +10,7 @@ Every document is its set of distinct word shingles; two documents are linked wh
 2. *Collapse.*  Equal sets (a 128-bit fingerprint and the size) become one representative, the
    smallest doc_id, by an aggregation that combines on the map side.
 3. *Stars.*  A bucket emits one pair for each member: itself and the bucket's smallest member.
-   No bucket emits all its pairs.  Pairs are confirmed on full sets.  Where a bucket still holds several components, the
-   members outside its largest one are paired with that one's first and last member too.
+   No bucket emits all its pairs.  Pairs are confirmed on full sets.
 4. *Completion.*  Where a bucket holds several components even then, the members outside its largest component are compared
    with all others in blocks of at most ``block`` rows inside tasks (32-bit sets, an upper bound of the overlap), and only
    pairs of different components that may reach the threshold come out, for the full check.  Pairs inside a component
@@ -176,8 +175,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = pairs.groupBy("u").agg(F.count("*").alias("fan")).where(F.col("fan") > FAN)
     total = pairs.count()
     # over FAN and over 1 / HEAVY of all pairs each: at most HEAVY rows
-    many = counts.where(F.col("fan") > total // HEAVY).select("u", F.ceil(F.col("fan") / FAN).cast("int").alias("tasks"))
-    many = F.broadcast(written(many, "fans"))
+    many = counts.where(F.col("fan") > total // HEAVY).select("u", F.ceil(F.col("fan") / FAN).cast("int").alias("tasks")).collect()
+    many = F.broadcast(pairs.sparkSession.createDataFrame([tuple(r) for r in many], "u long, tasks int"))
     a = sets.select(F.col("doc_id").alias("u"), F.col("full").alias("a")).join(many, "u", "left")
     a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     salted = pairs.join(many, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
@@ -186,13 +185,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_members(bucket: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, doc, comp, core (the largest component of the bucket) and its first and last member, how many members lie in and
-    outside it: of all members of buckets with several components."""
+    """key, doc, comp, core (the largest component of the bucket), how many members lie in and outside it: of all members of
+    buckets with several components."""
     at = bucket.select("key", "doc").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     at = at.select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    parts = at.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
-    cores = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "first", "last")).alias("c"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-    cores = written(cores.select("key", F.col("c.comp").alias("core"), F.col("c.n").alias("inside"), F.col("c.first").alias("first"), F.col("c.last").alias("last"), (F.col("all") - F.col("c.n")).alias("outside")), "cores")
+    parts = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    cores = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    cores = written(cores.select("key", F.col("c.comp").alias("core"), F.col("c.n").alias("inside"), (F.col("all") - F.col("c.n")).alias("outside")), "cores")
     return heavy_join(at, cores, ["key"], F.col("inside") + F.col("outside"))
 
 
@@ -217,13 +216,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = written(_verify(stars, sets, percent), "links")
     comps = connected(links)
 
-    for_core = _open_members(bucket, comps).where("comp <> core")
-    ends = for_core.select("doc", F.explode(F.array("first", "last")).alias("end")).distinct()
-    again = written(ends.select(F.col("end").alias("u"), F.col("doc").alias("v")), "again")
-    more = written(_verify(again, sets, percent), "links")
-    if not more.isEmpty():
-        comps = connected(links.union(more))
-
     at = _open_members(bucket, comps)
     mine = F.col("comp") == F.col("core")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
@@ -241,8 +233,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = of.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
     split = named.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("doc_id", "v")
     split = named.join(split, "doc_id").select(F.col("rep").alias("u"), "v")
-    final = connected(links.union(more).union(rest).union(split))
-    for done in (bucket, heads, stars, sets, links, again, more):
+    final = connected(links.union(rest).union(split))
+    for done in (bucket, heads, stars, sets, links):
         discard(done)
     groups = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", "copies", "rep", "component")
     whole = heavy_join(light, groups, ["f1", "f2", "n"], F.col("copies"), "left")
