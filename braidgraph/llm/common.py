@@ -66,7 +66,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """From now on at most ``most`` rows go to a Python worker at once in this session: rows here hold whole texts, and the buffers
+    of a batch stay with the executor."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= most:
+        spark.conf.set(_BATCH, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,10 +27,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SEED, WORD, discard, table, written
+from .common import SEED, WORD, discard, pieces, table, written
 
 BLOCK, SHARD_DOCS, GROUPS = 16, 512, 1000
 
@@ -167,15 +169,35 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     with the words that the run takes; documents of which nothing is taken go."""
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     rows = placed(docs, carry=tuple(rest), **options)
-    whole = rows.where("passes > 0 and size > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
-    part = rows.where("a1 > a0 or b1 > b0")
-    full = part.where("a0 = 0 and a1 = size")
-    cut = F.pandas_udf(lambda t, a0, a1, b1: pd.Series([_cut(*x[:1], [(0, x[3]), (x[1], x[2])]) for x in zip(t, a0, a1, b1, strict=True)]), "string")
-    some = part.where("not (a0 = 0 and a1 = size)").withColumn("_text", cut("_text", "a0", "a1", "b1"))
-    if "n_chars" in rest:
-        some = some.withColumn("_n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
-    cols = [F.col(c if c in ("doc_id", "source") else f"_{c}").alias(c) for c in docs.columns]
-    return whole.select(cols).unionByName(full.select(cols)).unionByName(some.select(cols))
+    plan = ["passes", "size", "a0", "a1", "b1"]
+    text, chars = rest.index("text"), next((i for i, c in enumerate(rest) if c == "n_chars"), None)
+    kept = rows.select("doc_id", "source", *(F.col(f"_{c}").alias(f"c{i}") for i, c in enumerate(rest)), *(F.col(c).cast("long").alias(f"p_{c}") for c in plan))
+
+    def run(batches):
+        for part in (p for batch in batches for p in pieces(batch, f"c{text}")):
+            passes, size, a0, a1, b1 = (part.column(f"p_{c}").to_numpy(zero_copy_only=False) for c in plan)
+            some = (a1 > a0) | (b1 > 0)
+            full = some & (a0 == 0) & (a1 == size)
+            times = np.where(size > 0, passes, 0) + full
+            own = part.select([c for c in part.schema.names if not c.startswith("p_")])
+            whole = own.take(pa.array(np.repeat(np.arange(part.num_rows), times)))
+            if whole.num_rows:
+                yield whole
+            at = np.flatnonzero(some & ~full)
+            if not len(at):
+                continue
+            cut = own.take(pa.array(at))
+            texts = [_cut(t, [(0, int(b1[i])), (int(a0[i]), int(a1[i]))]) for t, i in zip(cut.column(f"c{text}").to_pylist(), at.tolist(), strict=True)]
+            cut = cut.set_column(cut.schema.get_field_index(f"c{text}"), f"c{text}", pa.array(texts, cut.schema.field(f"c{text}").type))
+            if chars is not None:
+                old = cut.schema.field(f"c{chars}").type
+                cut = cut.set_column(cut.schema.get_field_index(f"c{chars}"), f"c{chars}", pa.array([len(t) for t in texts], pa.int64()).cast(old))
+            yield cut
+
+    schema = T.StructType([f for f in kept.schema.fields if not f.name.startswith("p_")])
+    out = kept.mapInArrow(run, schema)
+    of = {"doc_id": "doc_id", "source": "source"} | {c: f"c{i}" for i, c in enumerate(rest)}
+    return out.select([F.col(of[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
