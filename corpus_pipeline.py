@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from braidgraph.llm import exact, minhash, mixing, pieces, quality
-from braidgraph.llm.common import discard, table, written
+from braidgraph.llm.common import discard, small_batches, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer takes for clean."""
+    small_batches(spark)
     return quality.clean(docs, quality.trained(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the smallest doc_id."""
+    small_batches(spark)
     return exact.survivors(docs, exact.exact_duplicates(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity of 0.8): the smallest doc_id."""
+    small_batches(spark)
     return minhash.survivors(docs, minhash.near_duplicates(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often, and as much of them, as their source's target takes."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every row of the mix."""
+    small_batches(spark)
     return pieces.tokenized(docs, pieces.model_path())
 
 
