@@ -1,22 +1,26 @@
 """Stored graphs: Parquet for use, JSON of both interchange formats for exchange.
 
 Parquet tables are written beside the current ones and swapped in by one small pointer file, so a reader sees an old graph or a
-new one.  JSON documents are one object for a whole graph and are made and read in the driver, as their format demands.
+new one.  JSON documents are one object for a whole graph; document.py writes and reads the long ones with tasks.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
+import shutil
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..model import EDGE_METADATA, EDGE_TYPES, EDGES, NODE_METADATA, NODE_TYPES, NODES, RepoGraph, graph_of
 from ..operators import codec, quality
+from ..plans.durable import written
+from . import document as D
 from ..versions import CURRENT, Migration, Migrations, Version, action, compatibility, on_failure, version_errors
 
 FORMAT_1_1 = {"major": 1, "minor": 1, "patch": 0}
@@ -72,50 +76,49 @@ def load_meta(spark: SparkSession, folder: str) -> dict:
 # --- JSON documents ------------------------------------------------------------------------------------------------------
 
 
-def _bare(row: dict | None) -> dict:
-    return {k: v for k, v in (row or {}).items() if v is not None}
+def _line(**fields: Column) -> Column:
+    """The JSON text of a row; fields that are null are left out."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("value")
 
 
-def _node_json(r: dict) -> dict:
-    out = {"id": r["id"], "type": r["type"], "path": r["path"], "name": r["name"]}
-    meta = _bare(r["metadata"])
-    return out | ({"metadata": meta} if meta else {})
-
-
-def _edge_json(r: dict) -> dict:
-    meta = _bare(r["metadata"])
-    return {"from": r["from"], "to": r["to"], "type": r["type"]} | ({"metadata": meta} if meta else {})
-
-
-def to_plain(graph: RepoGraph) -> dict:
-    """The 1.0 document of a graph."""
-    nodes = [r.asDict(True) for r in graph.nodes.orderBy("node_seq", "id").toLocalIterator()]
-    edges = [r.asDict(True) for r in graph.edges.orderBy("edge_seq", "from", "to", "type").toLocalIterator()]
+def plain_pieces(graph: RepoGraph) -> list[str | DataFrame]:
+    """The 1.0 document of a graph, to be written."""
     m = graph.meta
-    return {
+    text = lambda data: json.dumps(data, ensure_ascii=False)
+    node = _line(id=F.col("id"), type=F.col("type"), path=F.col("path"), name=F.col("name"), metadata=D.bare(F.col("metadata"), NODE_METADATA.fieldNames()))
+    edge = _line(**{k: F.col(k) for k in ("from", "to", "type")}, metadata=D.bare(F.col("metadata"), EDGE_METADATA.fieldNames()))
+    head = {
         "schemaVersion": m.get("schemaVersion") or dict(zip(("major", "minor", "patch"), CURRENT, strict=True)),
         "generatorVersion": m.get("generatorVersion", "1.0.0"),
         "timestamp": m.get("timestamp", 0),
         "commitHash": m.get("commitHash", ""),
-        "graph": {"nodes": [[n["id"], _node_json(n)] for n in nodes], "edges": [_edge_json(e) for e in edges], "commitHash": m.get("commitHash", ""), "timestamp": m.get("timestamp", 0)},
     }
-
-
-def to_compressed(graph: RepoGraph, most: int = 100) -> dict:
-    """The 1.1 document of a graph, made of the operators of the codec."""
-    table = codec.path_table(graph)
-    paths = [r["path"] for r in table.orderBy("idx").toLocalIterator()]
-    rows = lambda df, *order: [_bare(r.asDict(True)) for r in df.orderBy(*order).toLocalIterator()]
-    nodes = rows(codec.compressed_nodes(graph, table, most), "node_seq", "pathIndex", "name")
-    batches = rows(codec.import_batches(graph, table), "fromIndex")
-    edges = rows(codec.compressed_edges(graph, table), "edge_seq", "fromIndex", "toIndex", "type")
-    for r in (*nodes, *edges):
-        r.pop("node_seq", None), r.pop("edge_seq", None)
-        if "metadata" in r and not (meta := _bare(r["metadata"])):
-            del r["metadata"]
-        elif "metadata" in r:
-            r["metadata"] = meta
-    return {"schemaVersion": FORMAT_1_1, "pathTable": paths, "nodes": nodes, "edges": [*({"type": "IMPORTS_BATCH"} | b for b in batches), *edges], "commitHash": graph.meta.get("commitHash", ""), "timestamp": graph.meta.get("timestamp", 0)}
+    return [
+        text(head)[:-1] + ', "graph": {"nodes": [\n',
+        graph.nodes.orderBy("node_seq", "id").select(F.concat(F.lit("["), D.quoted(F.col("id")), F.lit(","), node, F.lit("]")).alias("value")),
+        '\n], "edges": [\n',
+        graph.edges.orderBy("edge_seq", "from", "to", "type").select(edge),
+        f'\n], "commitHash": {text(m.get("commitHash", ""))}, "timestamp": {text(m.get("timestamp", 0))}}}}}\n',
+    ]
+
+
+def compressed_pieces(graph: RepoGraph, table: DataFrame, most: int = 100, extra: dict | None = None) -> list[str | DataFrame]:
+    """The 1.1 document of a graph, to be written, made of the operators of the codec; table: its paths, written."""
+    nodes, edges = codec.compressed_nodes(graph, table, most), codec.compressed_edges(graph, table)
+    kept = lambda df: D.bare(F.col("metadata"), df.schema["metadata"].dataType.fieldNames())
+    batches = codec.import_batches(graph, table).orderBy("fromIndex").select(_line(type=F.lit("IMPORTS_BATCH"), fromIndex=F.col("fromIndex"), targetIndexes=F.col("targetIndexes")))
+    rest = edges.orderBy("edge_seq", "fromIndex", "toIndex", "type").select(_line(type=F.col("type"), fromIndex=F.col("fromIndex"), toIndex=F.col("toIndex"), metadata=kept(edges)))
+    tail = {"commitHash": graph.meta.get("commitHash", ""), "timestamp": graph.meta.get("timestamp", 0)} | (extra or {})
+    return [
+        f'{{"schemaVersion": {json.dumps(FORMAT_1_1)}, "pathTable": [\n',
+        table.orderBy("idx").select(D.quoted(F.col("path")).alias("value")),
+        '\n], "nodes": [\n',
+        nodes.orderBy("node_seq", "pathIndex", "name").select(_line(type=F.col("type"), pathIndex=F.col("pathIndex"), name=F.col("name"), metadata=kept(nodes))),
+        '\n], "edges": [\n',
+        batches,
+        rest,
+        "\n], " + json.dumps(tail, ensure_ascii=False)[1:] + "\n",
+    ]
 
 
 def detect_format(data) -> str:
@@ -185,6 +188,17 @@ def from_plain(spark: SparkSession, data: dict) -> RepoGraph:
     return graph_of(spark, nodes, g["edges"], _meta_of(g | data))
 
 
+_NODE_1_1 = f"type string, pathIndex long, name string, metadata {NODE_METADATA.simpleString()}, node_seq long"
+_BATCH = "fromIndex long, targetIndexes array<long>, seq long"
+_EDGE_1_1 = f"type string, fromIndex long, toIndex long, metadata {EDGE_METADATA.simpleString()}, edge_seq long"
+
+
+def _restored(nodes: DataFrame, batches: DataFrame, others: DataFrame, table: DataFrame, meta: dict) -> RepoGraph:
+    imported = codec.expanded_batches(batches, table)
+    imported = imported.select("from", "to", F.lit("IMPORTS").alias("type"), F.lit(None).cast(EDGE_METADATA).alias("metadata"), F.lit(0).cast("long").alias("edge_seq"))
+    return RepoGraph(codec.restored_nodes(nodes, table), imported.unionByName(codec.restored_edges(others, table)), meta)
+
+
 def from_compressed(spark: SparkSession, data: dict) -> RepoGraph:
     n = len(data["pathTable"])
     for node in data["nodes"]:
@@ -193,49 +207,128 @@ def from_compressed(spark: SparkSession, data: dict) -> RepoGraph:
     table = spark.createDataFrame(list(enumerate(data["pathTable"])), "idx long, path string").select("path", "idx")
     struct = lambda given, kind: tuple(given.get(f) for f in kind.fieldNames()) if given else None
     rows = [(x["type"], x["pathIndex"], x.get("name"), struct(x.get("metadata"), NODE_METADATA), i) for i, x in enumerate(data["nodes"])]
-    kinds = f"type string, pathIndex long, name string, metadata {NODE_METADATA.simpleString()}, node_seq long"
-    nodes = codec.restored_nodes(spark.createDataFrame(rows, kinds), table)
     batches = [(x["fromIndex"], x["targetIndexes"], i) for i, x in enumerate(data["edges"]) if x["type"] == "IMPORTS_BATCH"]
     others = [(x["type"], x["fromIndex"], x["toIndex"], struct(x.get("metadata"), EDGE_METADATA), i) for i, x in enumerate(data["edges"]) if x["type"] != "IMPORTS_BATCH"]
-    imported = codec.expanded_batches(spark.createDataFrame(batches, "fromIndex long, targetIndexes array<long>, seq long"), table)
-    imported = imported.select("from", "to", F.lit("IMPORTS").alias("type"), F.lit(None).cast(EDGE_METADATA).alias("metadata"), F.lit(0).cast("long").alias("edge_seq"))
-    rest = codec.restored_edges(spark.createDataFrame(others, f"type string, fromIndex long, toIndex long, metadata {EDGE_METADATA.simpleString()}, edge_seq long"), table)
-    return RepoGraph(nodes, imported.unionByName(rest), _meta_of(data))
+    return _restored(spark.createDataFrame(rows, _NODE_1_1), spark.createDataFrame(batches, _BATCH), spark.createDataFrame(others, _EDGE_1_1), table, _meta_of(data))
 
 
 def from_json(spark: SparkSession, data: dict) -> RepoGraph:
     return from_compressed(spark, data) if detect_format(data) == "1.1" else from_plain(spark, data)
 
 
-def write_json(data: dict, path: str, backup: bool = False, version_file: bool = False) -> None:
-    """Write beside the file, then rename; the folder must exist."""
-    folder = os.path.dirname(os.path.abspath(path))
-    if not os.path.isdir(folder):
-        raise FileNotFoundError(f"Directory does not exist: {folder}")
-    fd, tmp = tempfile.mkstemp(dir=folder, suffix=".tmp")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        json.dump(data, f, indent=2, ensure_ascii=False)
+def _put(tmp: str, path: str, version: dict, backup: bool, version_file: bool) -> None:
+    """Give a file that was written beside another its name."""
     if backup and os.path.exists(path):
         os.replace(path, f"{path}.bak")
     os.replace(tmp, path)
     if version_file:
-        v = data.get("schemaVersion") or {}
-        with open(os.path.join(folder, ".version"), "w", encoding="utf-8") as f:
-            f.write(".".join(str(v.get(k, 0)) for k in ("major", "minor", "patch")))
+        with open(os.path.join(os.path.dirname(os.path.abspath(path)), ".version"), "w", encoding="utf-8") as f:
+            f.write(".".join(str(version.get(k, 0)) for k in ("major", "minor", "patch")))
 
 
-def save_json(graph: RepoGraph, path: str, compress: bool = True, most: int = 100, **options) -> None:
-    write_json(to_compressed(graph, most) if compress else to_plain(graph), path, **options)
+def write_json(data: dict, path: str, backup: bool = False, version_file: bool = False) -> None:
+    """Write beside the file, then rename; the folder must exist."""
+    tmp = D.beside(path)
+    with open(tmp, "w", encoding="utf-8") as f:
+        json.dump(data, f, indent=2, ensure_ascii=False)
+    _put(tmp, path, data.get("schemaVersion") or {}, backup, version_file)
 
 
-def load_json(spark: SparkSession, path: str, rebuild=None, strict: bool = False, force: str | None = None, auto_migrate: bool = False, check_integrity: bool = True, handler=None, migrations: Migrations | None = None) -> dict:
-    """A graph from a JSON document, or what becomes of it: {"success", "graph", "action", "migrated"} or "failure"."""
+def save_json(graph: RepoGraph, path: str, compress: bool = True, most: int = 100, backup: bool = False, version_file: bool = False) -> None:
+    """Write a document of a graph; tasks make it, part by part."""
+    tmp = D.beside(path)
+    pieces = compressed_pieces(graph, written(codec.path_table(graph), "paths"), most) if compress else plain_pieces(graph)
+    D.write(graph.spark, pieces, tmp)
+    _put(tmp, path, FORMAT_1_1 if compress else graph.meta.get("schemaVersion") or dict(zip(("major", "minor", "patch"), CURRENT, strict=True)), backup, version_file)
+
+
+#: Bytes of a document up to which the driver reads it whole.
+SMALL = 8 << 20
+
+
+def _plain_nodes(elements: list, first: int) -> list[dict]:
+    out = []
+    for i, (given, n) in enumerate(elements, first):
+        kind, path = n["type"], n["path"]
+        name = n.get("name") or path.rsplit("/", 1)[-1]
+        out.append({"id": given or f"{kind}:{path}" + (f"#{name}" if kind == "MODULE" else ""), "type": kind, "path": path, "name": name, "metadata": n.get("metadata") or None, "node_seq": n.get("node_seq", i)})
+    return out
+
+
+def _plain_edges(elements: list, first: int) -> list[dict]:
+    return [{"from": e["from"], "to": e["to"], "type": e["type"], "metadata": e.get("metadata") or None, "edge_seq": e.get("edge_seq", i)} for i, e in enumerate(elements, first)]
+
+
+def _checked(key: str, rows):
+    """rows() behind the checks of structure_errors() for elements of this array of a 1.1 document."""
+
+    def run(elements: list, first: int) -> list[dict]:
+        errors = structure_errors({"pathTable": [], "nodes": [], "edges": [], "commitHash": "", "timestamp": 0} | {key: elements})
+        if errors:
+            raise D.BadElement("invalid_structure", f"{errors[0]} (counted from {first})")
+        return rows(elements, first)
+
+    return run
+
+
+def _compressed_nodes(most: int):
+    def rows(elements: list, first: int) -> list[dict]:
+        for x in elements:
+            if not 0 <= x["pathIndex"] < most:
+                raise CorruptedBaseline(f"Node pathIndex {x['pathIndex']} out of bounds")
+        return [{"type": x["type"], "pathIndex": x["pathIndex"], "name": x.get("name"), "metadata": x.get("metadata") or None, "node_seq": i} for i, x in enumerate(elements, first)]
+
+    return rows
+
+
+def _compressed_edges(elements: list, first: int) -> list[dict]:
+    return [{"type": x["type"], "fromIndex": x["fromIndex"], "toIndex": x.get("toIndex"), "metadata": x.get("metadata") or None, "edge_seq": i, "targetIndexes": x["targetIndexes"] if x["type"] == "IMPORTS_BATCH" else None} for i, x in enumerate(elements, first)]
+
+
+def from_split(spark: SparkSession, found: D.Split) -> RepoGraph:
+    """The graph of a document that was taken apart; a BadElement tells what is wrong with it."""
+
+    faults: list[D.BadElement] = []
+
+    def table(keys: tuple[str, ...], kind, rows) -> DataFrame:
+        kind = kind if isinstance(kind, T.StructType) else T.StructType.fromDDL(kind)
+        try:
+            return D.table(spark, found.parts.get(keys), found.counts.get(keys, 0), to_arrow_schema(kind), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind), rows)
+        except D.BadElement as e:
+            faults.append(e)
+            return spark.createDataFrame([], kind)
+
+    def sound(graph: RepoGraph) -> RepoGraph:
+        if faults:
+            raise min(faults, key=lambda e: D.FAULTS.index(e.reason))
+        return graph
+
+    if detect_format(found.rest) != "1.1":
+        meta = _meta_of(found.rest["graph"] | found.rest)
+        return sound(RepoGraph(table(("graph", "nodes"), NODES, _plain_nodes), table(("graph", "edges"), EDGES, _plain_edges), meta))
+    paths = table(("pathTable",), "path string, idx long", _checked("pathTable", lambda elements, first: [{"path": p, "idx": i} for i, p in enumerate(elements, first)]))
+    nodes = table(("nodes",), _NODE_1_1, _checked("nodes", _compressed_nodes(found.counts.get(("pathTable",), 0))))
+    edges = table(("edges",), f"{_EDGE_1_1}, targetIndexes array<long>", _checked("edges", _compressed_edges))
+    batches = edges.where("type = 'IMPORTS_BATCH'").select("fromIndex", "targetIndexes", F.col("edge_seq").alias("seq"))
+    return sound(_restored(nodes, batches, edges.where("type <> 'IMPORTS_BATCH'").drop("targetIndexes"), paths, _meta_of(found.rest)))
+
+
+def load_json(spark: SparkSession, path: str, rebuild=None, strict: bool = False, force: str | None = None, auto_migrate: bool = False, check_integrity: bool = True, handler=None, migrations: Migrations | None = None, small: int = SMALL) -> dict:
+    """A graph from a JSON document, or what becomes of it: {"success", "graph", "action", "migrated"} or "failure".
+
+    Tasks read documents of more than ``small`` bytes.  Migrations are functions of a whole document, so one that needs them is
+    read by the driver whatever its length."""
     fail = lambda reason, details=None: on_failure(reason, rebuild, strict, force, handler, details)
     if not os.path.exists(path):
         return fail("file_not_found", path)
+    found = None
     try:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        if os.path.getsize(path) > small:
+            found = D.split(spark, path)
+            data = found.rest
+        else:
+            with open(path, encoding="utf-8") as f:
+                data = json.load(f)
     except PermissionError as e:
         return fail("permission_error", e)
     except ValueError as e:
@@ -243,19 +336,37 @@ def load_json(spark: SparkSession, path: str, rebuild=None, strict: bool = False
     errors = structure_errors(data)
     if errors:
         return fail("invalid_structure", errors)
+    graph, bad = None, None
+    if found is not None:
+        try:
+            graph = from_split(spark, found)
+        except D.BadElement as e:
+            if e.reason != "corrupted_data":
+                return fail(e.reason, e)
+            bad = e
+
+    def made() -> RepoGraph:
+        if bad:
+            raise CorruptedBaseline(str(bad))
+        return from_json(spark, data) if graph is None else graph
+
     todo = action(compatibility(data.get("schemaVersion")), force, auto_migrate)
     if todo == "error":
         return fail("schema_incompatible", data.get("schemaVersion"))
     if todo == "rebuild":
-        return fail("corrupted_data", "no schema version") if rebuild else {"success": True, "graph": from_json(spark, data), "action": "proceed", "migrated": False} if data.get("schemaVersion") else fail("corrupted_data", "no schema version")
+        return fail("corrupted_data", "no schema version") if rebuild else {"success": True, "graph": made(), "action": "proceed", "migrated": False} if data.get("schemaVersion") else fail("corrupted_data", "no schema version")
     migrated = todo == "migrate"
     if migrated:
         try:
+            if found is not None:
+                graph, bad = None, None
+                with open(path, encoding="utf-8") as f:
+                    data = json.load(f)
             data = (migrations or MIGRATIONS).migrate(data)
         except Exception as e:
             return fail("schema_incompatible", e)
     try:
-        graph = from_json(spark, data)
+        graph = made()
     except (CorruptedBaseline, KeyError, TypeError) as e:
         return fail("corrupted_data", e)
     if check_integrity and detect_format(data) == "1.0":
@@ -319,18 +430,33 @@ def _pair(key: str | None, text: list[str]):
         return
 
 
-def migrate_file(spark: SparkSession, source: str, target: str, most: int = 100) -> dict:
-    """A 1.0 document as 1.1, or a 1.1 document copied, with sizes."""
-    with open(source, encoding="utf-8") as f:
-        text = f.read()
-    data = json.loads(text)
+def migrate_file(spark: SparkSession, source: str, target: str, most: int = 100, small: int = SMALL) -> dict:
+    """A 1.0 document as 1.1, or a 1.1 document copied, with sizes.  Tasks read documents of more than ``small`` bytes."""
+    a = os.path.getsize(source)
+    found = D.split(spark, source) if a > small else None
+    if found is None:
+        with open(source, encoding="utf-8") as f:
+            data = json.load(f)
+    else:
+        data = found.rest
     kind = detect_format(data)
     if kind == "legacy":
         raise CorruptedBaseline("Legacy baseline cannot be migrated")
-    out = data if kind == "1.1" else to_compressed(from_plain(spark, data), most) | {k: data[k] for k in ("generatorVersion", "architectureConstraints", "healthScore", "skillDemand") if k in data}
-    write_json(out, target)
-    a, b = len(text.encode()), os.path.getsize(target)
-    return {"success": True, "inputPath": source, "outputPath": target, "stats": {"inputSizeBytes": a, "outputSizeBytes": b, "savingsPercent": savings(a, b), "pathTableEntries": len(out["pathTable"])}}
+    tmp = D.beside(target)
+    if kind == "1.1":
+        shutil.copyfile(source, tmp)
+        entries = len(data["pathTable"]) if found is None else found.counts.get(("pathTable",), 0)
+    else:
+        try:
+            graph = from_plain(spark, data) if found is None else from_split(spark, found)
+        except D.BadElement as e:
+            raise CorruptedBaseline(str(e)) from e
+        table = written(codec.path_table(graph), "paths")
+        entries = table.count()
+        D.write(spark, compressed_pieces(graph, table, most, {k: data[k] for k in ("generatorVersion", "architectureConstraints", "healthScore", "skillDemand") if k in data}), tmp)
+    os.replace(tmp, target)
+    b = os.path.getsize(target)
+    return {"success": True, "inputPath": source, "outputPath": target, "stats": {"inputSizeBytes": a, "outputSizeBytes": b, "savingsPercent": savings(a, b), "pathTableEntries": entries}}
 
 
 def savings(before: int, after: int) -> int:

@@ -158,3 +158,37 @@ def test_config(tmp_path):
         with pytest.raises(config.ConfigError):
             config.load(str(tmp_path))
     assert config.naming_rules("x")[1] and len(config.rule_errors(3)) == 1
+
+
+def test_long_documents(spark, graph, tmp_path, monkeypatch):
+    """Documents that tasks read, in pieces of any length and however they are laid out, give what the driver makes of them."""
+    from braidgraph.sources import document as D
+
+    odd = graph_of(spark, [{"type": "FILE", "path": 'src/\\"],[{\n\u00e9\U0001f600.ts'}, {"type": "FILE", "path": "src/" + "\\" * 9}], [{"from": "a]", "to": 'b"', "type": "IMPORTS"}], {})
+    both = graph.with_(nodes=graph.nodes.unionByName(odd.nodes), edges=graph.edges.unionByName(odd.edges))
+    rows = lambda g: sorted(map(str, (*g.nodes.collect(), *g.edges.collect())))
+    real = D.split
+    for compress in (False, True):
+        path = str(tmp_path / f"{compress}.json")
+        B.save_json(both, path, compress=compress)
+        data = json.loads((tmp_path / f"{compress}.json").read_text())
+        want = rows(B.from_json(spark, data))
+        for indent, piece in ((None, 7), (2, 64), (2, 1 << 20)):
+            (tmp_path / "x.json").write_text(json.dumps(data, indent=indent, ensure_ascii=indent is None))
+            monkeypatch.setattr(D, "split", lambda s, p, piece=piece: real(s, p, piece))
+            got = B.load_json(spark, str(tmp_path / "x.json"), small=0, check_integrity=False)
+            assert got["success"] and rows(got["graph"]) == want
+        assert B.migrate_file(spark, path, str(tmp_path / "m.json"), small=0)["stats"] == B.migrate_file(spark, path, str(tmp_path / "n.json"))["stats"]
+        assert (tmp_path / "m.json").read_text() == (tmp_path / "n.json").read_text()
+    ok = json.loads((tmp_path / "False.json").read_text())
+    for text, reason in (
+        (json.dumps(ok)[:-40], "parse_error"),
+        (json.dumps(ok).replace('"type"', '"type', 1), "parse_error"),
+        (json.dumps(ok).replace("]]", "],]").replace("}], ", "},], "), "parse_error"),
+        (json.dumps(ok).replace('"src/a.ts"', "5"), "corrupted_data"),
+        (json.dumps(data).replace('"pathIndex": 0', '"pathIndex": null'), "invalid_structure"),
+        (json.dumps(data).replace('"pathIndex": 0', '"pathIndex": 900'), "corrupted_data"),
+        ('{"graph": {"nodes": [], "edges": 3}, "commitHash": "", "timestamp": 0}', "invalid_structure"),
+    ):
+        (tmp_path / "x.json").write_text(text)
+        assert B.load_json(spark, str(tmp_path / "x.json"), small=0)["failure"]["reason"] == reason
