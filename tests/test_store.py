@@ -192,3 +192,14 @@ def test_long_documents(spark, graph, tmp_path, monkeypatch):
     ):
         (tmp_path / "x.json").write_text(text)
         assert B.load_json(spark, str(tmp_path / "x.json"), small=0)["failure"]["reason"] == reason
+
+
+def test_migrate_long(spark, graph, tmp_path, monkeypatch):
+    """No long document is read whole, neither to migrate it nor to load what comes of it."""
+    a, b = str(tmp_path / "a.json"), str(tmp_path / "b.json")
+    B.save_json(graph, a, compress=False)
+    B.migrate_file(spark, a, b)
+    want = _edges(B.load_json(spark, b)["graph"])
+    monkeypatch.setattr(B.json, "load", lambda f: pytest.fail("read whole"))
+    assert B.migrate_file(spark, a, b, small=0)["stats"]["pathTableEntries"] == 5
+    assert _edges(B.load_json(spark, b, small=0)["graph"]) == want
