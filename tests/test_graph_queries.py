@@ -226,3 +226,30 @@ def test_strong_components(spark):
         back = {a: sum(a in from_(b, 3) for b in nodes) for a in nodes[:5]}
         assert counts == {a: n for a, n in back.items() if n}
         assert counts == {r["target"]: r["n"] for r in reach(df, targets, 3, 0).groupBy("target").count().withColumnRenamed("count", "n").collect()}
+
+
+def test_walks_over_arrays(spark):
+    """Walks over arrays of numbers give what joins give, and need no table of pairs."""
+    import random
+
+    from braidgraph.plans import fixpoint as P
+
+    rnd = random.Random(5)
+    pairs = [(f"n{rnd.randrange(90):02}", f"n{rnd.randrange(90):02}") for _ in range(130)] + [("x", "x"), ("y", "z"), (None, "y"), ("y", "z")]
+    df = spark.createDataFrame(pairs, "from string, to string")
+    targets = spark.createDataFrame([(f"n{i:02}",) for i in range(90)] + [("x",), ("z",), ("none",), ("z",)], "target string")
+    for depth in (1, 3, 200):
+        assert sorted(P.reach_counts(df, targets, depth).collect()) == sorted(P.reach_counts(df, targets, depth, array_edges=0).collect())
+    assert sorted(P.strong_components(df).collect()) == sorted(P.strong_components(df, array_edges=0).collect())
+    written = []
+    real, P.written = P.written, lambda table, tag: written.append(tag) or real(table, tag)
+    try:
+        P.reach_counts(df, targets, 3).collect(), P.strong_components(df).collect()
+    finally:
+        P.written = real
+    assert set(written) == {"names", "edges"}
+    # one circle through all nodes, walked without recursion; many lanes and few give the same
+    import numpy as np
+
+    starts, near = np.arange(5001, dtype=np.int32), ((np.arange(5000) + 1) % 5000).astype(np.int32)
+    assert set(P._circles(starts, near)) == {0} and set(P._walked(starts, near, np.arange(5000), 7)) == {7}
