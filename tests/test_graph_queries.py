@@ -253,3 +253,15 @@ def test_walks_over_arrays(spark):
 
     starts, near = np.arange(5001, dtype=np.int32), ((np.arange(5000) + 1) % 5000).astype(np.int32)
     assert set(P._circles(starts, near)) == {0} and set(P._walked(starts, near, np.arange(5000), 7)) == {7}
+
+
+def test_circles_with_many_names(spark, monkeypatch):
+    """Names of components come by a broadcast or, where they are many, by a join."""
+    from braidgraph.plans import fixpoint as P
+
+    df = spark.createDataFrame([(f"n{i:03}", f"n{i // 3 * 3 + (i + 1) % 3:03}") for i in range(60)], "from string, to string")
+    want = sorted((f"n{i:03}", f"n{i // 3 * 3:03}") for i in range(60))
+    for named in (100_000, 0):
+        monkeypatch.setattr(P, "NAMED", named)
+        assert sorted(tuple(r) for r in P.strong_components(df).collect()) == want
+    assert P.strong_components(df.limit(0)).collect() == []
