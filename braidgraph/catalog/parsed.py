@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import project
 from ..parse import analyze as A
+from ..plans.durable import written
 from ..sources import baseline
 from .files import flagship_graph
 from .sql import FILES, GRAPH
@@ -17,8 +18,8 @@ from .sql import FILES, GRAPH
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a source text for each part, with imports and exports of all forms."""
-    k = F.col("p_partkey").cast("string")
-    when = lambda n, text: F.when(F.col("p_partkey") % n == 0, text)
+    k = F.col("k").cast("string")
+    when = lambda n, text: F.when(F.col("k") % n == 0, text)
     put = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     lines = [
         put("import d", k, " from './p", k, "a'"),
@@ -33,8 +34,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         when(5, put("export const v", k, " = 1")),
         when(7, put("export enum E", k, " { A, B }")),
     ]
-    files = project.file_paths(spark, sf_dir).join(project.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_partkey"), "k")
-    return files.select("path", F.concat_ws("\n", *lines).alias("content"))
+    return A.spread(project.file_paths(spark, sf_dir), A.TEXTS_A_TASK).select("path", F.concat_ws("\n", *lines).alias("content"))
 
 
 def parse_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def resolve_specifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the seventh part after each, named as a neighbour, resolves to; those without one are left unresolved."""
     files = project.file_paths(spark, sf_dir)
     spec = F.concat(F.lit("./p"), (F.col("k") + 7).cast("string"))
-    texts = files.select("path", F.concat(F.lit("import x from '"), spec, F.lit("'")).alias("content"))
-    rows = A.parsed_files(texts).select("path", F.posexplode("imports").alias("pos", "i")).select("path", "pos", "i.*")
+    texts = A.spread(files, A.TEXTS_A_TASK).select("path", F.concat(F.lit("import x from '"), spec, F.lit("'")).alias("content"))
+    rows = written(A.parsed_files(texts), "parsed").select("path", F.posexplode("imports").alias("pos", "i")).select("path", "pos", "i.*")
     return A.resolved(rows, files).select("path", "specifier", "resolved")
 
 

@@ -52,8 +52,8 @@ class Registry:
 
 
 REGISTRY = Registry()
-#: Files that a parsing task reads.
-FILES_A_TASK = 100
+#: Files that a parsing task reads, and texts of a table that it parses.
+FILES_A_TASK, TEXTS_A_TASK = 100, 2_000
 REGISTRY.register("typescript", C.PARSED, parse)
 
 _TRIES = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json")
@@ -154,6 +154,12 @@ _IMPORT = pa.struct([("specifier", pa.string()), ("line", pa.int32()), ("type",
 _MODULE = pa.struct([("name", pa.string()), ("metadata", _KIND)])
 
 
+def spread(files: DataFrame, a_task: int = FILES_A_TASK, n: int | None = None) -> DataFrame:
+    """Files (path) dealt to tasks by their number: a short table of them may be long work."""
+    n = files.count() if n is None else n
+    return files.repartition(max(1, min(-(-n // a_task), 100_000)), "path")
+
+
 def parsed_files(files: DataFrame, aliases: dict | None = None, registry: Registry = REGISTRY) -> DataFrame:
     """path, warnings, imports, modules of each file (path, content).  A file that can't be parsed gives a warning."""
     parsers = {e: registry.get(e) for e in registry.extensions()}
@@ -217,8 +223,7 @@ def analyze(spark: SparkSession, root: str, registry: Registry = REGISTRY, on_pr
     tell({"phase": "parse", "current": 0, "total": n})
     aliases, warnings = aliases_of(root)
     if n:
-        spread = todo.repartition(max(1, min(-(-n // FILES_A_TASK), 100_000)), "path")
-        parsed = written(parsed_files(S.contents(spark, root, spread), aliases, registry), "parsed")
+        parsed = written(parsed_files(S.contents(spark, root, spread(todo, n=n)), aliases, registry), "parsed")
         tell({"phase": "merge", "current": n, "total": n})
         graph = G.merge_parsed(found.graph, parsed_graph(parsed, listed))
         graph = RepoGraph(written(graph.nodes, "nodes"), written(graph.edges, "edges"), {"timestamp": int(time.time() * 1000)})

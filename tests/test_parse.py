@@ -240,3 +240,19 @@ def test_patterns_of_the_environment(spark, monkeypatch):
     monkeypatch.setenv("TEST_PATTERNS", '["checks/**"]')
     rows = spark.createDataFrame([("checks/a.ts",), ("a.test.ts",)], "path string")
     assert {r["path"]: r["is_test"] for r in S.split_tests(rows).collect()} == {"checks/a.ts": True, "a.test.ts": False}
+
+
+def test_texts_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
+    """Texts made from a short table are parsed by as many tasks as their number asks for, whatever the table's bytes."""
+    from braidgraph import project
+    from braidgraph.catalog import parsed
+    from braidgraph.parse import analyze as A
+
+    monkeypatch.setattr(A, "TEXTS_A_TASK", 10)
+    n = project.table(spark, sf_dir, "part").count()
+    assert A.parsed_files(parsed.sources(spark, sf_dir)).rdd.getNumPartitions() == -(-n // 10)
+    seen = []
+    real = A.parsed_files
+    monkeypatch.setattr(A, "parsed_files", lambda files: seen.append(files.rdd.getNumPartitions()) or real(files))
+    parsed.resolve_specifier(spark, sf_dir)
+    assert seen == [-(-n // 10)]
