@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..model import DIRECTORY, EXTERNAL, FILE, MODULE, RepoGraph
+from ..plans.durable import written
 from . import graph as G
 
+#: Pairs of files that one task makes.
+PAIRS_A_TASK = 1_000_000
+
 
 def tracked(path: Column) -> Column:
     return C.extension(path).isin(*C.TRACKED)
@@ -86,15 +90,19 @@ def co_changes(changes: DataFrame, most_files: int | None = None, block: int = 1
     """a, b, n: files that change in the same commits (commit, path); ``most_files`` leaves out larger commits.
 
     The files of a commit fall into blocks of about ``block``, and each pair of blocks is joined on its own, so the pairs of
-    a large commit are spread over tasks.  They are counted there before they are shuffled.
+    a large commit are spread over tasks.  They are counted there before they are shuffled.  The tasks are as many as the pairs,
+    which are counted first from the sizes of the commits, ask for.
     """
-    rows = changes.select("commit", "path").distinct()
+    rows = written(changes.select("commit", "path").distinct(), "changes")
     sizes = rows.groupBy("commit").agg(F.count("*").alias("files"))
     if most_files is not None:
         sizes = sizes.where(F.col("files") <= most_files)
+    made = sizes.agg(F.sum(F.col("files") * (F.col("files") - 1) / 2)).first()[0] or 0
+    tasks = max(1, -(-int(made) // PAIRS_A_TASK))
     rows = rows.join(sizes.select("commit", F.ceil(F.col("files") / block).alias("blocks")), "commit")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("commit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "path", "own")
+    rows = rows.repartition(tasks, "commit", "low", "high")
     pairs = rows.withColumnRenamed("path", "a").withColumnRenamed("own", "x").join(rows.withColumnRenamed("path", "b").withColumnRenamed("own", "y"), ["commit", "low", "high"])
     pairs = pairs.where("a < b and least(x, y) = low and greatest(x, y) = high")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -181,3 +181,23 @@ def test_command_errors(tmp_path):
     assert cli.find_root(str(tmp_path / "a/b")) == str(tmp_path.resolve()) and cli.marker_in(str(tmp_path)) == "package.json"
     code, _, said = cli.run(["scope"])
     assert code == 1 and "E_CLI_MISSING_ARG" in said[0]
+
+
+def test_co_changes_by_tasks(spark, monkeypatch):
+    """As many tasks as the pairs ask for, and the same counts."""
+    from itertools import combinations
+
+    from braidgraph.operators import changes as X
+
+    commits = {c: [f"p{i}" for i in range(c % 7 + 1)] for c in range(40)}
+    df = spark.createDataFrame([(c, p) for c, ps in commits.items() for p in ps], "commit long, path string")
+    want = {}
+    for ps in commits.values():
+        for pair in combinations(sorted(ps), 2):
+            want[pair] = want.get(pair, 0) + 1
+    made = sum(len(ps) * (len(ps) - 1) // 2 for ps in commits.values())
+    for each in (10, 1_000_000):
+        monkeypatch.setattr(X, "PAIRS_A_TASK", each)
+        got = X.co_changes(df)
+        assert "RepartitionByExpression" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and f"], {-(-made // each)}" in plan
+        assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == want
