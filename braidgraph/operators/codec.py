@@ -6,11 +6,12 @@ repetition of imports, names of symbols at the ends of edges, and the types of e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..model import CONTAINS, EXPORTS, FILE, IMPORTS, MODULE, RepoGraph
+from ..plans.durable import numbered
 
 
 def path_references(graph: RepoGraph) -> DataFrame:
@@ -22,19 +23,9 @@ def path_references(graph: RepoGraph) -> DataFrame:
 def path_table(graph: RepoGraph) -> DataFrame:
     """path, idx: the most referenced first, ties by path, from 0.
 
-    The order is global but no task sorts it whole: paths are ranked among those of the same count and first characters, and
-    the offsets of these groups are added, which are sums over far fewer rows.
+    The order is global but no task sorts it whole; the sorted paths are written, so what joins with them counts nothing again.
     """
-    refs = path_references(graph)
-    sizes = refs.groupBy("n").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("n", before.alias("start"))
-    firsts = refs.groupBy("n", F.substr("path", F.lit(1), F.lit(12)).alias("head")).agg(F.count("*").alias("c"))
-    inner = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = firsts.select("n", "head", inner.alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("n", "head").orderBy("path")) - 1
-    rows = refs.withColumn("head", F.substr("path", F.lit(1), F.lit(12))).withColumn("rank", rank)
-    return rows.join(heads, ["n", "head"]).join(offsets, "n").select("path", (F.col("start") + F.col("offset") + F.col("rank")).cast("long").alias("idx"))
+    return numbered(path_references(graph).orderBy(F.desc("n"), "path").select("path"), "idx", "paths")
 
 
 def _indexed(edges: DataFrame, table: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -30,6 +31,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(ordered: DataFrame, number: str, tag: str) -> DataFrame:
+    """The rows of a sorted table with their places from 0: it is written as sorted, and the sizes of its parts give where each begins."""
+    rows = written(ordered.withColumn("__m", F.monotonically_increasing_id()), tag)
+    part = F.shiftright("__m", 33)
+    first, offsets = 0, []
+    for r in sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["part"], first))
+        first += r["n"]
+    starts = ordered.sparkSession.createDataFrame(offsets, "__part long, __first long")
+    place = F.col("__first") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__part", part).join(F.broadcast(starts), "__part").select(*ordered.columns, place.alias(number))
+
+
 def small_rows(df: DataFrame, most: int) -> list | None:
     """The rows of df if there are at most ``most``; None if there are more (which are not fetched)."""
     rows = df.limit(most + 1).collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import small_rows, written
+from .durable import numbered, small_rows, written
 
 #: Edges and targets up to which the walk is made in the driver.
 LOCAL_EDGES, LOCAL_TARGETS = 100_000, 1_000
@@ -86,16 +86,7 @@ def _all(levels: list[DataFrame]) -> DataFrame:
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """names (id, k): the ends of edges (from, to), numbered from 0 in the order of their ids; and the edges as numbers (a, b)."""
-    ids = edges.select(F.col("from").alias("id")).union(edges.select("to")).distinct().orderBy("id")
-    ids = written(ids.withColumn("m", F.monotonically_increasing_id()), "names")
-    part = F.shiftright("m", 33)
-    sizes = sorted(ids.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    first, offsets = 0, []
-    for r in sizes:
-        offsets.append((r["part"], first))
-        first += r["n"]
-    starts = edges.sparkSession.createDataFrame(offsets, "part long, first long")
-    names = ids.withColumn("part", part).join(F.broadcast(starts), "part").select("id", (F.col("first") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("k"))
+    names = numbered(edges.select(F.col("from").alias("id")).union(edges.select("to")).distinct().orderBy("id"), "k", "names")
     number = lambda df, old, new: df.join(names.select(F.col("id").alias(old), F.col("k").alias(new)), old).drop(old)
     return names, written(number(number(edges, "from", "a"), "to", "b"), "edges")
 

@@ -19,7 +19,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..model import EDGE_METADATA, EDGE_TYPES, EDGES, NODE_METADATA, NODE_TYPES, NODES, RepoGraph, graph_of
 from ..operators import codec, quality
-from ..plans.durable import written
 from . import document as D
 from ..versions import CURRENT, Migration, Migrations, Version, action, compatibility, on_failure, version_errors
 
@@ -103,7 +102,7 @@ def plain_pieces(graph: RepoGraph) -> list[str | DataFrame]:
 
 
 def compressed_pieces(graph: RepoGraph, table: DataFrame, most: int = 100, extra: dict | None = None) -> list[str | DataFrame]:
-    """The 1.1 document of a graph, to be written, made of the operators of the codec; table: its paths, written."""
+    """The 1.1 document of a graph, to be written, made of the operators of the codec; table: its paths."""
     nodes, edges = codec.compressed_nodes(graph, table, most), codec.compressed_edges(graph, table)
     kept = lambda df: D.bare(F.col("metadata"), df.schema["metadata"].dataType.fieldNames())
     batches = codec.import_batches(graph, table).orderBy("fromIndex").select(_line(type=F.lit("IMPORTS_BATCH"), fromIndex=F.col("fromIndex"), targetIndexes=F.col("targetIndexes")))
@@ -237,7 +236,7 @@ def write_json(data: dict, path: str, backup: bool = False, version_file: bool =
 def save_json(graph: RepoGraph, path: str, compress: bool = True, most: int = 100, backup: bool = False, version_file: bool = False) -> None:
     """Write a document of a graph; tasks make it, part by part."""
     tmp = D.beside(path)
-    pieces = compressed_pieces(graph, written(codec.path_table(graph), "paths"), most) if compress else plain_pieces(graph)
+    pieces = compressed_pieces(graph, codec.path_table(graph), most) if compress else plain_pieces(graph)
     D.write(graph.spark, pieces, tmp)
     _put(tmp, path, FORMAT_1_1 if compress else graph.meta.get("schemaVersion") or dict(zip(("major", "minor", "patch"), CURRENT, strict=True)), backup, version_file)
 
@@ -451,7 +450,7 @@ def migrate_file(spark: SparkSession, source: str, target: str, most: int = 100,
             graph = from_plain(spark, data) if found is None else from_split(spark, found)
         except D.BadElement as e:
             raise CorruptedBaseline(str(e)) from e
-        table = written(codec.path_table(graph), "paths")
+        table = codec.path_table(graph)
         entries = table.count()
         D.write(spark, compressed_pieces(graph, table, most, {k: data[k] for k in ("generatorVersion", "architectureConstraints", "healthScore", "skillDemand") if k in data}), tmp)
     os.replace(tmp, target)

@@ -265,3 +265,15 @@ def test_circles_with_many_names(spark, monkeypatch):
         monkeypatch.setattr(P, "NAMED", named)
         assert sorted(tuple(r) for r in P.strong_components(df).collect()) == want
     assert P.strong_components(df.limit(0)).collect() == []
+
+
+def test_paths_are_counted_once(spark, sf_dir):
+    """The path table is written in its order: no window over a part of it, no count again for each join."""
+    from braidgraph.catalog import codec
+    from braidgraph.operators import codec as X
+
+    graph, table = codec._table(spark, sf_dir)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    want = sorted(((-r["n"], r["path"]) for r in X.path_references(graph).collect()))
+    assert [(i, p) for i, (_, p) in enumerate(want)] == sorted((r["idx"], r["path"]) for r in table.collect())
