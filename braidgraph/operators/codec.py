@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..model import CONTAINS, EXPORTS, FILE, IMPORTS, MODULE, RepoGraph
-from ..plans.durable import numbered
+from ..plans.durable import dealt, numbered
 
 
 def path_references(graph: RepoGraph) -> DataFrame:
@@ -32,7 +32,7 @@ def _indexed(edges: DataFrame, table: DataFrame) -> DataFrame:
     """edges with fromIndex and toIndex; -1 for paths that the table lacks."""
     at = edges.withColumn("__f", C.file_path(F.col("from"))).withColumn("__t", C.file_path(F.col("to")))
     a, b = table.select(F.col("path").alias("__f"), F.col("idx").alias("fi")), table.select(F.col("path").alias("__t"), F.col("idx").alias("ti"))
-    joined = at.join(a, "__f", "left").join(b, "__t", "left")
+    joined = at.join(dealt(a), "__f", "left").join(dealt(b), "__t", "left")
     return joined.withColumn("fromIndex", F.coalesce("fi", F.lit(-1)).cast("long")).withColumn("toIndex", F.coalesce("ti", F.lit(-1)).cast("long")).drop("__f", "__t", "fi", "ti")
 
 
@@ -45,6 +45,7 @@ def import_batches(graph: RepoGraph, table: DataFrame) -> DataFrame:
 def expanded_batches(batches: DataFrame, table: DataFrame) -> DataFrame:
     """from, to of batches: the source is taken for a file, a target for a package if its path looks like one."""
     rows = batches.select("fromIndex", F.explode("targetIndexes").alias("toIndex"))
+    table = dealt(table)
     rows = rows.join(table.select(F.col("idx").alias("fromIndex"), F.col("path").alias("f")), "fromIndex").join(table.select(F.col("idx").alias("toIndex"), F.col("path").alias("t")), "toIndex")
     to = F.concat(F.when(C.looks_external(F.col("t")), "EXTERNAL:").otherwise("FILE:"), F.col("t"))
     return rows.select(F.concat(F.lit("FILE:"), "f").alias("from"), to.alias("to"))
@@ -55,7 +56,7 @@ def compressed_nodes(graph: RepoGraph, table: DataFrame, most: int = 100) -> Dat
     doc = C.truncated_doc(F.col("metadata.jsDoc"), most)
     kept = ("kind", "isExported", "jsDoc", "jsDocTruncated", "hasJSDoc", "deprecated", "complexity", "loc")
     m = F.when(F.col("type") == MODULE, F.col("metadata").withField("jsDoc", doc["jsDoc"]).withField("jsDocTruncated", F.when(doc["jsDoc"].isNotNull(), F.coalesce(doc["jsDocTruncated"], F.lit(False)))).withField("hasJSDoc", doc["hasJSDoc"])).otherwise(F.col("metadata"))
-    nodes = graph.nodes.withColumn("metadata", m).join(table, "path", "left")
+    nodes = graph.nodes.withColumn("metadata", m).join(dealt(table), "path", "left")
     return nodes.select("type", F.coalesce("idx", F.lit(-1)).cast("long").alias("pathIndex"), "name", F.struct(*[F.col(f"metadata.{k}").alias(k) for k in kept]).alias("metadata"), "node_seq")
 
 
@@ -85,7 +86,7 @@ def guessed_type(path: Column, edge_type: Column, at: str) -> Column:
 
 def restored_nodes(nodes: DataFrame, table: DataFrame) -> DataFrame:
     """id, type, path, name, metadata, node_seq from compressed nodes; an index outside the table fails."""
-    rows = nodes.join(table.withColumnRenamed("idx", "pathIndex"), "pathIndex", "left")
+    rows = nodes.join(dealt(table.withColumnRenamed("idx", "pathIndex")), "pathIndex", "left")
     path = F.coalesce("path", F.raise_error(F.concat(F.lit("pathIndex out of bounds: "), F.col("pathIndex"))).cast("string"))
     rows = rows.withColumn("path", path)
     return rows.select(node_id(F.col("type"), F.col("path"), F.col("name")).alias("id"), "type", "path", F.coalesce("name", F.lit("")).alias("name"), "metadata", "node_seq")
@@ -93,6 +94,7 @@ def restored_nodes(nodes: DataFrame, table: DataFrame) -> DataFrame:
 
 def restored_edges(edges: DataFrame, table: DataFrame) -> DataFrame:
     """from, to, type, metadata of compressed edges that are no batches."""
+    table = dealt(table)
     rows = edges.join(table.select(F.col("idx").alias("fromIndex"), F.col("path").alias("f")), "fromIndex").join(table.select(F.col("idx").alias("toIndex"), F.col("path").alias("t")), "toIndex")
     end = lambda c, at: F.concat(guessed_type(F.col(c), F.col("type"), at), F.lit(":"), F.col(c))
     return rows.select(end("f", "from").alias("from"), end("t", "to").alias("to"), "type", "metadata", "edge_seq")

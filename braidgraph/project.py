@@ -1,7 +1,7 @@
 """A repository graph made from order tables, so that every operator can run, and be checked, at any scale.
 
 Parts are files, pairs of neighbouring order lines are imports, suppliers are packages and exported symbols.  All of it
-is filters, one window within orders, and aggregations; joins are left to the optimizer and its size estimates.
+is filters, one window within orders, and aggregations; joins deal out both sides by key.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .model import CONTAINS, DIRECTORY, DYNAMIC_IMPORTS, EXPORTS, EXTERNAL, FILE, IMPORTS, MODULE, RE_EXPORTS, RepoGraph, edge_metadata, node_metadata
+from .plans.durable import dealt
 
 KINDS = ("function", "class", "variable", "interface", "type", "component")
 
@@ -43,7 +44,7 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lines.select(F.col("l_partkey").alias("fk"), F.col("prev").alias("tk"), kind.alias("type"), "l_linestatus", _seq().alias("seq"))
     import_kind = F.when(F.col("type") != DYNAMIC_IMPORTS, F.when(F.col("l_linestatus") == "O", "value").otherwise("type-only"))
     pairs = pairs.withColumn("importKind", import_kind).groupBy("fk", "tk", "type", "importKind").agg(F.min("seq").alias("edge_seq"))
-    files = file_paths(spark, sf_dir)
+    files = dealt(file_paths(spark, sf_dir))
     pairs = pairs.join(files.select(F.col("k").alias("fk"), F.col("path").alias("src")), "fk").join(files.select(F.col("k").alias("tk"), F.col("path").alias("dst")), "tk")
     meta = edge_metadata(importKind=F.col("importKind"), isDynamic=F.when(F.col("type") == DYNAMIC_IMPORTS, F.lit(True)))
     return pairs.select(_ided(FILE, F.col("src")).alias("from"), _ided(FILE, F.col("dst")).alias("to"), "type", meta.alias("metadata"), "edge_seq")
@@ -51,7 +52,7 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").groupBy(F.col("l_partkey").alias("k"), "l_suppkey").agg(F.min(_seq()).alias("edge_seq"))
-    lines = lines.join(file_paths(spark, sf_dir), "k")
+    lines = lines.join(dealt(file_paths(spark, sf_dir)), "k")
     to = _ided(EXTERNAL, F.concat(F.lit("s"), "l_suppkey"))
     return lines.select(_ided(FILE, F.col("path")).alias("from"), to.alias("to"), F.lit(IMPORTS).alias("type"), edge_metadata(importKind=F.lit("value")).alias("metadata"), "edge_seq")
 
@@ -60,7 +61,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MODULE nodes: a line of three pieces or fewer exports a symbol named after its supplier from its part."""
     lines = table(spark, sf_dir, "lineitem").where("l_quantity <= 3").groupBy(F.col("l_partkey").alias("k"), "l_suppkey")
     lines = lines.agg(F.max("l_linenumber").alias("most"), F.max(F.col("l_returnflag") == "R").alias("returned"), F.count("*").cast("int").alias("n"), F.max("l_orderkey").alias("last"))
-    lines = lines.join(file_paths(spark, sf_dir), "k")
+    lines = lines.join(dealt(file_paths(spark, sf_dir)), "k")
     supp = F.col("l_suppkey")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (supp % 6 + 1).cast("int"))
     meta = node_metadata(

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import shared_dir, written
 
-#: Bytes of a document that are read at once, which is about the length of a part.
-PIECE = 4 << 20
+#: Bytes of a document that are read at once; a search for marks takes some twenty times as much of the driver's memory.
+PIECE = 1 << 20
+#: Pieces that make a part.
+PIECES = 4
 _BETWEEN = ",\n"
 #: The arrays that may be long, by their keys from the top.
 LONG = (("pathTable",), ("nodes",), ("edges",), ("graph", "nodes"), ("graph", "edges"))
@@ -143,7 +145,7 @@ def split(spark: SparkSession, path: str, piece: int = PIECE) -> Split:
         out.write(bytearray(lines))
         out.close()
 
-    keys, level, waiting, first, inside, depth = None, 0, [], 0, 0, 0
+    keys, level, waiting, first, ready, inside, depth = None, 0, [], 0, 0, 0, 0  # ready: whole elements in what waits
     with open(path, "rb") as f:
         while text := f.read(piece):
             while text.endswith(b"\\") and (more := f.read(1)):  # what is escaped is read with its backslashes
@@ -165,7 +167,7 @@ def split(spark: SparkSession, path: str, piece: int = PIECE) -> Split:
                         rest += text[now:]
                         break
                     rest += text[now : here + 1]
-                    now, waiting, first = here + 1, [], 0
+                    now, waiting, first, ready = here + 1, [], 0, 0
                     parts[keys], counts[keys] = f"{where}/{uuid.uuid4().hex}", 0
                     if own is not None:
                         os.makedirs(parts[keys].removeprefix("file://"))
@@ -179,17 +181,18 @@ def split(spark: SparkSession, path: str, piece: int = PIECE) -> Split:
                 lines[at[own_marks & ((mark == 10) | (mark == 13))] - now] = 32
                 commas = at[own_marks & (mark == 44) & (depths == level)] - now
                 lines[commas] = 10
-                if commas.size:
+                ready += commas.size
+                if commas.size and sum(map(len, waiting)) + lines.size >= PIECES * piece:
                     last = int(commas[-1])
                     put(keys, first, b"".join([*waiting, lines[:last].tobytes()]))
-                    first, waiting = first + commas.size, [lines[last + 1 :].tobytes()]
+                    first, ready, waiting = first + ready, 0, [lines[last + 1 :].tobytes()]
                 else:
                     waiting.append(lines.tobytes())
                 if ends.size:
                     left = b"".join(waiting)
-                    if first or left.strip():
+                    if first or ready or left.strip():
                         put(keys, first, left)
-                        first += 1
+                        first += ready + 1
                     counts[keys], keys = first, None
                 now = end
             depth = int(depths[-1]) if at.size else depth

@@ -203,3 +203,21 @@ def test_migrate_long(spark, graph, tmp_path, monkeypatch):
     monkeypatch.setattr(B.json, "load", lambda f: pytest.fail("read whole"))
     assert B.migrate_file(spark, a, b, small=0)["stats"]["pathTableEntries"] == 5
     assert _edges(B.load_json(spark, b, small=0)["graph"]) == want
+
+
+def test_nothing_large_is_broadcast(spark, graph, sf_dir, tmp_path):
+    """No join that makes a graph, compresses it or restores it sends a table of paths through the driver, however short it is."""
+    from braidgraph import project
+    from braidgraph.operators import codec
+    from braidgraph.plans.durable import written
+
+    a, b = str(tmp_path / "a.json"), str(tmp_path / "b.json")
+    B.save_json(graph, a, compress=False)
+    B.migrate_file(spark, a, b, small=0)
+    got = B.load_json(spark, b, small=0)["graph"]
+    whole = project.repo_graph(spark, sf_dir)
+    paths = written(codec.path_table(graph), "paths")
+    made = [codec.compressed_nodes(graph, paths), codec.compressed_edges(graph, paths), codec.import_batches(graph, paths)]
+    for table in (got.nodes, got.edges, whole.nodes, whole.edges, *made):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "CartesianProduct" not in plan
