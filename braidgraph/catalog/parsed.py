@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import project
 from ..parse import analyze as A
-from ..plans.durable import written
+from ..plans.durable import dealt, written
 from ..sources import baseline
 from .files import flagship_graph
 from .sql import FILES, GRAPH
@@ -66,7 +66,7 @@ def baseline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and the number of edges out of each, of a document of format 1.0 that was written, checked and loaded."""
     graph = baseline.load_json(spark, _written(spark, sf_dir))["graph"]
     out = graph.edges.groupBy(F.col("from").alias("id")).agg(F.count("*").alias("n"))
-    return graph.nodes.join(out, "id", "left").select("id", "type", "path", "name", F.coalesce("n", F.lit(0)).cast("long").alias("edges"))
+    return graph.nodes.join(dealt(out), "id", "left").select("id", "type", "path", "name", F.coalesce("n", F.lit(0)).cast("long").alias("edges"))
 
 
 def migrate_1_0(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EDGE_TYPES, NODE_TYPES, RepoGraph
+from ..plans.durable import dealt
 from .codec import node_id
 
 #: How far ahead a time stamp may lie, and what a commit looks like.
@@ -29,7 +30,7 @@ def mismatched_ids(graph: RepoGraph) -> DataFrame:
 def dangling_edges(graph: RepoGraph) -> DataFrame:
     """from, to, type, missing ('from' or 'to') of ends without a node; an edge may come twice."""
     ids = graph.nodes.select("id").distinct()
-    lost = lambda end: graph.edges.join(ids.withColumnRenamed("id", end), end, "left_anti").select("from", "to", "type", F.lit(end).alias("missing"))
+    lost = lambda end: graph.edges.join(dealt(ids.withColumnRenamed("id", end)), end, "left_anti").select("from", "to", "type", F.lit(end).alias("missing"))
     return lost("from").unionByName(lost("to"))
 
 

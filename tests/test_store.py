@@ -206,9 +206,9 @@ def test_migrate_long(spark, graph, tmp_path, monkeypatch):
 
 
 def test_nothing_large_is_broadcast(spark, graph, sf_dir, tmp_path):
-    """No join that makes a graph, compresses it or restores it sends a table of paths through the driver, however short it is."""
+    """No join that makes a graph, checks it, compresses it or restores it sends a table of paths through the driver, however short it is."""
     from braidgraph import project
-    from braidgraph.operators import codec
+    from braidgraph.operators import codec, quality
     from braidgraph.plans.durable import written
 
     a, b = str(tmp_path / "a.json"), str(tmp_path / "b.json")
@@ -218,6 +218,6 @@ def test_nothing_large_is_broadcast(spark, graph, sf_dir, tmp_path):
     whole = project.repo_graph(spark, sf_dir)
     paths = written(codec.path_table(graph), "paths")
     made = [codec.compressed_nodes(graph, paths), codec.compressed_edges(graph, paths), codec.import_batches(graph, paths)]
-    for table in (got.nodes, got.edges, whole.nodes, whole.edges, *made):
+    for table in (got.nodes, got.edges, whole.nodes, whole.edges, quality.dangling_edges(graph), *made):
         plan = table._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "CartesianProduct" not in plan
